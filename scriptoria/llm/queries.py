@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from scriptoria.llm.mixing import p7_mix, p7_shares
 from scriptoria.llm.residue import p1_found, p1_kinds, p1_sound_manual
+from scriptoria.llm.tokenizer import p6_ids, p6_length_histogram
 
 QUERIES = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
     "p1_sound_manual": p1_sound_manual,
+    "p6_ids": p6_ids,
+    "p6_length_histogram": p6_length_histogram,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }
 
 SQL: dict[str, str] = {}
