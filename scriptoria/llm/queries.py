@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptoria.llm.handwritten import p2_found, p2_handwritten, p2_kinds
 from scriptoria.llm.mixing import p7_mix, p7_shares
 from scriptoria.llm.residue import p1_found, p1_kinds, p1_sound_manual
 from scriptoria.llm.tokenizer import p6_ids, p6_length_histogram
@@ -10,6 +11,9 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_kinds": p1_kinds,
     "p1_sound_manual": p1_sound_manual,
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
+    "p2_handwritten": p2_handwritten,
     "p6_ids": p6_ids,
     "p6_length_histogram": p6_length_histogram,
     "p7_mix": p7_mix,
