@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptoria.llm.functions import p4_found, p4_pairs
 from scriptoria.llm.handwritten import p2_found, p2_handwritten, p2_kinds
 from scriptoria.llm.mixing import p7_mix, p7_shares
 from scriptoria.llm.residue import p1_found, p1_kinds, p1_sound_manual
@@ -14,6 +15,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p2_handwritten": p2_handwritten,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
     "p6_ids": p6_ids,
     "p6_length_histogram": p6_length_histogram,
     "p7_mix": p7_mix,
