@@ -6,6 +6,7 @@ from scriptoria.llm.functions import p4_found, p4_pairs
 from scriptoria.llm.handwritten import p2_found, p2_handwritten, p2_kinds
 from scriptoria.llm.mixing import p7_mix, p7_shares
 from scriptoria.llm.residue import p1_found, p1_kinds, p1_sound_manual
+from scriptoria.llm.splitting import p5_found, p5_pieces
 from scriptoria.llm.tokenizer import p6_ids, p6_length_histogram
 
 QUERIES = {
@@ -17,6 +18,8 @@ QUERIES = {
     "p2_handwritten": p2_handwritten,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p6_ids": p6_ids,
     "p6_length_histogram": p6_length_histogram,
     "p7_mix": p7_mix,
