@@ -24,7 +24,6 @@ class Layout:
     blank: float = 0.105  # of white space, at most: minified code
     long_line: int = 600  # code line of a minified file or of data, at least
     mean_line: float = 110.0  # characters a line, at least: minified code
-    encoded: int = 180  # characters of an unbroken encoded run, at least: data
 
 
 #: Thresholds by language; a null or unknown language takes those of "".
@@ -54,31 +53,42 @@ VENDORED = (
 OWN = r"\bpart of this project\b"
 FOLDER = r"(?:^|/)(?:node_modules|bower_components|vendor|vendored|_vendor|third[_-]?party|deps|external|contrib)/[^/]+/"
 MINIFIED_NAME = r"\.(?:min|bundle)\.[a-z]+$"
-COMMENT = r"^\s*(?:$|//|#(?!include|define|if|ifdef|ifndef|pragma)|%|/?\*|--|;|<!--)"
-
-
-def layout(source: Column) -> Column:
-    """Layout statistics of ``source`` as a struct."""
-    text = F.replace(source, F.lit("\r"), F.lit(""))
-    lines = F.split(text, "\n")
-    longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    filled = F.filter(F.transform(F.split(F.regexp_replace(text, "[0-9]+", "0"), "\n"), F.trim), lambda x: x != "")
-    runs = F.split(text, "[^A-Za-z0-9+/=]+")
-
-    def without(x: Column, chars: str) -> Column:
-        return F.length(x) - F.length(F.translate(x, chars, ""))
-
-    return F.struct(
-        F.length(text).alias("chars"),
-        F.size(lines).alias("lines"),
-        longest.alias("longest"),
-        without(text, " \t\n ").alias("blanks"),
-        without(text, "0123456789").alias("digits"),
-        F.size(filled).alias("filled"),
-        F.size(F.array_distinct(filled)).alias("kinds"),
-        F.array_max(F.transform(runs, F.length)).alias("run"),
-        F.slice(lines, 1, F.greatest(F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), F.lit(True)).cast("int") - 1, F.lit(0))).alias("head"),
+#: The start of the first line that is neither blank nor a comment.
+CODE = r"(?m)^(?![ \t]*(?:$|//|#(?!include|define|if|ifdef|ifndef|pragma)|%|/?\*|--|;|<!--))"
+#: Characters below which no line is long and no run encodes data.
+LONG = 180
+
+
+def layout(files: DataFrame, source: str = "__s") -> DataFrame:
+    """``files`` with the layout statistics of ``source``; it runs in steps so that no expression is evaluated twice.
+
+    Only plain replacements touch every character; what needs the content of the longest line or of a run
+    is evaluated for the few files whose lines are long enough.
+    """
+    t, lines, masked, head = F.col("__t"), F.col("__lines"), F.col("__masked"), F.col("__head")
+    step = files.withColumn("__t", F.replace(F.col(source), F.lit("\r"), F.lit(""))).drop(source)
+    step = step.withColumns({"__lines": F.split(t, "\n"), "__masked": F.regexp_replace(t, "[0-9]+", ""), "__head": F.regexp_instr(t, F.lit(CODE))})
+    step = step.withColumns(
+        {
+            "chars": F.length(t),
+            "lines": F.size(lines),
+            "max_line": F.array_max(F.transform(lines, F.length)),
+            "digits": F.length(t) - F.length(masked),
+            "blanks": F.length(t) - F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))) + F.size(lines) - 1,
+            "__filled": F.filter(F.split(masked, "\n"), lambda x: x != ""),
+            "head": F.split(F.lower(F.when(head > 0, F.substring(t, F.lit(1), head - 1)).otherwise(t)), "\n"),
+        }
     )
+    longest = F.element_at(F.filter(lines, lambda x: F.length(x) == F.col("max_line")), 1)
+    step = step.withColumns(
+        {
+            "filled": F.size("__filled"),
+            "kinds": F.size(F.array_distinct("__filled")),
+            "longest": F.when((F.col("max_line") >= LONG) | (F.col("digits") >= 0.03 * F.col("chars")), longest),
+            "encoded": F.when(F.col("max_line") >= LONG, F.regexp_extract(t, f"[A-Za-z0-9+/=]{{{LONG},}}", 0)),
+        }
+    )
+    return step.drop("__t", "__lines", "__masked", "__head", "__filled")
 
 
 def _threshold(language: Column, name: str) -> Column:
@@ -97,31 +107,23 @@ def classify(modules: DataFrame, id_col: str = "module_id", source_col: str = "s
     languages take the default thresholds, null paths say nothing. Repeated rows give repeated results.
     """
     base = modules.select(F.col(id_col), F.col(source_col).alias("__s"), F.lower(language_col).alias("__l"), F.col(path_col).alias("__p")).where("trim(translate(__s, '\\r\\n\\t', '   ')) <> ''")
-    m = base.select(id_col, "__l", "__p", layout(F.col("__s")).alias("m"))
+    m = layout(base)
     at = lambda name: _threshold(F.col("__l"), name)
-    rest = F.greatest(F.col("m.chars") - F.col("m.longest.n"), F.lit(1))
-    long_digits = F.length("m.longest.x") - F.length(F.translate("m.longest.x", "0123456789", ""))
-    m = m.select(
-        id_col,
-        "__l",
-        "__p",
-        F.transform("m.head", F.lower).alias("head"),
-        F.col("m.longest.n").alias("max_line"),
-        F.col("m.longest.x").alias("longest"),
-        (F.col("m.chars") / F.col("m.lines")).alias("mean_line"),
-        (F.col("m.blanks") / F.col("m.chars")).alias("blank_share"),
-        ((F.col("m.digits") - long_digits) / rest).alias("digit_share"),
-        (F.col("m.digits") / F.col("m.chars")).alias("all_digits"),
-        (F.col("m.kinds") / F.col("m.filled")).alias("kinds"),
-        F.col("m.filled").alias("filled"),
-        F.col("m.run").alias("run"),
-        F.col("m.chars").alias("chars"),
+    in_longest = F.coalesce(F.length("longest") - F.length(F.regexp_replace("longest", "[0-9]+", "")), F.lit(0))
+    m = m.withColumns(
+        {
+            "mean_line": F.col("chars") / F.col("lines"),
+            "blank_share": F.col("blanks") / F.col("chars"),
+            "digit_share": F.when(F.col("longest").isNull(), F.col("digits") / F.col("chars")).otherwise((F.col("digits") - in_longest) / F.greatest(F.col("chars") - F.col("max_line"), F.lit(1))),
+            "all_digits": F.col("digits") / F.col("chars"),
+            "alike": F.col("kinds") / F.col("filled"),
+        }
     )
     says = lambda what, unless: F.exists("head", lambda x: x.rlike(what) & ~x.rlike(unless))
     code_line = (F.col("max_line") >= at("long_line")) & ~F.col("longest").rlike(r"^\s*(?://|#|%|/?\*)")
-    data = (F.col("run") >= at("encoded")) & (F.col("run") >= 0.25 * F.col("chars"))
+    data = F.length("encoded") >= F.greatest(F.lit(LONG), 0.25 * F.col("chars"))
     table_like = (F.col("digit_share") >= at("digits")) & (F.col("filled") >= FEW_LINES) | (F.greatest("digit_share", "all_digits") >= 0.22) & (F.col("chars") >= 200)
-    repeated = (F.col("kinds") <= at("alike")) & (F.col("filled") >= FEW_LINES)
+    repeated = (F.col("alike") <= at("alike")) & (F.col("filled") >= FEW_LINES)
     minified = (F.col("blank_share") <= at("blank")) & (F.col("mean_line") >= 40) & (F.col("chars") >= 120) | code_line | (F.col("mean_line") >= at("mean_line")) & (F.col("blank_share") < 0.14)
     kind = (
         F.when(says(VENDORED, OWN) | F.col("__p").rlike(FOLDER), "vendored")
@@ -141,16 +143,20 @@ def _judged(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "modules").select("module_id", "source", "language", "relpath"))
 
 
-def p2_found(spark, sf_dir: str) -> DataFrame:
-    """Ids of the modules whose source is generated, minified, vendored or data."""
-    return _judged(spark, sf_dir).where("kind <> 'handwritten'").select("module_id").distinct()
-
-
 def p2_kinds(spark, sf_dir: str) -> DataFrame:
     """Every module with a source and its kind, once."""
     return _judged(spark, sf_dir).groupBy("module_id").agg(F.min("kind").alias("kind"))
 
 
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    """Ids of the modules whose source is generated, minified, vendored or data.
+
+    The filter stands above the aggregate: below it, it would be pushed through the steps of ``layout`` and
+    repeat their work for each of its terms.
+    """
+    return p2_kinds(spark, sf_dir).where("kind <> 'handwritten'").select("module_id")
+
+
 def p2_handwritten(spark, sf_dir: str) -> DataFrame:
     """Ids of the modules that remain as hand-written source."""
-    return _judged(spark, sf_dir).where("kind = 'handwritten'").select("module_id").distinct()
+    return p2_kinds(spark, sf_dir).where("kind = 'handwritten'").select("module_id")
