@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scriptoria.llm.answers import p3_counts, p3_found
 from scriptoria.llm.functions import p4_found, p4_pairs
 from scriptoria.llm.handwritten import p2_found, p2_handwritten, p2_kinds
 from scriptoria.llm.mixing import p7_mix, p7_shares
@@ -16,6 +17,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p2_handwritten": p2_handwritten,
+    "p3_found": p3_found,
+    "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
