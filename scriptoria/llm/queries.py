@@ -7,6 +7,7 @@ from scriptoria.llm.functions import p4_found, p4_pairs
 from scriptoria.llm.handwritten import p2_found, p2_handwritten, p2_kinds
 from scriptoria.llm.mixing import p7_mix, p7_shares
 from scriptoria.llm.residue import p1_found, p1_kinds, p1_sound_manual
+from scriptoria.llm.sentences import p8_found, p8_lengths
 from scriptoria.llm.splitting import p5_found, p5_pieces
 from scriptoria.llm.tokenizer import p6_ids, p6_length_histogram
 
@@ -27,6 +28,8 @@ QUERIES = {
     "p6_length_histogram": p6_length_histogram,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_lengths": p8_lengths,
 }
 
 SQL: dict[str, str] = {}
