@@ -1,31 +1,32 @@
 """Problem 3: defective prompt and response pairs.
 
-Empty, refusing and copying answers are found by built-in expressions; the languages of prompt and
-response are compared by the posteriors of a character n-gram naive Bayes (``language.py``); truncation
-is flagged by the likelihood that a text ends after its last words, estimated over all pairs.
+One pass over all pairs finds empty, refusing and copying answers, compares the languages of prompt and
+response by the posteriors of a character n-gram naive Bayes (``language.py``), and counts after which two words
+sentences end or go on. Truncation is then flagged by the likelihood that a text ends after its last words.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from scriptoria.llm.language import LANGUAGES, Model, cleaned, train
+from scriptoria.llm.language import Model, cleaned, train
 from scriptoria.llm.tokenizer import TOKENIZERS, VOCABULARY
-from scriptoria.runtime import salted_join, table
+from scriptoria.runtime import cut_lineage, salted_join, table
 
 #: Least lead of the likeliest language of either text, in nats.
 LEAD = 8.0
 #: Likelihood of an end below which a text is truncated, and weight of the shorter context.
 LIKELY_END, PRIOR = 0.2, 4.0
 #: Characters of the word-end model, and the likelihood below which a word is cut.
-WORD_END, LIKELY_WORD = 5, 0.1
+WORD_END, LIKELY_WORD = 5, 0.13
 
 # Stand-ins for an answer, compared without marks and in lower case.
 STAND_INS = (
@@ -40,7 +41,7 @@ STAND_INS = (
 _CANNOT = r"(?:can ?not|can't|could ?not|couldn't|won't|will not|am unable|am not able|'m unable|'m not able|must decline|have to decline|would need|need|don't have|do not have|have no|'d rather not|would rather not|prefer not|am not (?:allowed|permitted)|'m not (?:allowed|permitted)|decline|refuse|am afraid|apologi[sz]e)"
 # How an answer declines or only asks for more.
 REFUSALS = (
-    r"(?U)^(?:[\W_]*)(?:(?:(?:i'm|i am|we're|we are|so|very) )*sorry\b[\s,.:;-]*(?:but |for |about |however )?(?:\W*(?:i|we|this|that|as an|there|it)\b.*|$)|i apologi[sz]e\b|my apologies\b|(?:i'm|i am) afraid\b|as an? (?:ai|artificial|large language|language)[\w ,-]*(?:model|assistant)\b|"
+    r"^(?:[\W_]*)(?:(?:(?:i'm|i am|we're|we are|so|very) )*sorry\b[\s,.:;-]*(?:but |for |about |however )?(?:\W*(?:i|we|this|that|as an|there|it)\b.*|$)|i apologi[sz]e\b|my apologies\b|(?:i'm|i am) afraid\b|as an? (?:ai|artificial|large language|language)[\w ,-]*(?:model|assistant)\b|"
     rf"(?:unfortunately|regrettably|sadly)[\s,]+(?:i|we|this|that|it is|it's|there)\b|(?:i|we)(?: | ?'|’)?{_CANNOT}\b|(?:it is|it's|it will be) (?:not possible|impossible) (?:for me|to (?:describe|summari[sz]e|document|answer|say))|(?:summari[sz]ing|describing|documenting|answering)\b.*\b(?:outside (?:of )?what i|beyond what i|not something i)\b|"
     r"(?:the|this|your) request (?:can't|cannot|could not|can not) be (?:completed|fulfilled|processed|answered)|there (?:was|is) (?:nothing|no code|no function|not enough)\b.*\b(?:message|request|prompt|input|context)\b.*|(?:please|kindly|could you|can you|would you)(?: please)? (?:paste|provide|share|send|give|upload|include|supply|show|attach|clarify|tell)\b|"
     r"(?:more|further|additional) (?:context|information|code|details?) (?:is|are|would be) (?:needed|required)|what (?:code|function) (?:would you like|do you want)|without (?:seeing|having) (?:the|more|all)\b.*\bi\b|"
@@ -59,48 +60,60 @@ DANGLING = frozenset(
     " el los las una unos unas del y e o u pero porque cuando donde con sin para por en al sobre bajo entre hacia hasta desde si es son su sus este esta"
     " и или но а что который которая которое которые потому если когда чтобы в во на с со к ко от до из у о об за под над при для без по не это".split()
 )
-_TRAILING = r"(?:以及|并且?|而且|然后|但是?|因为|因此|所以|如果|或者?|和|与|的|在|从|对|把|被|[がのをはにでとも]|ので|また|そして|しかし|ただし|および|และ|หรือ|แต่|เพราะ|ที่|ของ|और|या|लेकिन|क्योंकि|में|पर|से|को|و|أو|لكن|لأن|في|من|على|إلى|التي|الذي)$"
-_END = r"[.!?…。！？｡।؟۔॥]"
+_TRAILING = re.compile(r"(?:以及|并且?|而且|然后|但是?|因为|因此|所以|如果|或者?|和|与|的|在|从|对|把|被|[がのをはにでとも]|ので|また|そして|しかし|ただし|および|และ|หรือ|แต่|เพราะ|ที่|ของ|और|या|लेकिन|क्योंकि|में|पर|से|को|و|أو|لكن|لأن|في|من|على|إلى|التي|الذي)$")
+_MARKS = r"[.!?…。！？｡।؟۔॥]"
 _CLOSERS = r"[\"'”’»」』)\]）】*_`]"
-
-
-def squeezed(text: Column) -> Column:
+_END = re.compile(rf"{_MARKS}{_CLOSERS}*$")
+_OPEN = re.compile(r"[,;:(\[{\-–—/&+=„«“‘、，；：（「『]$")
+_CLOSED = re.compile(r"[)\]}`\"”»\d]$")
+_SENTENCE_END = re.compile(rf"{_MARKS}+{_CLOSERS}*(?=\s|$)")
+_TOKEN = re.compile(r"[^\s,;:()\[\]{}\"“”„«»`*>#|]+")
+_LAST = re.compile(r"[\w'’-]+$")
+_NOT_WORD = re.compile(r"[\W_]+")
+_LABEL = re.compile(r"^[^:：\n]{1,60}[:：]\s*")
+_PARAGRAPH = re.compile(r"\r?\n[ \t]*\r?\n")
+_TAGS = re.compile(r"</?[a-z]+/?>")
+_STAND_IN, _REFUSAL = re.compile(STAND_INS), re.compile(REFUSALS)
+
+
+def _squeezed(text: str) -> str:
     """``text`` in lower case without white space and marks."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\p{M}]+", "")
-
-
-def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s​﻿]+|[\s​﻿]+$", "")
-
-
-def _plain_defect(prompt: Column, answer: Column, name: Column) -> Column:
-    """empty, refusal or copy; else null."""
-    text = _stripped(F.coalesce(answer, F.lit("")))
-    low = F.lower(F.replace(text, F.lit("’"), F.lit("'")))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(low, r"</?[a-z]+/?>", " "), r"[^\p{L}\p{N}\p{M}]+", " "))
-    only_name = (name.isNotNull()) & (squeezed(text) == squeezed(name)) & (squeezed(text) != squeezed(prompt))
-    paragraph = F.split(_stripped(prompt), r"\r?\n[ \t]*\r?\n", 2)[0]
-    whole, first = squeezed(prompt), squeezed(paragraph)
-    got = squeezed(text)
-    after_label = squeezed(F.regexp_replace(text, r"^[^:：\n]{1,60}[:：]\s*", ""))
-    unnamed = F.when(name.isNotNull() & (name != "") & got.startswith(squeezed(name)), F.substring(got, F.length(squeezed(name)) + 1, 1_000_000_000)).otherwise(got)
-    # a text that repeats itself equals its halves
-    copies = [x == y for x in (got, after_label, unnamed) for y in (whole, first)]
-    copies += [F.length(got) == 2 * F.length(y) for y in (whole, first)]
-    copy = copies[0] | copies[1] | copies[2] | copies[3] | copies[4] | copies[5]
-    doubled = (copies[6] & (got == F.concat(whole, whole))) | (copies[7] & (got == F.concat(first, first)))
-    return F.when((F.length(bare) < 60) & bare.rlike(STAND_INS) | only_name, "empty").when(low.rlike(REFUSALS), "refusal").when((whole != "") & (copy | doubled), "copy")
-
-
-def _endings(answers: DataFrame) -> DataFrame:
-    """``(w1, w2, ends, goes_on)``: how often a sentence ends after two words and how often it goes on."""
-    spaced = F.regexp_replace(F.lower("answer"), rf"{_END}+{_CLOSERS}*(?=\s|$)", " . ")
-    tokens = F.filter(F.split(spaced, r"[\s,;:()\[\]{}\"“”„«»`*>#|]+"), lambda x: x != "")
-    walked = answers.select(F.concat(F.array(F.lit(".")), tokens).alias("t")).where(F.size("t") > 2)
-    n = F.size("t")
-    grams = F.arrays_zip(F.slice("t", 1, n - 2).alias("w1"), F.slice("t", 2, n - 2).alias("w2"), F.slice("t", 3, n - 2).alias("w3"))
-    g = walked.select(F.explode(grams).alias("g")).select("g.w1", "g.w2", (F.col("g.w3") == ".").cast("long").alias("end")).where("w2 <> '.'")
-    return g.groupBy("w1", "w2").agg(F.sum("end").alias("ends"), F.sum(1 - F.col("end")).alias("goes_on"))
+    return _NOT_WORD.sub("", text.lower())
+
+
+def plain_defect(prompt: str, answer: str | None, name: str | None) -> str | None:
+    """empty, refusal or copy; else None."""
+    text = (answer or "").strip(" \t\r\n\u200b\ufeff\xa0")
+    low = text.lower().replace("’", "'")
+    got = _squeezed(text)
+    label = _squeezed(name) if name else ""
+    if len(low) < 120 and _STAND_IN.match(_NOT_WORD.sub(" ", _TAGS.sub(" ", low)).strip()):
+        return "empty"
+    whole = _squeezed(prompt)
+    if label and got == label and got != whole:
+        return "empty"
+    if _REFUSAL.match(low):
+        return "refusal"
+    first = _squeezed(_PARAGRAPH.split(prompt.strip(), maxsplit=1)[0])
+    wanted = {x for x in (whole, first) if x}
+    forms = {got, got[: len(got) // 2] if got[: len(got) // 2] * 2 == got else got, got.removeprefix(label) if label else got}
+    if wanted & forms or (":" in text or "：" in text) and _squeezed(_LABEL.sub("", text)) in wanted:
+        return "copy"
+    return None
+
+
+def open_ended(text: str) -> bool | None:
+    """True if the last characters alone show that ``text`` stops in the middle, False if they show an end, else None."""
+    if text.count("`") % 2:
+        return True
+    if _END.search(text):
+        return False
+    if text.count("(") + text.count("（") > text.count(")") + text.count("）") or _OPEN.search(text) or _TRAILING.search(text):
+        return True
+    m = _LAST.search(text)
+    if m and m[0].lower() in DANGLING:
+        return True
+    return False if _CLOSED.search(text) else None
 
 
 @lru_cache(maxsize=2)
@@ -135,61 +148,55 @@ def _cut_word(path: str):
     return cut
 
 
-def _open_ended(text: Column) -> Column:
-    """True if the text's last characters alone show that it stops in the middle, false if they show an end, else null."""
-    fences = F.length(text) - F.length(F.replace(text, F.lit("`"), F.lit("")))
-    opened = F.length(F.regexp_replace(text, r"[^(（]", "")) > F.length(F.regexp_replace(text, r"[^)）]", ""))
-    last = F.lower(F.regexp_extract(text, r"([\p{L}\p{M}\p{N}_'’-]+)$", 1))
-    return (
-        F.when(fences % 2 == 1, True)
-        .when(text.rlike(rf"{_END}{_CLOSERS}*$"), False)
-        .when(opened | text.rlike(r"[,;:(\[{\-–—/&+=„«“‘、，；：（「『]$"), True)
-        .when(text.rlike(_TRAILING) | last.isin(*sorted(DANGLING)), True)
-        .when(text.rlike(r"[)\]}`\"”»]$") | (text.rlike(r"\d$")), False)
-    )
-
-
-def truncated(answers: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``answers`` (id, answer, candidate) with ``truncated``; counts come from all rows, only candidates are judged.
-
-    The tail of an answer is its last two words. Likely ends are those after which sentences and other answers end; a last
-    word unknown elsewhere is judged by its characters. Tails are judged once each and joined back by salted keys.
-    """
-    text = _stripped(F.regexp_replace("answer", r"[*_]+\s*$", ""))
-    open_ended = _open_ended(text)
-    words = F.filter(F.split(F.lower(text), r"[\s,;:()\[\]{}\"“”„«»`*>#|]+"), lambda x: x != "")
-    rows = answers.where("candidate and answer is not null").select("id", open_ended.alias("open"), F.concat(F.array(F.lit(".")), words).alias("w"))
-    rows = rows.select("id", "open", F.try_element_at("w", F.lit(-2)).alias("w1"), F.try_element_at("w", F.lit(-1)).alias("w2"))
-    sure = rows.where("open is not null").select("id", F.col("open").alias("truncated"))
-    unsure = rows.where("open is null and w2 is not null").select("id", "w1", "w2").distinct()
-    tails = unsure.groupBy("w1", "w2").agg((F.count("*") - 1).alias("others"))
-    pairs = _endings(answers.where("answer is not null"))
-    singles = pairs.groupBy("w2").agg(F.sum("ends").alias("ends1"), F.sum("goes_on").alias("on1"))
-    known = tails.join(pairs, ["w1", "w2"], "left").join(singles, "w2", "left")
-    prior = F.col("ends1") / (F.col("ends1") + F.col("on1"))
-    ends = F.coalesce("ends", F.lit(0)) + F.col("others")
-    likely = (ends + PRIOR * prior) / (ends + F.coalesce("goes_on", F.lit(0)) + PRIOR)
-    verdict = known.select("w1", "w2", F.when(prior.isNotNull(), likely < LIKELY_END).otherwise(_cut_word(path)(F.col("w2"))).alias("truncated"))
-    return sure.unionByName(salted_join(unsure, verdict, ["w1", "w2"]).select("id", "truncated"))
+_OUT = StructType([StructField(n, StringType()) for n in ("id", "defect", "w1", "w2")] + [StructField("ends", LongType()), StructField("goes_on", LongType())])
+#: Word pairs a task counts before it hands them on.
+PAIRS_HELD = 200_000
 
 
-def _languages(pairs: DataFrame, model: Model) -> DataFrame:
-    """``(id, other)``: whether prompt and answer are in different languages."""
-    logs = model.logs
-
+def _examine(logs):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Model.__new__(Model)
         scorer.logs = logs
+        counts: dict[tuple[str, str], list[int]] = {}
+
+        def counted() -> pd.DataFrame:
+            rows = [(None, None, a, b, end, on) for (a, b), (on, end) in counts.items()]
+            counts.clear()
+            return pd.DataFrame(rows, columns=_OUT.names)
+
         for pdf in batches:
             for at in range(0, len(pdf), 4000):
                 part = pdf.iloc[at : at + 4000]
-                prompts, answers = [cleaned(t) for t in part["prompt"]], [cleaned(t) for t in part["answer"]]
+                rows, undecided = [], []
+                for key, prompt, answer, name in zip(part["id"], part["prompt"], part["answer"], part["name"]):
+                    if answer:
+                        tokens = [".", *_TOKEN.findall(_SENTENCE_END.sub(" . ", answer.lower()))]
+                        for a, b, c in zip(tokens, tokens[1:], tokens[2:]):
+                            if b != ".":
+                                counts.setdefault((a, b), [0, 0])[c == "."] += 1
+                    defect = plain_defect(prompt, answer, name)
+                    if defect:
+                        rows.append((key, defect, None, None, None, None))
+                    else:
+                        undecided.append((key, prompt, answer))
+                prompts, answers = [cleaned(x[1]) for x in undecided], [cleaned(x[2]) for x in undecided]
                 (k, x), (j, y) = scorer.best(prompts), scorer.best(answers)
-                x *= [max(1, len(t)) for t in prompts]
-                y *= [max(1, len(t)) for t in answers]
-                yield pd.DataFrame({"id": part["id"].astype(str), "other": (k != j) & (x >= LEAD) & (y >= LEAD)})
-
-    return pairs.mapInPandas(run, StructType([StructField("id", StringType()), StructField("other", BooleanType())]))
+                for (key, _, answer), p, q, a, b, m, n in zip(undecided, prompts, answers, k, j, x, y):
+                    if a != b and m * len(p) >= LEAD and n * len(q) >= LEAD:
+                        rows.append((key, "language", None, None, None, None))
+                        continue
+                    text = answer.rstrip().rstrip("*_").rstrip()
+                    stops = open_ended(text)
+                    if stops:
+                        rows.append((key, "truncated", None, None, None, None))
+                    elif stops is None and (words := _TOKEN.findall(text.lower())):
+                        rows.append((key, None, words[-2] if len(words) > 1 else ".", words[-1], None, None))
+                yield pd.DataFrame(rows, columns=_OUT.names).astype({"ends": "Int64", "goes_on": "Int64"})
+            if len(counts) > PAIRS_HELD:
+                yield counted()
+        yield counted()
+
+    return run
 
 
 def defects(pairs: DataFrame, model: Model, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
@@ -197,16 +204,24 @@ def defects(pairs: DataFrame, model: Model, path: str = f"{TOKENIZERS}/{VOCABULA
 
     Rows with a null or blank prompt are no pairs. Null answers are empty ones. ``name`` may be null. Repeated rows give
     one result; without rows the result is empty. Texts are processed whole.
+
+    The tail of an answer is its last two words. Likely ends are those after which sentences and other answers end; a last
+    word unknown elsewhere is judged by its characters. Tails are judged once each and joined back by salted keys.
     """
     rows = pairs.select(F.col("id").cast("string").alias("id"), "prompt", "answer", "name").where(F.col("prompt").rlike(r"\S"))
-    plain = rows.withColumn("plain", _plain_defect(F.col("prompt"), F.col("answer"), F.col("name")))
-    first = plain.where("plain is not null").select("id", F.col("plain").alias("defect"))
-    rest = plain.select("id", "prompt", "answer", F.col("plain").isNull().alias("candidate"))
-    other = _languages(rest.where("candidate").select("id", "prompt", "answer"), model).where("other").select("id", F.lit("language").alias("defect"))
-    cut = truncated(rest.select("id", "answer", "candidate"), path).where("truncated").select("id", F.lit("truncated").alias("defect"))
-    rank = F.when(F.col("defect") == "truncated", 1).otherwise(0)
-    found = first.unionByName(other).unionByName(cut)
-    return found.groupBy("id").agg(F.min_by("defect", rank).alias("defect"))
+    seen = cut_lineage(rows.mapInPandas(_examine(model.logs), _OUT))
+    found = seen.where("defect is not null").select("id", "defect")
+    unsure = seen.where("id is not null and defect is null").select("id", "w1", "w2").distinct()
+    tails = unsure.groupBy("w1", "w2").agg((F.count("*") - 1).alias("others"))
+    counts = seen.where("id is null").groupBy("w1", "w2").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    singles = counts.groupBy("w2").agg(F.sum("ends").alias("ends1"), F.sum("goes_on").alias("on1"))
+    known = tails.join(counts, ["w1", "w2"], "left").join(singles, "w2", "left")
+    prior = F.col("ends1") / (F.col("ends1") + F.col("on1"))
+    ends = F.coalesce("ends", F.lit(0)) + F.col("others")
+    likely = (ends + PRIOR * prior) / (ends + F.coalesce("goes_on", F.lit(0)) + PRIOR)
+    cut = known.select("w1", "w2", F.when(prior.isNotNull(), likely < LIKELY_END).otherwise(_cut_word(path)(F.col("w2"))).alias("cut")).where("cut")
+    truncated = salted_join(unsure, cut.drop("cut"), ["w1", "w2"]).select("id", F.lit("truncated").alias("defect"))
+    return found.unionByName(truncated).groupBy("id").agg(F.min("defect").alias("defect"))
 
 
 def _pairs(spark, sf_dir: str) -> DataFrame:
