@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions.text import file_name, path_tokens, placeholders, split_lines, strip
 from scriptoria.functions.vocabulary import EVIDENCE_SKIP, RANKING_SKIP, RANKING_SUFFIXES, RANKING_WORDS, REFERENCE_SUFFIXES, SECTIONS
-from scriptoria.runtime import salted_join
+from scriptoria.runtime import salted_join, widen
 
 Sections = list[tuple[str, str, list[str]]]
 _EDGE = r"[\p{L}\p{M}\p{N}_]"
@@ -31,6 +31,12 @@ def first_section(line: Column, sections: Sections = SECTIONS) -> Column:
     return out
 
 
+def any_keyword(sections: Sections = SECTIONS) -> str:
+    """The pattern of any section's keyword as a whole word of a text in lower case; the edge before it is checked last."""
+    words = sorted({w for _, _, ws in sections for w in ws}, key=lambda w: (-len(w), w))
+    return rf"(?:{'|'.join(map(re.escape, words))})(?!{_EDGE})(?<!{_EDGE}(?:{'|'.join(map(re.escape, words))}))"
+
+
 def map_evidence(docs: DataFrame, id_col: str, path_col: str, text_col: str, top: int | None = 10, window: int = 20, sections: Sections = SECTIONS, skip: list[str] = EVIDENCE_SKIP) -> DataFrame:
     """``(section, rank, id, path, line_no, snippet)``: the best snippets of each section.
 
@@ -40,16 +46,25 @@ def map_evidence(docs: DataFrame, id_col: str, path_col: str, text_col: str, top
     steps, first within salted parts, so that a section that holds most rows is not sorted in one task. ``top`` None
     keeps all, unranked. Null paths are files at the root; null texts have no lines.
     """
-    parts = F.transform(F.split(F.lower(F.coalesce(path_col, F.lit(""))), "/"), lambda x: x)
+    parts = F.split(F.lower(F.coalesce(path_col, F.lit(""))), "/")
     inside = F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skip]))
-    lines = docs.select(id_col, path_col, inside.alias("__in"), F.array_contains(parts, "docs").alias("__docs"), split_lines(F.col(text_col)).alias("__lines"))
-    hits = lines.select("*", F.posexplode("__lines").alias("__pos", "__line")).withColumn("section", first_section(F.col("__line"), sections)).where("section is not null and not (__in and section = 'Overview')")
-    after = F.when(F.col("__in"), F.array().cast("array<string>")).otherwise(F.slice("__lines", F.col("__pos") + 2, window))
-    stop = F.array_position(F.transform(after, lambda x: (strip(x) == "") | x.rlike(r"^\s*(?:#|<h[1-6])")), F.lit(True)).cast("int")
-    taken = F.transform(F.when(stop > 0, F.slice(after, 1, stop - 1)).otherwise(after), strip)
-    snippet = F.concat(strip(F.col("__line")), F.when(F.size(taken) > 0, F.concat(F.lit("\n"), F.array_join(taken, " "))).otherwise(""))
-    first = (F.col("section") == "Overview") & ((F.lower(file_name(F.col(path_col))) == "readme.md") | F.col("__docs"))
-    found = hits.select("section", F.when(F.coalesce(first, F.lit(False)), 0).otherwise(1).alias("__prio"), id_col, path_col, (F.col("__pos") + 1).alias("line_no"), snippet.alias("snippet"))
+    first = (F.lower(file_name(F.col(path_col))) == "readme.md") | F.array_contains(parts, "docs")
+    rows = widen(docs.select(id_col, path_col, text_col)).select(id_col, path_col, inside.alias("__in"), F.coalesce(first, F.lit(False)).alias("__first"), split_lines(F.col(text_col)).alias("__lines"))
+    # hits are found by their index within the row, so that no row carries the lines of its text
+    is_hit = lambda i: F.lower(F.element_at("__lines", i)).rlike(any_keyword(sections))
+    rows = rows.select("*", F.filter(F.when(F.size("__lines") > 0, F.sequence(F.lit(1), F.size("__lines"))), is_hit).alias("__at"))
+
+    def hit(i: Column) -> Column:
+        after = F.when(F.col("__in"), F.array().cast("array<string>")).otherwise(F.slice("__lines", i + 1, window))
+        return F.struct(i.alias("line_no"), F.element_at("__lines", i).alias("line"), after.alias("after"))
+
+    hits = rows.select(id_col, path_col, "__in", "__first", F.explode(F.transform("__at", hit)).alias("__h")).select(id_col, path_col, "__in", "__first", "__h.*")
+    hits = hits.withColumn("section", first_section(F.col("line"), sections))
+    stop = F.array_position(F.transform("after", lambda x: (strip(x) == "") | x.rlike(r"^\s*(?:#|<h[1-6])")), F.lit(True)).cast("int")
+    taken = F.transform(F.when(stop > 0, F.slice("after", 1, stop - 1)).otherwise(F.col("after")), strip)
+    snippet = F.concat(strip(F.col("line")), F.when(F.size(taken) > 0, F.concat(F.lit("\n"), F.array_join(taken, " "))).otherwise(""))
+    prio = F.when((F.col("section") == "Overview") & F.col("__first"), 0).otherwise(1)
+    found = hits.select("section", prio.alias("__prio"), id_col, path_col, "line_no", snippet.alias("snippet"), "__in").where("section is not null and not (__in and section = 'Overview')").drop("__in")
     if top is None:
         return found.drop("__prio")
     order = [F.col("__prio"), F.length("snippet").desc(), F.col(id_col), F.col("line_no")]

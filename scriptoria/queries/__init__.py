@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from scriptoria.queries import code, corpus
+
+FLAGSHIP = "section_evidence"
+QUERIES = corpus.QUERIES | code.QUERIES
+SQL = corpus.SQL | code.SQL

@@ -45,6 +45,15 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """``df`` spread over more tasks if its scan has fewer than the session has cores, as a small single file has; else as it is.
+
+    Inputs large enough to have a partition per core are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join in which one key of ``big`` may hold a large share of all rows.
 
