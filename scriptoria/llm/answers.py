@@ -19,7 +19,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from scriptoria.llm.language import Model, cleaned, train
 from scriptoria.llm.tokenizer import TOKENIZERS, VOCABULARY
-from scriptoria.runtime import cut_lineage, salted_join, table
+from scriptoria.runtime import cut_lineage, salted_join, table, widen
 
 #: Least lead of the likeliest language of either text, in nats.
 LEAD = 8.0
@@ -225,7 +225,7 @@ def defects(pairs: DataFrame, model: Model, path: str = f"{TOKENIZERS}/{VOCABULA
 
 
 def _pairs(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "symbols").select(F.col("symbol_id").alias("id"), F.col("docstring").alias("prompt"), F.col("summary").alias("answer"), "name")
+    return widen(table(spark, sf_dir, "symbols").select(F.col("symbol_id").alias("id"), F.col("docstring").alias("prompt"), F.col("summary").alias("answer"), "name"))
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:

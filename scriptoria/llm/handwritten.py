@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.runtime import table
+from scriptoria.runtime import table, widen
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def classify(modules: DataFrame, id_col: str = "module_id", source_col: str = "s
 
 
 def _judged(spark, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "modules").select("module_id", "source", "language", "relpath"))
+    return classify(widen(table(spark, sf_dir, "modules").select("module_id", "source", "language", "relpath")))
 
 
 def p2_kinds(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.tokenizer import encode
-from scriptoria.runtime import cut_lineage, table
+from scriptoria.runtime import cut_lineage, table, widen
 
 #: Most sources of one mix, which bounds the patterns and the flow network on the driver.
 MAX_SOURCES = 16
@@ -201,7 +201,7 @@ def _targets(spark, sf_dir: str) -> list[Target]:
 
 def p7_mix(spark, sf_dir: str) -> DataFrame:
     """The documents of the largest mix that meets every target share."""
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _targets(spark, sf_dir))
+    return mix(widen(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), _targets(spark, sf_dir))
 
 
 def p7_shares(spark, sf_dir: str) -> DataFrame:

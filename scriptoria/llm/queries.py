@@ -32,4 +32,9 @@ QUERIES = {
     "p8_lengths": p8_lengths,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": (
+        "SELECT DISTINCT 'snippet' AS item_kind, CAST(evidence_id AS VARCHAR) AS item_id FROM evidence JOIN size_limits ON item_kind = 'snippet' WHERE length(snippet) > max_chars "
+        "UNION ALL SELECT DISTINCT 'source', module_id FROM modules JOIN size_limits ON item_kind = 'source' WHERE length(source) > max_chars"
+    ),
+}

@@ -2,7 +2,7 @@
 
 The least number of pieces is computed from the limit and the overlap, equal-length targets are placed
 and each is snapped to the strongest boundary nearby. If a limit fails, or a cut finds no boundary,
-a further piece is tried.
+further pieces are added.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from scriptoria.runtime import table
 
-#: Pieces tried beyond the least number before a cut without a boundary is accepted.
+#: Pieces tried beyond the least number before cuts are placed one after the other.
 EXTRA = 3
 #: Most kinds of items in one table of limits.
 MAX_KINDS = 1000
@@ -89,12 +89,9 @@ def _joined(text: str, at: int) -> bool:
     return (a == "\r" and b == "\n") or b in "‍️︎‌" or a == "‍" or (b > "̀" and unicodedata.category(b)[0] == "M") or "\U0001f3fb" <= b <= "\U0001f3ff"
 
 
-def _safe(text: str, at: int, low: int) -> int:
-    """The last position up to ``at``, but after ``low``, that parts no characters; ``at`` if there is none."""
-    p = at
-    while p > low and _joined(text, p):
-        p -= 1
-    return p if p > low else at
+def _safe(text: str, at: int, low: int, high: int) -> int | None:
+    """The position in low..high nearest before ``at``, else after it, that parts no characters."""
+    return next((p for p in (*range(at, low - 1, -1), *range(at + 1, high + 1)) if not _joined(text, p)), None)
 
 
 def split(text: str, limit: int, overlap: int = 0, code: bool = False) -> list[tuple[int, int, int]]:
@@ -117,7 +114,11 @@ def split(text: str, limit: int, overlap: int = 0, code: bool = False) -> list[t
             best = cuts, blind
         if best is not None and best[1] == 0:
             break
-    cuts = best[0] if best else [*range(limit, size, stride)]
+    if best is None or best[1]:
+        free = _place_freely(text, size, limit, stride, places, strengths)
+        if best is None or free[1] < best[1]:
+            best = free
+    cuts = best[0]
     pieces, start = [], 0
     for i, end in enumerate([*cuts, size]):
         cut = cuts[i - 1] if i else 0
@@ -141,13 +142,31 @@ def _place(text: str, size: int, n: int, limit: int, stride: int, places: list[i
         at = max(range(a, b), key=lambda k: (strengths[k] - 6.0 * abs(places[k] - target) / reach, -places[k]), default=None)
         if at is None:
             blind += 1
-            last = _safe(text, min(max(target, low), high), low - 1)
+            last = _safe(text, min(max(target, low), high), low, high)
+            if last is None:
+                return None, 0
         else:
             last = places[at]
         cuts.append(last)
     return (cuts, blind) if size - last <= stride else (None, 0)
 
 
+def _place_freely(text: str, size: int, limit: int, stride: int, places: list[int], strengths: list[int]) -> tuple[list[int], int]:
+    """Cuts of as many pieces as boundaries ask for: each target balances what is left, and any boundary within reach will do."""
+    cuts, blind, last = [], 0, 0
+    while size - last > (limit if not cuts else stride):
+        reach = limit if not cuts else stride
+        target = last + (size - last) / ceil((size - last) / reach)
+        a, b = bisect_right(places, last), bisect_right(places, last + reach)
+        near = bisect_right(places, last + reach // 3)
+        at = max(range(near if near < b else a, b), key=lambda k: (strengths[k] - 6.0 * abs(places[k] - target) / reach, -places[k]), default=None)
+        blind += at is None
+        # a run of marks longer than a piece has to be parted somewhere
+        last = (_safe(text, last + reach, last + 1, last + reach) or last + reach) if at is None else places[at]
+        cuts.append(last)
+    return cuts, blind
+
+
 def _overlap_start(text: str, cut: int, overlap: int, places: list[int], strengths: list[int]) -> int:
     """Where a piece begins before its cut: at the strongest boundary within reach, else as early as allowed."""
     if not overlap:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from scriptoria.runtime import spread, table
+from scriptoria.runtime import table, widen
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -196,11 +196,11 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "ids", path: str
 
 def p6_ids(spark, sf_dir: str) -> DataFrame:
     """doc_id and token ids of every document."""
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode(widen(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p6_length_histogram(spark, sf_dir: str) -> DataFrame:
     """Documents and tokens by power of two of the length in tokens (-1 for none)."""
-    lengths = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), out="n", count_only=True)
+    lengths = encode(widen(table(spark, sf_dir, "documents").select("doc_id", "text")), out="n", count_only=True)
     band = F.when(F.col("n") == 0, -1).otherwise(F.floor(F.log2("n")).cast("int"))
     return lengths.groupBy(band.alias("band")).agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
