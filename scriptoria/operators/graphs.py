@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.runtime import cut_lineage
+from scriptoria.runtime import cut_lineage, salted_join
 
 
 def components_of(names: Iterable[str], links: Iterable[tuple[str, str]]) -> dict[str, int]:
@@ -116,8 +116,8 @@ def components(edges: DataFrame, source: str = "source", target: str = "target",
     """``(node, component)``: the smallest node of each node's component, over a graph of any size.
 
     Alternating star contractions: each round links every node's larger neighbours to its smallest one, then every
-    node's neighbours to the smallest. The number of rounds grows with the logarithm of the number of nodes. A node of very
-    many links only takes part in aggregates with map-side combination. Null ends are ignored, loops give single nodes.
+    node's neighbours to the smallest. The number of rounds grows with the logarithm of the number of nodes. Minima
+    are combined before they are shuffled, and the joins are salted, so a node may hold most links. Null ends are ignored, loops give single nodes.
     """
     ends = edges.select(F.col(source).cast("string").alias("u"), F.col(target).cast("string").alias("v")).where("u is not null and v is not null")
     every = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -127,10 +127,10 @@ def components(edges: DataFrame, source: str = "source", target: str = "target",
         # large star: larger neighbours of each node are linked to the smallest of the node and its neighbours
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours not larger than a node, and the node, are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = salted_join(large, low, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         links = cut_lineage(small)
         state = links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if state == before:

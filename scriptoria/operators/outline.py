@@ -88,4 +88,4 @@ def first_of_each(rows: DataFrame, key: Column, order: list[str], columns: list[
 def folder_sizes(files: DataFrame, path_col: str) -> DataFrame:
     """``(folder, files)``: number of files directly in each folder."""
     p = F.col(path_col)
-    return files.where(p.isNotNull()).select(F.regexp_extract(p, r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), file_name(p).alias("name")).distinct().groupBy("folder").agg(F.count("*").alias("files"))
+    return files.where(F.coalesce(p, F.lit("")) != "").select(F.regexp_extract(p, r"^(?:(.*)/)?[^/]*$", 1).alias("folder"), file_name(p).alias("name")).distinct().groupBy("folder").agg(F.count("*").alias("files"))
