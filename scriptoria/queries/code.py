@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptoria import parsers
+from scriptoria.operators import diagrams as D
 from scriptoria.operators import callgraph as G
 from scriptoria.operators import graphs as R
 from scriptoria.operators import outline as O
@@ -69,8 +70,28 @@ def call_components(spark, sf):
     return R.components(e.select(key(F.col("source")).alias("source"), key(F.col("target")).alias("target")))
 
 
+def call_positions(spark, sf):
+    d = _defs(spark, sf)
+    e = G.edges(G.resolve_calls(d))
+    return D.positions(G.nodes(d, e), e)
+
+
+def call_extents(spark, sf):
+    return D.extents(call_positions(spark, sf))
+
+
+def call_drawings(spark, sf):
+    d = _defs(spark, sf)
+    e = G.edges(G.resolve_calls(d))
+    return D.call_graph_svg(G.nodes(d, e), e)
+
+
+def most_called(spark, sf):
+    return G.most_called(_edges(spark, sf), 3).select("module_id", "qualname", "n", F.col("rank").cast("long").alias("rank"))
+
+
 def project_components(spark, sf):
-    """Projects linked by a document that lies in one and mentions another's path: components of a graph of sources."""
+    """Components of the graph that links projects with the languages of their documents."""
     d = table(spark, sf, "documents").where("project is not null and lang is not null").select("project", "lang").distinct()
     return R.components(d.select(F.concat(F.lit("p:"), "project").alias("source"), F.concat(F.lit("l:"), "lang").alias("target")))
 
@@ -168,6 +189,10 @@ QUERIES = {
     "call_layers": call_layers,
     "call_levels": call_levels,
     "call_components": call_components,
+    "call_positions": call_positions,
+    "call_extents": call_extents,
+    "call_drawings": call_drawings,
+    "most_called": most_called,
     "project_components": project_components,
     "module_outlines": module_outlines,
     "class_members": class_members,
@@ -193,6 +218,9 @@ SQL = {
     "callers": _DEFS + "SELECT module_id, target AS qualname, string_agg(DISTINCT source, ' ' ORDER BY source) AS callers, count(DISTINCT source) AS n FROM edges WHERE NOT external GROUP BY 1, 2",
     "call_degrees": _DEFS + ", o AS (SELECT module_id, source AS qualname, count(*) FILTER (NOT external) AS calls_out, count(*) FILTER (external) AS calls_external FROM edges GROUP BY 1, 2), i AS (SELECT module_id, target AS qualname, count(*) AS calls_in FROM edges WHERE NOT external GROUP BY 1, 2) SELECT d.module_id, d.qualname, coalesce(calls_out, 0) AS calls_out, coalesce(calls_external, 0) AS calls_external, coalesce(calls_in, 0) AS calls_in FROM defs d LEFT JOIN o USING (module_id, qualname) LEFT JOIN i USING (module_id, qualname)",
     "call_clusters": _DEFS + ", n AS (SELECT module_id, source AS qualname FROM edges UNION SELECT module_id, target FROM edges WHERE NOT external) SELECT module_id, string_split(qualname, '.')[1] AS cluster, count(*) AS members FROM n GROUP BY 1, 2 HAVING count(*) >= 2",
+    "most_called": _DEFS + ", c AS (SELECT module_id, target AS qualname, count(*) AS n FROM edges WHERE NOT external GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY n DESC, qualname) AS rank FROM c) SELECT module_id, qualname, n, rank FROM r WHERE rank <= 3",
+    "call_components": _DEFS.replace("WITH s AS", "WITH RECURSIVE s AS") + """, k AS (SELECT DISTINCT module_id || '/' || source AS a, module_id || '/' || target AS b FROM edges), l AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+reach AS (SELECT a AS node, a AS r FROM l UNION SELECT x.node, l.b FROM reach x JOIN l ON l.a = x.r) SELECT node, min(r) AS component FROM reach GROUP BY node""",
     "project_components": """WITH RECURSIVE e AS (SELECT DISTINCT 'p:' || project AS a, 'l:' || lang AS b FROM documents WHERE project IS NOT NULL AND lang IS NOT NULL), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""",
     "last_module_summary": "WITH m AS (SELECT DISTINCT module_id, name, coalesce(module_docstring, header) AS summary, scanned_at FROM modules WHERE name IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY scanned_at DESC NULLS LAST, module_id DESC) AS r FROM m) SELECT name, summary FROM r WHERE r = 1",
