@@ -12,9 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.runtime import hashed_sample
+
 LANGUAGES = ("en", "de", "fr", "es", "ru", "zh", "ja", "th", "hi", "ar")
-#: Buckets of the n-grams, orders of the n-grams, and most labelled rows used.
-BUCKETS, ORDERS, SAMPLE = 1 << 15, (1, 2, 3), 4000
+#: Buckets of the n-grams, orders of the n-grams, most labelled rows used, and longest text among them.
+BUCKETS, ORDERS, SAMPLE, LONGEST = 1 << 15, (1, 2, 3), 4000, 20_000
 
 # Plain sentences that give each language a prior.
 SEEDS = {
@@ -106,14 +108,14 @@ class Model:
 
 
 def train(labelled: DataFrame | None = None, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from the seeds and at most ``sample`` rows of ``labelled``, picked by a hash of their text.
+    """A model from the seeds and at most ``sample`` rows of ``labelled``, picked by a hash of the row.
 
     Rows whose label the seeds contradict are left out; null, empty and unknown labels teach nothing.
     """
     texts, labels = [cleaned(SEEDS[k]) for k in LANGUAGES], list(range(len(LANGUAGES)))
     counts = Model.count(texts, labels) * 3
     if labelled is not None:
-        rows = labelled.select(F.substring(text_col, 1, 2000).alias("t"), F.lower(F.trim(label_col)).alias("l")).where("t <> ''").orderBy(F.xxhash64("t"), "t").limit(sample).collect()
+        rows = hashed_sample(labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(label_col)).alias("l")).where(f"t <> '' and length(t) <= {LONGEST}"), sample)
         known = [(cleaned(r["t"]), LANGUAGES.index(_LABELS[r["l"]])) for r in rows if r["l"] in _LABELS]
         for _ in range(2):
             model = Model(counts)
