@@ -85,7 +85,8 @@ def document_blocks(spark, sf):
 
 
 def document_chunks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(C.chunks(F.col("text"), 120)).alias("pos", "chunk"))
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(C.chunks(F.col("text"), 120)).alias("pos", "chunk"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
 def limited_document_chunks(spark, sf):
@@ -324,3 +325,14 @@ f AS (SELECT 'ASSISTANT' AS kind, section_id FROM x WHERE {' OR '.join(f'contain
  UNION ALL SELECT 'CONTRADICTION', section_id FROM p WHERE contains(lower(regexp_replace(array_to_string(t[1:2], ' '), '<[^>]+>', '', 'g')), 'no classes'))
 SELECT kind, count(*) AS findings, count(DISTINCT section_id) AS pages FROM f GROUP BY kind""",
 }
+
+#: Packing is a fold: a recursive query walks the blocks of all documents side by side.
+SQL["document_chunks"] = f"""WITH RECURSIVE blocks AS ({SQL['document_blocks']}),
+b AS (SELECT doc_id, pos, block, len(list_filter(regexp_split_to_array(block, '{BLANK}+'), lambda w: w <> '')) AS n FROM blocks),
+f AS (SELECT doc_id, pos, CASE WHEN n <= 120 THEN n ELSE 0 END AS used, 1 AS g FROM b WHERE pos = 0
+  UNION ALL SELECT b.doc_id, b.pos, CASE WHEN b.n > 120 THEN 0 WHEN f.used > 0 AND f.used + b.n <= 120 THEN f.used + b.n ELSE b.n END,
+    CASE WHEN b.n <= 120 AND f.used > 0 AND f.used + b.n <= 120 THEN f.g ELSE f.g + 1 END FROM f JOIN b ON b.doc_id = f.doc_id AND b.pos = f.pos + 1),
+c AS (SELECT doc_id, g, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS t, max(n) AS n FROM f JOIN b USING (doc_id, pos) GROUP BY doc_id, g),
+s AS (SELECT *, CASE WHEN n <= 120 THEN length(t) ELSE greatest(120 * greatest(length(t) // n, 1), 1) END AS step FROM c),
+x AS (SELECT *, unnest(range(0, (length(t) + step - 1) // step)) AS i FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1 AS pos, substring(t, i * step + 1, step) AS chunk FROM x"""
