@@ -11,7 +11,7 @@ from scriptoria.operators import chunking as C
 from scriptoria.operators import evidence as E
 from scriptoria.operators import lint as L
 from scriptoria.operators.cache import misses
-from scriptoria.operators.outline import first_of_each
+from scriptoria.operators.outline import first_of_each, listed
 from scriptoria.runtime import first_delivery, table
 
 BLANK = T.BLANK
@@ -141,8 +141,9 @@ def annotated_sections(spark, sf):
 
 def parsed_manuals(spark, sf):
     s = first_delivery(table(spark, sf, "manual_sections"), "section_id")
-    text = s.groupBy("manual_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "section_id", F.concat(F.initcap(F.regexp_replace(F.trim(F.coalesce("title", F.lit("x"))), ":$", "")), F.lit(": "), F.coalesce("body", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return E.parse_manual(text, "manual_id", "text")
+    section = F.concat(F.regexp_replace(F.trim(F.coalesce("title", F.lit("x"))), ":$", ""), F.lit(": "), F.coalesce("body", F.lit("")))
+    text = listed(s.select("manual_id", "ord", "section_id", section.alias("t")), ["manual_id"], F.col("t"), ["ord", "section_id"])
+    return E.parse_manual(text, "manual_id", "text").select("manual_id", "title", "body")
 
 
 def inferred_sections(spark, sf):
@@ -336,3 +337,14 @@ c AS (SELECT doc_id, g, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS t,
 s AS (SELECT *, CASE WHEN n <= 120 THEN length(t) ELSE greatest(120 * greatest(length(t) // n, 1), 1) END AS step FROM c),
 x AS (SELECT *, unnest(range(0, (length(t) + step - 1) // step)) AS i FROM s)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, i) - 1 AS pos, substring(t, i * step + 1, step) AS chunk FROM x"""
+
+SQL["parsed_manuals"] = f"""WITH s AS (SELECT DISTINCT section_id, manual_id, ord, regexp_replace(trim(coalesce(title, 'x')), ':$', '') || ': ' || coalesce(body, '') AS t FROM manual_sections),
+m AS (SELECT manual_id, string_agg(t, chr(10) ORDER BY ord, section_id) AS text FROM s GROUP BY manual_id),
+d AS (SELECT manual_id, {_split('text')} AS l FROM m),
+x AS (SELECT manual_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM d),
+y AS (SELECT manual_id, n, {_strip('line')} AS s FROM x),
+z AS (SELECT *, regexp_matches(s, '^[A-Za-z &]+:') AS h FROM y WHERE s <> ''),
+g AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY manual_id ORDER BY n) AS g FROM z),
+p AS (SELECT manual_id, g, max(CASE WHEN h THEN trim(regexp_extract(s, '^([A-Za-z &]+):', 1)) END) AS title,
+  coalesce(string_agg(CASE WHEN h THEN trim(regexp_replace(s, '^[A-Za-z &]+:\\s*', '')) ELSE s END, chr(10) ORDER BY n) FILTER (NOT h OR trim(regexp_replace(s, '^[A-Za-z &]+:\\s*', '')) <> ''), '') AS body FROM g WHERE g > 0 GROUP BY manual_id, g)
+SELECT manual_id, title, arg_max(body, g) AS body FROM p GROUP BY manual_id, title"""
