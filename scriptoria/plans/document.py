@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.functions.text import escape_html, file_name, stem
+from scriptoria.functions.text import escape_html, file_name, stem, word_count
 from scriptoria.operators.outline import function_prompt, member_bullets, module_outline
 from scriptoria.parsers import modules_of, parse_files, rejects_of, symbols_of
 from scriptoria.plans.models import Summariser
-from scriptoria.plans.summarise import CONTEXT, summarise
+from scriptoria.plans.summarise import CONTEXT, budget, summarise
 from scriptoria.runtime import cut_lineage
 from scriptoria.sinks.pages import index_page, filled, module_pages, write_pages
 from scriptoria.sources.extract import document_text
@@ -43,6 +43,20 @@ def parse_tree(spark: SparkSession, base: str, ignore: list[str] | tuple[str, ..
     return modules, symbols_of(parsed), rejects_of(parsed)
 
 
+def module_parts(modules: DataFrame, symbols: DataFrame, class_words: int) -> DataFrame:
+    """``(module_id, parts)``: the pieces a long module is packed from, in order.
+
+    Its docstring, its classes (of a class above ``class_words`` its methods and variables instead), variables, statements and functions.
+    """
+    large = symbols.where("kind = 'class' and parent_id is null").select(F.col("symbol_id").alias("parent_id"), (word_count(F.col("source")) > class_words).alias("large"))
+    rank = F.when(F.col("parent_id").isNotNull() | (F.col("kind") == "class"), 1).when(F.col("kind") == "variable", 2).when(F.col("kind") == "statement", 3).otherwise(4)
+    whole = symbols.where("parent_id is null").join(large.select(F.col("parent_id").alias("symbol_id"), "large"), "symbol_id", "left").where("not coalesce(large, false)")
+    inner = symbols.where("kind in ('method', 'variable') and parent_id is not null").join(large.where("large"), "parent_id", "left_semi")
+    keep = ["module_id", rank.alias("r"), F.coalesce("lineno", "ord", F.lit(0)).alias("at"), "symbol_id", F.coalesce("source", "signature", "name", F.lit("")).alias("t")]
+    pieces = whole.select(*keep).unionByName(inner.select(*keep)).unionByName(modules.select("module_id", F.lit(0).alias("r"), F.lit(0).alias("at"), F.lit("").alias("symbol_id"), F.coalesce("module_docstring", F.lit("")).alias("t")))
+    return pieces.where("t <> ''").groupBy("module_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "at", "symbol_id", "t"))), lambda x: x["t"]).alias("parts"))
+
+
 def rewrite_docstrings(symbols: DataFrame, classes: DataFrame, model: Summariser, cache: str | None, context: int) -> DataFrame:
     """``(id, summary)`` of the methods and variables with a docstring, told what their class does."""
     rows = symbols.where("parent_id is not null and coalesce(docstring, '') <> ''").join(classes.select(F.col("id").alias("parent_id"), F.col("summary").alias("about")), "parent_id")
@@ -54,7 +68,8 @@ def document(spark: SparkSession, base: str, model: Summariser, out: str | None
     """Document the tree at ``base``; pages are written below ``out`` if given. Files that do not parse are rejects."""
     modules, symbols, rejects = parse_tree(spark, base, [*ignore, *([out] if out else [])])
     modules, symbols = cut_lineage(modules), cut_lineage(symbols)
-    by_module = summarise(modules.select(F.col("module_id").alias("id"), "source" if "source" in modules.columns else "module_docstring").toDF("id", "text"), model, "module", cache, context)
+    told = modules.select("module_id", F.coalesce("source", "module_docstring").alias("text")).join(module_parts(modules, symbols, budget("module", context)[1]), "module_id", "left")
+    by_module = summarise(told.withColumnRenamed("module_id", "id"), model, "module", cache, context)
     members = symbols.where(F.col("kind") != "class")
     texts = function_prompt(members).select(F.col("symbol_id").alias("id"), F.col("prompt").alias("text"))
     by_member = summarise(texts, model, "function", cache, context)

@@ -7,7 +7,7 @@ never over rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from scriptoria.functions.text import content_key
 from scriptoria.functions.vocabulary import MERGE_INSTRUCTIONS, PROMPTS, SYSTEM_PROMPT
 from scriptoria.operators.cache import answered, append, misses, open_cache
-from scriptoria.operators.chunking import Counter, chunks_of, count_words, groups_of
+from scriptoria.operators.chunking import Counter, chunks_of, count_words, groups_of, structural_chunks_of
 from scriptoria.plans.models import Summariser
 from scriptoria.runtime import cut_lineage, spread
 
@@ -60,9 +60,12 @@ def _texts(function):
     return run
 
 
-def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cache_path: str | None = None, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words) -> DataFrame:
+def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cache_path: str | None = None, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words, after_chunk: Callable[[str], str] | None = None) -> DataFrame:
     """``(id, summary)`` of ``texts`` (id, text): one call where the text fits, else parts and merges.
 
+    A column ``parts`` (array of strings), where not null, is what a text that does not fit is packed from; otherwise its blocks are.
+    ``after_chunk`` is applied to each part's answer before it is merged.
+
     Failed parts are skipped; without any part the summary is empty. If merging has not ended after ``LEVELS`` levels, as with
     a model that does not shorten, the parts are joined. Null texts count as empty. A second run over the same cache makes no calls.
     """
@@ -72,11 +75,17 @@ def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cach
     cache = open_cache(spark, cache_path)
     new: list[DataFrame] = []
     tokens = F.pandas_udf(lambda s: s.map(count), "long")
-    rows = texts.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n", tokens("text"))
-    parts = rows.select("id", F.posexplode(F.when(F.col("n") <= available, F.array("text")).otherwise(_texts(lambda t: chunks_of(t, size, count))(F.col("text")))).alias("pos", "text"), (F.col("n") <= available).alias("whole"))
+    given = F.col("parts") if "parts" in texts.columns else F.lit(None).cast("array<string>")
+    rows = texts.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), given.alias("parts")).withColumn("n", tokens("text"))
+    blocks, packed = _texts(lambda t: chunks_of(t, size, count)), _texts(lambda p: structural_chunks_of([x for x in p if x] if p is not None else [], size, count))
+    cut = F.when(F.col("n") <= available, F.array("text")).when(F.col("parts").isNotNull(), packed(F.col("parts"))).otherwise(blocks(F.col("text")))
+    parts = rows.select("id", F.posexplode(cut).alias("pos", "text"), (F.col("n") <= available).alias("whole"))
     prefix = F.when(F.col("whole"), F.lit(kind)).otherwise(F.concat(F.lit(f"{kind}:part"), F.col("pos").cast("string")))
     done, fresh = ask(parts.withColumn("key", content_key(prefix, F.col("text"))), model, cache, kind)
     new.append(fresh)
+    if after_chunk:
+        hook = F.pandas_udf(lambda s: s.map(after_chunk, na_action="ignore"), StringType())
+        done = done.withColumn("value", F.when(F.col("whole"), F.col("value")).otherwise(hook("value")))
     state = cut_lineage(done.where("value is not null").select("id", "pos", "value", "whole"))
     finished = [state.where("whole").select("id", F.col("value").alias("summary"))]
     open_parts = state.where("not whole").select("id", "pos", "value")

@@ -6,9 +6,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from scriptoria.functions.vocabulary import MERGE_INSTRUCTIONS
 from scriptoria.operators import cache as K
 from scriptoria.operators import lint as L
-from scriptoria.plans.document import document, parse_tree
+from scriptoria.plans.document import document, module_parts, parse_tree
 from scriptoria.plans.manual import code_snippet, scan_code, write_manual
 from scriptoria.plans.models import Extractive, HttpModel
 from scriptoria.plans.summarise import budget, summarise
@@ -102,6 +103,28 @@ def test_summaries(spark, tmp_path):
     assert budget("module", 10)[0] == 1 and summarise(df.limit(0), Extractive()).count() == 0
 
 
+class Distinct:
+    """Answers with the distinct words of its text."""
+
+    def summarise(self, text, kind, system=""):
+        return " ".join(sorted({w for w in text.removeprefix(MERGE_INSTRUCTIONS).split() if w.isalpha()}))
+
+
+def test_parts_and_hook(spark):
+    df = spark.createDataFrame([(1, "w " * 400, ["alpha " * 30, "", "beta " * 30, "gamma"]), (2, "w " * 400, None), (3, "short", ["x"])], "id int, text string, parts array<string>")
+    got = {r["id"]: r["summary"] for r in summarise(df, Distinct(), context=120, chunk=30, after_chunk=str.upper).collect()}
+    assert got == {"1": "ALPHA BETA GAMMA", "2": "W", "3": "short"}
+
+
+def test_module_parts(spark):
+    from scriptoria.parsers import modules_of, parse_files, symbols_of
+
+    source = '"""Doc."""\nX = 1\n\n\ndef f():\n    pass\n\n\nclass Big:\n    def m(self):\n        return 1\n\n\nclass Small:\n    pass\n'
+    parsed = parse_files(spark.createDataFrame([("m", "python", source)], "module_id string, language string, content string"))
+    parts = module_parts(modules_of(parsed), symbols_of(parsed), 4).first()["parts"]
+    assert parts == ["Doc.", "def m(self):\n        return 1", "class Small:\n    pass", "X = 1", "def f():\n    pass"]
+
+
 def test_a_model_that_never_shortens_ends(spark):
     long = "\n\n".join("w " * 30 for _ in range(6))
     df = spark.createDataFrame([(1, long)], "id int, text string")
