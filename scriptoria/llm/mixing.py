@@ -140,10 +140,10 @@ def mix(docs: DataFrame, targets: list[Target], seed: int = 0, total: int | None
     """``(doc_id, source, repeats, tokens)``: the documents of the mix, how often each serves.
 
     ``total`` is the size aimed at; by default the largest one that meets all shares, and a total beyond it
-    leaves the scarcest sources short. Sizes miss the quotas by at most a record per pattern, source and
+    leaves the scarcest sources short. Sizes miss the quotas by at most half a record at either end of a pattern, source and
     repetition. Copies of a text within a source serve as one record, represented by the smallest
     ``doc_id``. Null and empty texts, null sources and sources without a target stay out; without
-    any record the result is empty. Records longer than a quota serve if they start before its end.
+    any record the result is empty. A record serves the stretch of tokens that holds its middle.
     """
     if not targets or len(targets) > MAX_SOURCES or len({t.source for t in targets}) < len(targets):
         raise ValueError(f"between 1 and {MAX_SOURCES} distinct sources are needed")
@@ -168,8 +168,8 @@ def mix(docs: DataFrame, targets: list[Target], seed: int = 0, total: int | None
         end[p, r] = start + amount
         stretches.append((p, i, start, start + amount))
     plan = spark.createDataFrame(stretches, "pattern int, __i int, __start long, __end long")
-    starts = F.col("upto") - F.col("tokens")
-    uses = _running_total(records).join(F.broadcast(plan), "pattern").where((starts >= F.col("__start")) & (starts < F.col("__end")))
+    middle = F.col("upto") - F.col("tokens") / 2
+    uses = _running_total(records).join(F.broadcast(plan), "pattern").where((middle >= F.col("__start")) & (middle < F.col("__end")))
     names = F.array(*[F.lit(t.source) for t in targets])
     return uses.groupBy("text_key", "__i").agg(F.first(F.element_at("ids", F.col("__i"))).alias("doc_id"), F.count("*").cast("int").alias("repeats"), F.first("tokens").alias("tokens")).select(
         "doc_id", names[F.col("__i")].alias("source"), "repeats", "tokens"
