@@ -31,6 +31,8 @@ MARK = r"(?:todo|to do|to-do|fixme|xxx|wip|tbd|hint|tip|author's note|note to (?
 TARGET = r"(?:this|the|what|how|why|who|which|your|in|a|an|one|two|here|more|some|when|where)\b"
 
 FILLER = [
+    r"^this (?:section|page|part|chapter) is (?:still |currently )?(?:under construction|empty|being written|a stub|a placeholder)\b|^(?:content|text|description|documentation|details) (?:is |are )?(?:coming soon|to (?:be (?:added|written|done)|follow|come))\b",
+    r"^(?:insert|add|put|enter) (?:your |some |the |a (?:short |brief )?)?(?:text|description|content|summary|introduction)(?: here)?[.!]?$|^placeholder[.!]?$|^(?:example|sample|dummy|placeholder) (?:description|summary|section|title|heading)[.!]?$",
     r"\b(?:lorem ipsum|dolor sit amet|consectetur adipiscing|eiusmod tempor|incididunt ut|magna aliqua)\b(?!.*\b(?:fixture|generator|paragraphs into)\b)",
     r"^(?:sample|dummy|your|example|placeholder|filler|some|more|body|default|test) (?:text|copy|content|paragraph)(?: (?:here|goes here|to follow))?[.!]?$",
     r"\b(?:text|copy|content|description|paragraph|sentence|summary|introduction)s?(?: about the \S+| about \S+| \S+)? (?:goes|go|comes|will go) here\b",
@@ -47,6 +49,7 @@ FILLER = [
     r"^(?:<num> ?){2,}$|^(?:foo|blah|asdf|qwer|hjkl|xxxx?)(?: \S+)?$",
 ]
 HINT = [
+    rf"^\W*{VERB} an? (?:short|brief|concise|one-line) (?:summary|description|introduction|overview|text)\b.*\bhere[.!]?$",
     rf"^\W*{MARK}\b[\s:.\-–—]*{VERB}(?!\w).*$",
     rf"^\W*{VERB} (?:in \S+ (?:sentences?|words?|lines?) )?(?:this section|the text(?: here| below)?|the paragraph below|this (?:text|paragraph|part|line|page|template|block)|what your \S+ does|how (?:users|people|you|to|<\*>) \S+ (?:it|this|your \S+)|your own|your (?:text|project|tool|description|product)|the \S+ part|why your|<\*> (?:text here|paragraph below))\b.*$",
     rf"^\W*{MARK}\W*$",
@@ -55,6 +58,10 @@ HINT = [
     r"^[\"'_*]*(?:your|a short) (?:description|introduction|summary|text) (?:here|goes here)\b",
 ]
 ERROR = [
+    r"\bwe(?:'ll| will) be right back\b|^error (?:establishing|connecting to|loading)\b|^(?:sorry,? )?(?:an?|some) (?:\w+ )?(?:error|problem) (?:has |have )?occurred\b",
+    rf"^(?:sorry,? )?(?:but )?(?:this|the) {PAGE} (?:isn't|is not|is no longer|is currently not) (?:available|found|here)\b|^(?:the )?(?:service|server|site|page) (?:is )?(?:temporarily |currently )unavailable\b",
+    r"^<num> (?:page|file|document) not found\b|\brequested url\b.*\b(?:not found|does not exist)\b|^verifying you are (?:a )?human\b|^loading\b[,.… ]*(?:please wait)?[.… ]*$",
+    r"^segmentation fault\b|\(core dumped\)|\bnomethoderror\b|^undefined (?:method|index|variable|offset)\b",
     rf"^[#=\-*\s]*(?:http(?:/<num>)?\b|error\b|status\b|code\b|fehler\b|erreur\b)?[\s:#\-–—]*(?:<num>)?[\s:\-–—]*(?:{STATUS})[.!]*$",
     rf"^[#\s]*(?:http|error|status)\s*<num>\b[\s:\-–—.]*(?:{STATUS}|<\*>(?: <\*>)*)?[.!]*$",
     r"^\{\s*\"(?:error|errors|status|code|message|detail)\"\s*:.*$",
@@ -74,6 +81,9 @@ ERROR = [
     r"^(?:die|diese) (?:angeforderte |gesuchte )?seite (?:wurde|konnte|ist|existiert)\b|^zugriff verweigert\b|^es ist ein (?:\S+ )?fehler aufgetreten\b|^(?:la )?page (?:demandée )?(?:est )?introuvable\b|^(?:nous sommes désolés|désolé)\b.*\berreur\b|^une erreur (?:\S+ )?est survenue\b|^v[ée]rifiez l'adresse\b|^lo sentimos\b|^p[áa]gina no encontrada\b|^se ha producido un error\b|^acceso denegado\b|^accès refusé\b|^ошибка <num>\b|^страница не найдена\b|^页面(?:未找到|不存在)|^ページが見つかりません",
 ]
 NOTICE = [
+    rf"^{SCRIPTS} (?:must|needs? to|has to|have to) be (?:enabled|activated|turned on|allowed)\b|^{SCRIPTS} (?:is|are) (?:required|needed)\b|^you need {SCRIPTS} (?:to|enabled)\b",
+    rf"\b(?:enable|activate|allow|turn on) cookies and {SCRIPTS}(?!\w)|^(?:this|the|our) {PAGE}s? (?:requires?|needs?) {SCRIPTS} (?:to be|enabled|support)\b",
+    rf"\b(?:benötigt|braucht|erfordert) (?:aktiviertes )?{SCRIPTS}(?!\w)|\b(?:nécessite|requiert) (?:l'activation de )?{SCRIPTS}(?!\w)|\b(?:requiere|necesita) {SCRIPTS}(?!\w)",
     rf"^(?:please |kindly |you (?:must|need to|have to|should) |to \S+ .{{0,40}}, (?:please )?){ENABLE} {SCRIPTS}(?!\w)",
     rf"^{ENABLE} {SCRIPTS}(?! in the \S+ if you want).*\b(?:to (?:view|see|continue|use|run|load|read|display)|in your browser|and reload)\b(?! the call graph)",
     rf"^(?:this |the |our )?{PAGE}s? (?:<\*>|requires?|needs?|depends? on|only works? with|relies on|does not work without|doesn't work without|will not work without) (?:an? )?(?:active )?(?:{SCRIPTS}|script engine|<\*>)[.!]?$",

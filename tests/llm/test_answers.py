@@ -32,6 +32,26 @@ def test_no_pairs_repeats_and_empty(spark):
     assert run(spark, []) == {}
 
 
+ANSWERS = {
+    "empty": [None, "", "-", "No description provided.", "Sin resumen disponible.", "Aucun résumé disponible.", "暂无摘要", "要約なし", "Нет описания.", "<p></p>", "Summary: N/A", "**None**", "TODO", "Description:"],
+    "refusal": [
+        "Sorry, but I cannot help.", "I'm not able to describe it.", "I cannot summarize this.", "Could you provide the code?", "Je ne peux pas résumer ce code.", "К сожалению, я не могу описать этот код.",
+        "很抱歉，我无法总结这段代码。", "申し訳ありませんが、このコードは要約できません。", "Es tut mir leid, aber das geht nicht.", "No puedo ayudar con eso.",
+    ],
+    "copy": ["reads the rows of a table", "> Reads the rows\n> of a table.", "Function: Reads the rows of a table.", "Reads the rows of a table. Args: x: y", '"Reads the rows of a table."'],
+    None: [
+        "Sorry pages are shown to the user.", "I/O errors are raised.", "Declines the request when locked.", "Cannot be called twice.", "Please note: rows are read.", "Empty rows are skipped.", "None of the rows is kept.", "Null rows are dropped.",
+        "Nothing is written when empty.", "Reads the rows of a table and keeps them.",
+    ],
+}
+
+
+def test_answers_by_rule():
+    for defect, answers in ANSWERS.items():
+        for answer in answers:
+            assert plain_defect("Reads the rows of a table.\n\nArgs:\n  x: y", answer, "read_rows") == defect, answer
+
+
 def test_plain_rules():
     assert plain_defect("Read it.", "Reads it.", None) is None
     assert open_ended("a `b") is True and open_ended("done.") is False and open_ended("the last word") is None

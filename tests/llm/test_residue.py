@@ -18,6 +18,18 @@ SOUND = [
 ]
 
 
+MORE_RESIDUE = [
+    "We'll be right back.", "Sorry, this page isn't available.", "Error establishing a database connection", "Describe your project here.", "Add a short description here", "JavaScript must be enabled", "Please enable cookies and JavaScript",
+    "An error has occurred.", "Service temporarily unavailable", "404 page not found", "The requested URL was not found on this server.", "This section is under construction.", "Content coming soon", "JavaScript is required to view this page.",
+    "This site requires JavaScript to be enabled.", "Loading, please wait...", "Diese Seite benötigt JavaScript.", "Segmentation fault (core dumped)", "Placeholder", "Write a short summary of the tool here.", "Página no encontrada",
+]
+MORE_SOUND = [
+    "The page shows an error when the key is missing.", "The tool writes a placeholder text into empty cells.", "JavaScript files are scanned as well.", "Scripts in the tools folder need Python 3.", "Use --enable-javascript to parse scripts.",
+    "Describe the rows with a schema.", "Add a row with the add command.", "Write access is denied by default.", "The todo list is kept in todo.md.", "Insert the disk and start the tool.", "Sample rate is 44 kHz.", "The test suite runs foo and bar.",
+    "Complete the setup by running make.", "Replace the battery once a year.", "Loading takes about 5 seconds.", "Hint: use the cache.", "1. Install the tool.\n2. Start it.",
+]
+
+
 def found(spark, rows):
     df = spark.createDataFrame(rows, "section_id long, body string, kind string, __text string")
     return {r["section_id"]: r["kind"] for r in residue(df).collect()}
@@ -28,6 +40,10 @@ def test_cases_and_sound_texts(spark):
     assert set(found(spark, rows)) == set(range(len(RESIDUE)))
 
 
+def test_further_cases(spark):
+    assert set(found(spark, [(i, t, None, None) for i, t in enumerate(MORE_RESIDUE + MORE_SOUND)])) == set(range(len(MORE_RESIDUE)))
+
+
 def test_nulls_blanks_repeats_and_long_texts(spark):
     long = "A sound sentence about caches. " * 40_000
     rows = [(1, None, None, None), (2, "", "a", "b"), (3, " \n ", "a", "b"), (4, "tbd", None, "b"), (4, "tbd", None, "b"), (5, long, "a", "b"), (6, long + "\nTBD", "a", "b"), (None, "TBD", "a", "b")]
