@@ -161,3 +161,33 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 def p2_handwritten(spark, sf_dir: str) -> DataFrame:
     """Ids of the modules that remain as hand-written source."""
     return p2_kinds(spark, sf_dir).where("kind = 'handwritten'").select("module_id")
+
+
+def sql(select: str) -> str:
+    """The classification in SQL, for comparison; ``select`` reads the table ``judged`` (module_id, kind)."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def at(name: str) -> str:
+        whens = " ".join(f"WHEN {quoted(k)} THEN {getattr(v, name)}" for k, v in LAYOUTS.items() if k)
+        return f"(CASE l {whens} ELSE {getattr(LAYOUTS[''], name)} END)"
+
+    def says(what: str, unless: str) -> str:
+        return f"len(list_filter(head, lambda x: regexp_matches(x, {quoted(what)}) AND NOT regexp_matches(x, {quoted(unless)}))) > 0"
+
+    comment = "(regexp_matches(x, '^[ \\t]*($|//|%|/?\\*|--|;|<!--)') OR (regexp_matches(x, '^[ \\t]*#') AND NOT regexp_matches(x, '^[ \\t]*#(include|define|if|ifdef|ifndef|pragma)')))"
+    return f"""WITH a AS (SELECT module_id, lower(language) AS l, relpath AS p, replace(source, chr(13), '') AS t FROM modules WHERE regexp_matches(source, '[^ \\r\\n\\t]')),
+b AS (SELECT *, string_split(t, chr(10)) AS lines, regexp_replace(t, '[0-9]+', '', 'g') AS masked FROM a),
+c AS (SELECT *, list_filter(string_split(masked, chr(10)), lambda x: x <> '') AS filled, list_max(list_transform(lines, lambda x: length(x))) AS max_line,
+  length(t) - length(replace(replace(t, ' ', ''), chr(9), '')) + len(lines) - 1 AS blanks, length(t) AS chars, length(t) - length(masked) AS digits, coalesce(list_position(list_transform(lines, lambda x: NOT {comment}), true), 0) AS code FROM b),
+d AS (SELECT *, list_transform(CASE WHEN code > 0 THEN lines[1:code-1] ELSE lines END, lambda x: lower(x)) AS head, CASE WHEN max_line >= {LONG} OR digits >= 0.03 * chars THEN list_filter(lines, lambda x: length(x) = max_line)[1] END AS longest,
+  CASE WHEN max_line >= {LONG} THEN regexp_extract(t, '[A-Za-z0-9+/=]{{{LONG},}}') END AS encoded, len(filled) AS n, len(list_distinct(filled)) AS kinds FROM c),
+e AS (SELECT *, chars / len(lines) AS mean_line, blanks / chars AS blank_share, digits / chars AS all_digits, kinds / n AS alike,
+  CASE WHEN longest IS NULL THEN digits / chars ELSE (digits - (length(longest) - length(regexp_replace(longest, '[0-9]+', '', 'g')))) / greatest(chars - max_line, 1) END AS digit_share FROM d),
+f AS (SELECT *, (blank_share <= {at('blank')} AND mean_line >= 40 AND chars >= 120) OR (max_line >= {at('long_line')} AND NOT coalesce(regexp_matches(longest, '^\\s*(//|#|%|/?\\*)'), false)) OR (mean_line >= {at('mean_line')} AND blank_share < 0.14) AS minified FROM e),
+judged AS (SELECT module_id, CASE WHEN {says(VENDORED, OWN)} OR coalesce(regexp_matches(p, {quoted(FOLDER)}), false) THEN 'vendored' WHEN {says(GENERATED, KEPT_BY_HAND)} THEN 'generated'
+  WHEN length(encoded) >= greatest({LONG}, 0.25 * chars) THEN 'data' WHEN minified AND all_digits < 0.12 THEN 'minified' WHEN minified THEN 'data' WHEN alike <= {at('alike')} AND n >= {FEW_LINES} THEN 'generated'
+  WHEN (digit_share >= {at('digits')} AND n >= {FEW_LINES}) OR (greatest(digit_share, all_digits) >= 0.22 AND chars >= 200) THEN 'data'
+  WHEN coalesce(regexp_matches(p, {quoted(MINIFIED_NAME)}), false) AND blank_share < 0.15 THEN 'minified' ELSE 'handwritten' END AS kind FROM f)
+{select}"""
