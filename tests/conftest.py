@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, f"{ROOT}/tests", os.environ.get("PYTHONPATH")) if x)
 
 DATA = Path("/root/testdata/sf0.001")
