@@ -4,17 +4,20 @@ A text is first cut into units that layout alone decides: fenced code, headings,
 paragraphs. Inside a unit a hidden-event n-gram model places boundary tokens between words: it holds how likely
 a boundary follows a word and its marks, and how likely a word follows a boundary or not. Forward and
 backward probabilities over the gaps of a unit give each gap's posterior, which decides it. Thai has no end
-marks; there the blanks between Thai characters are the events. The model is trained here on a bounded sample: units
+marks; there the blanks between Thai characters are the events. The model is trained here on all documents: units
 start with a sentence for certain, gaps without marks or blanks hold no boundary for certain, and the other
-gaps are counted by their posteriors.
+gaps are counted by their posteriors. Gaps influence each other only where they lie close together, so one pass over the
+texts counts words and runs of close gaps, and the rounds of training go over these counts.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from math import exp, log
 
 import pandas as pd
@@ -22,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from scriptoria.runtime import hashed_sample, table, widen
+from scriptoria.runtime import cut_lineage, table, widen
 
-#: Most documents the model is trained on, longest text among them, rounds of training, and most words it remembers.
-SAMPLE, LONGEST, ROUNDS, WORDS = 3000, 20_000, 2, 60_000
+#: Rounds of training, and most words the model remembers: those seen at gaps first, then the most frequent.
+ROUNDS, WORDS = 2, 60_000
+#: Gaps at most so many characters apart influence each other; parts of one that posteriors are counted in, so that sums do
+#: not depend on their order; keys a task counts before it hands them on; longest word that stands for itself.
+NEAR, GRAIN, HELD, LONG_WORD = 3, 1 << 20, 200_000, 64
 
 _MARKS = ".!?…。！？｡।॥؟۔"
 _WIDE = "。！？｡…"
@@ -202,7 +208,7 @@ def _key(word: str) -> str:
     """What stands for a word in the counts: scripts without blanks by two characters."""
     if word and ("぀" <= word[0] <= "鿿" or "฀" <= word[0] <= "๿"):
         return word[:2]
-    return word
+    return word if len(word) <= LONG_WORD else blake2b(word.encode(), digest_size=16).hexdigest()
 
 
 def gaps(text: str, a: int, b: int) -> list[Gap]:
@@ -229,11 +235,12 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
 
 
 class EventModel:
-    """Counts of words after a boundary and after none."""
+    """Counts of words after a boundary and after none, and their totals if there are more words than these."""
 
-    def __init__(self, after: dict[str, float] | None = None, inside: dict[str, float] | None = None) -> None:
+    def __init__(self, after: dict[str, float] | None = None, inside: dict[str, float] | None = None, totals: tuple[float, float] | None = None) -> None:
         self.after, self.inside = after or {}, inside or {}
-        self.total_after, self.total_inside = sum(self.after.values()) + 1.0, sum(self.inside.values()) + 1.0
+        self.totals = totals or (sum(self.after.values()), sum(self.inside.values()))
+        self.total_after, self.total_inside = self.totals[0] + 1.0, self.totals[1] + 1.0
 
     def evidence(self, word: str, follows: str) -> float:
         """Log odds that ``word`` follows a boundary."""
@@ -257,7 +264,7 @@ class EventModel:
             p = PRIORS["wide_closed" if g.kind == "closed" and g.follows == "caseless" else g.kind]
             local.append((1.0 - p, p * exp(self.evidence(g.right, g.follows))))
         # a boundary right after a boundary would leave a sentence of a word or less
-        near = [i > 0 and found[i].end - found[i - 1].start <= 3 for i in range(n)]
+        near = [i > 0 and found[i].end - found[i - 1].start <= NEAR for i in range(n)]
         forward = [[0.0, 0.0] for _ in range(n)]
         for i in range(n):
             for e in (0, 1):
@@ -282,45 +289,81 @@ class EventModel:
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
 
-def fit(texts: list[str]) -> EventModel:
-    """A model of ``texts``; posteriors of one round are the counts of the next."""
-    model = EventModel()
-    parsed = []
-    sure_after, sure_inside = Counter(), Counter()
-    for text in texts:
+class Tally:
+    """What training needs of texts: words that open units, all words, those that open units or follow gaps, and runs of near gaps."""
+
+    def __init__(self) -> None:
+        self.after, self.heard, self.opening, self.runs = Counter(), Counter(), Counter(), Counter()
+
+    def __len__(self) -> int:
+        return len(self.after) + len(self.heard) + len(self.opening) + len(self.runs)
+
+    def add(self, text: str) -> None:
         for a, b, whole in units(text):
             if whole:
                 continue
             m = _ITEM.match(text, a, b)
             first = m.end() if m else a
             found = gaps(text, a, b)
-            parsed.append(found)
-            places = {g.start for g in found}
             r = _RIGHT.match(text, first, b)
             if r and r[1]:
-                sure_after[_key(r[1])] += 1
-            opens = {r.start(1)} if r and r[1] else set()
+                self.after[_key(r[1])] += 1
+            self.heard.update(_WORD.findall(text, first, b))
+            opens = {r.start(1): r[1]} if r and r[1] else {}
             for g in found:
                 x = _RIGHT.match(text, g.start, b)
                 if x and x[1]:
-                    opens.add(x.start(1))
-            for w in _WORD.finditer(text, first, b):
-                if w.start() in opens or w.start() in places:
-                    continue
-                word = w[0]
-                if "぀" <= word[0] <= "鿿":
-                    for i in range(len(word) - 1):
-                        sure_inside[word[i : i + 2]] += 1
-                else:
-                    sure_inside[word] += 1
+                    opens[x.start(1)] = x[1]
+            self.opening.update(opens.values())
+            at = 0
+            for i in range(1, len(found) + 1):
+                if i == len(found) or found[i].end - found[i - 1].start > NEAR:
+                    self.runs[tuple((g.kind, g.follows, g.right) for g in found[at:i])] += 1
+                    at = i
+
+    def inside(self) -> Counter:
+        """Words that follow no boundary for certain."""
+        out = Counter()
+        for word, n in self.heard.items():
+            n -= self.opening[word]
+            if n <= 0:
+                continue
+            if "぀" <= word[0] <= "鿿":
+                for i in range(len(word) - 1):
+                    out[word[i : i + 2]] += n
+            else:
+                out[word if len(word) <= LONG_WORD else _key(word)] += n
+        return out
+
+
+def _expected(run: tuple, n: int, model: EventModel) -> Iterator[tuple[str, int, int]]:
+    """The words of the gaps of a run that was seen ``n`` times, with their counts after a boundary and after none in parts of ``GRAIN``."""
+    found = [Gap(0, 0, kind, "", right, follows) for kind, follows, right in run]
+    for g, p in zip(found, model.posteriors(found)):
+        y = round(p * GRAIN)
+        yield g.right, n * y, n * (GRAIN - y)
+
+
+def _model(words: list[tuple[str, int, int]], totals: tuple[int, int]) -> EventModel:
+    return EventModel({w: a / GRAIN for w, a, _ in words if a}, {w: i / GRAIN for w, _, i in words if i}, (totals[0] / GRAIN, totals[1] / GRAIN))
+
+
+def fit(texts: list[str]) -> EventModel:
+    """A model of ``texts``; posteriors of one round are the counts of the next."""
+    tally, model = Tally(), EventModel()
+    for text in texts:
+        tally.add(text)
+    sure_after, sure_inside = tally.after, tally.inside()
     for _ in range(ROUNDS):
-        after, inside = Counter(sure_after), Counter(sure_inside)
-        for found in parsed:
-            for g, p in zip(found, model.posteriors(found)):
-                after[g.right] += p
-                inside[g.right] += 1.0 - p
-        keep = {w for w, _ in (after + inside).most_common(WORDS)}
-        model = EventModel({w: c for w, c in after.items() if w in keep}, {w: c for w, c in inside.items() if w in keep})
+        after, inside = Counter({w: n * GRAIN for w, n in sure_after.items()}), Counter({w: n * GRAIN for w, n in sure_inside.items()})
+        seen = set()
+        for run, n in tally.runs.items():
+            for word, a, i in _expected(run, n, model):
+                after[word] += a
+                inside[word] += i
+                seen.add(word)
+        first = sorted(after.keys() | inside.keys(), key=lambda w: (w not in seen, -after[w] - inside[w], w))[:WORDS]
+        model = _model([(w, after[w], inside[w]) for w in first], (after.total(), inside.total()))
     return model
 
 
@@ -378,10 +421,51 @@ def sentences(text: str | None, model: EventModel) -> list[tuple[int, int]]:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> EventModel:
-    """A model of at most ``sample`` texts of ``docs``, picked by a hash of the row."""
-    rows = hashed_sample(docs.withColumnRenamed(text_col, "t").where(f"t <> '' and length(t) <= {LONGEST}"), sample)
-    return fit([r["t"] for r in rows])
+def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of the texts of a task; a tally is handed on before it grows large."""
+
+    def rows(tally: Tally) -> pd.DataFrame:
+        out = [("after", w, n) for w, n in tally.after.items()] + [("inside", w, n) for w, n in tally.inside().items()]
+        return pd.DataFrame(out + [("run", json.dumps(run, ensure_ascii=False), n) for run, n in tally.runs.items()], columns=["what", "key", "n"])
+
+    tally = Tally()
+    for pdf in batches:
+        for text in pdf["t"]:
+            tally.add(text)
+            if len(tally) > HELD:
+                yield rows(tally)
+                tally = Tally()
+    yield rows(tally)
+
+
+def train(docs: DataFrame, text_col: str = "text") -> EventModel:
+    """A model of all texts of ``docs``, the same as ``fit`` gives at any partitioning.
+
+    One pass counts the texts by task, the counts are summed by key, and each round goes over the distinct runs. Only the table
+    of at most ``WORDS`` words of at most ``LONG_WORD`` characters and its two totals reach the driver.
+    """
+    texts = docs.select(F.col(text_col).alias("t")).where("t <> ''")
+    counts = cut_lineage(texts.mapInPandas(_tallied, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
+    part = lambda what: F.when(F.col("what") == what, F.col("n") * GRAIN).otherwise(F.lit(0).cast("long"))
+    sure = counts.where("what <> 'run'").select(F.col("key").alias("word"), part("after").alias("after"), part("inside").alias("inside"), F.lit(0).alias("at_gap"))
+    runs = counts.where("what = 'run'").select("key", "n")
+    model = EventModel()
+    for _ in range(ROUNDS):
+        after, inside, totals = model.after, model.inside, model.totals
+
+        def expect(batches: Iterator[pd.DataFrame], after=after, inside=inside, totals=totals) -> Iterator[pd.DataFrame]:
+            known = EventModel(after, inside, totals)
+            for pdf in batches:
+                rows = [(*x, 1) for key, n in zip(pdf["key"], pdf["n"]) for x in _expected(json.loads(key), int(n), known)]
+                yield pd.DataFrame(rows, columns=["word", "after", "inside", "at_gap"])
+
+        words = sure.unionByName(runs.mapInPandas(expect, "word string, after long, inside long, at_gap int"))
+        words = words.groupBy("word").agg(F.sum("after").alias("after"), F.sum("inside").alias("inside"), F.max("at_gap").alias("at_gap"))
+        total = words.agg(F.sum("after").alias("after"), F.sum("inside").alias("inside")).first()
+        first = words.orderBy(F.desc("at_gap"), F.desc(F.col("after") + F.col("inside")), "word").limit(WORDS)
+        kept = first.agg(F.collect_list(F.struct("word", "after", "inside")).alias("words")).first()["words"]
+        model = _model([(r["word"], r["after"], r["inside"]) for r in kept], (total["after"] or 0, total["inside"] or 0))
+    return model
 
 
 def split_sentences(docs: DataFrame, model: EventModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,10 +475,10 @@ def split_sentences(docs: DataFrame, model: EventModel, id_col: str = "doc_id",
     repeated sentences. A text is processed whole, in time proportional to its length.
     """
     schema = StructType([docs.schema[id_col], StructField("start_char", IntegerType(), False), StructField("end_char", IntegerType(), False)])
-    after, inside = model.after, model.inside
+    after, inside, totals = model.after, model.inside, model.totals
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = EventModel(after, inside)
+        known = EventModel(after, inside, totals)
         for pdf in batches:
             rows = [(i, a, b) for i, t in zip(pdf[id_col], pdf[text_col]) for a, b in sentences(t, known)]
             yield pd.DataFrame(rows, columns=[id_col, "start_char", "end_char"])
@@ -404,12 +488,12 @@ def split_sentences(docs: DataFrame, model: EventModel, id_col: str = "doc_id",
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     """All sentences of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return split_sentences(widen(docs), train(docs))
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return split_sentences(docs, train(docs))
 
 
 def p8_lengths(spark, sf_dir: str) -> DataFrame:
     """Number of sentences by power of two of their length in characters."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = split_sentences(widen(docs), train(docs))
+    docs = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = split_sentences(docs, train(docs))
     return found.groupBy(F.floor(F.log2(F.col("end_char") - F.col("start_char"))).cast("int").alias("band")).agg(F.count("*").alias("sentences"))

@@ -68,3 +68,12 @@ def test_operator_cases(spark, model):
     got = sorted((r["doc_id"] or 0, r["start_char"], r["end_char"]) for r in split_sentences(df, model).collect())
     assert got == [(0, 0, 6), (4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9)]
     assert split_sentences(df.limit(0), train(df.limit(0))).count() == 0
+
+
+def test_model_counts_every_text(spark):
+    texts = CORPUS * 200 + ["It ends. Zephyr waits. " * 1000, "It goes on. " + "Quokka" * 30 + " is here. A. B. C. Then it stops.", ""]
+    df = spark.createDataFrame([(t, 5) for t in [*texts, None]], "text string, n int")
+    one, many, local = train(df.coalesce(1)), train(df.repartition(7)), fit(texts)
+    assert one.after["Zephyr"] > 900 and max(map(len, one.after)) <= 64
+    for m in (many, local):
+        assert (m.after, m.inside, m.totals) == (one.after, one.inside, one.totals)
