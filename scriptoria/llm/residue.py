@@ -8,13 +8,13 @@ otherwise ordinary lines and are detected apart, on text without code.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from scriptoria.llm.templates import mine_templates
+from scriptoria.llm.templates import WILDCARD, mine_templates
 from scriptoria.runtime import first_delivery, salted_join, table
 
 # The vocabulary of residue, by kind.
@@ -132,9 +132,11 @@ def judge(template: str | None) -> str | None:
 _COMPILED = {kind: [re.compile(p) for p in patterns] for kind, patterns in KINDS.items()}
 
 
-@F.pandas_udf(StringType())
-def _judged(templates: pd.Series) -> pd.Series:
-    return templates.map(judge)
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines whose text is residue, with its kind; no expression, lest the optimiser repeat it on the other side of a join."""
+    for pdf in batches:
+        pdf["kind"] = pdf["__text"].map(judge)
+        yield pdf.loc[pdf["kind"].notna(), ["__line", "kind"]]
 
 
 def prose(body: Column) -> Column:
@@ -170,8 +172,12 @@ def residue(sections: DataFrame, id_col: str = "section_id", text_col: str = "bo
     slots = base.select("__id", F.lit("slot").alias("kind"), slot.alias("evidence")).where("evidence <> ''")
     lines = base.select("__id", F.explode(F.split("__text", r"\n+|(?<=[.!?])\s+")).alias("__line")).select("__id", masked(F.col("__line")).alias("__line")).where("__line <> ''")
     local, merged = mine_templates(lines, "__line")
-    verdicts = merged.select("local", _judged("template").alias("kind")).where("kind is not null")
-    bad_lines = salted_join(local, verdicts, ["local"]).select("__line", "kind")
+    # a template without wildcard is judged for its line; lines of a widened template are judged themselves, lest a verdict
+    # depend on the lines that they met: where the local template is not widened, it is the line
+    widened = lambda c: F.contains(F.col(c), F.lit(WILDCARD))
+    alone = merged.where(~widened("local")).select(F.col("local").alias("__line"), F.when(widened("template"), F.col("local")).otherwise(F.col("template")).alias("__text"))
+    met = local.where(widened("local")).select("__line", F.col("__line").alias("__text"))
+    bad_lines = met.unionByName(alone).mapInPandas(_judged, "__line string, kind string")
     hits = salted_join(lines, bad_lines, ["__line"]).select("__id", "kind", F.col("__line").alias("evidence"))
     return slots.unionByName(hits).groupBy("__id", "kind").agg(F.min("evidence").alias("evidence")).withColumnRenamed("__id", id_col)
 

@@ -44,6 +44,12 @@ def test_further_cases(spark):
     assert set(found(spark, [(i, t, None, None) for i, t in enumerate(MORE_RESIDUE + MORE_SOUND)])) == set(range(len(MORE_RESIDUE)))
 
 
+def test_verdicts_do_not_depend_on_other_lines(spark):
+    texts = ["Your session has ended.", "Your session has expired.", "This page requires JS.", "This page likes JS."]
+    alone = {i for i, t in enumerate(texts) if found(spark, [(i, t, None, None)])}
+    assert alone == {0, 1, 2} == set(found(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+
+
 def test_nulls_blanks_repeats_and_long_texts(spark):
     long = "A sound sentence about caches. " * 40_000
     rows = [(1, None, None, None), (2, "", "a", "b"), (3, " \n ", "a", "b"), (4, "tbd", None, "b"), (4, "tbd", None, "b"), (5, long, "a", "b"), (6, long + "\nTBD", "a", "b"), (None, "TBD", "a", "b")]
