@@ -33,18 +33,22 @@ class Parsed:
     module_id: str
     module: dict = field(default_factory=dict)
     symbols: list[dict] = field(default_factory=list)
+    children: dict[str | None, int] = field(default_factory=dict)
 
     def add(self, kind: str, name: str, parent: dict | None = None, **more: object) -> dict:
         """A new symbol under ``parent``; its place among its siblings and its qualified name follow."""
         base = parent["qualname"] if parent else None
+        above = parent["symbol_id"] if parent else None
+        place = self.children.get(above, 0)
+        self.children[above] = place + 1
         row = dict.fromkeys(SYMBOLS.names) | {
             "module_id": self.module_id,
             "symbol_id": f"{self.module_id}:{len(self.symbols)}",
-            "parent_id": parent["symbol_id"] if parent else None,
+            "parent_id": above,
             "kind": kind,
             "name": name,
             "qualname": f"{base}.{name}" if base else name,
-            "ord": sum(1 for s in self.symbols if s["parent_id"] == (parent["symbol_id"] if parent else None)) if len(self.symbols) < 2000 else len(self.symbols),
+            "ord": place,
             "depth": parent["depth"] + 1 if parent else 0,
         }
         self.symbols.append(row | more)

@@ -118,3 +118,10 @@ def test_operator(spark):
     assert P.symbols_of(parsed).where("module_id = 'a' and qualname = 'outer'").count() == 2 and P.parse_files(df.limit(0)).count() == 0
     binary = spark.createDataFrame([("u", "python", b"\xff\xfe\xfd")], "module_id string, language string, content binary")
     assert P.rejects_of(P.parse_files(binary)).first()["error"].startswith("UnicodeDecodeError")
+
+
+def test_places_among_siblings_at_any_size():
+    parsed, _ = P.parse_one("m", "python", "".join(f"class C{i}:\n    def a(self): pass\n    def b(self): pass\n" for i in range(900)))
+    assert len(parsed.symbols) == 2700
+    assert [s["ord"] for s in parsed.symbols if s["kind"] == "class"] == list(range(900))
+    assert {(s["name"], s["ord"]) for s in parsed.symbols if s["kind"] != "class"} == {("a", 0), ("b", 1)}
