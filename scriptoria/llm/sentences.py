@@ -1,8 +1,8 @@
 """Problem 8: sentence units of texts in any script.
 
 A text is first cut into units that layout alone decides: fenced code, headings, list items,
-paragraphs. Inside a unit a hidden-event n-gram model places boundary tokens between words: it holds how likely
-a boundary follows a word and its marks, and how likely a word follows a boundary or not. Forward and
+paragraphs. Inside a unit a hidden-event n-gram model places boundary tokens between words: a fixed
+table holds how likely a boundary follows a class of words and marks, and counts how likely a word follows a boundary or not. Forward and
 backward probabilities over the gaps of a unit give each gap's posterior, which decides it. Thai has no end
 marks; there the blanks between Thai characters are the events. The model is trained here on all documents: units
 start with a sentence for certain, gaps without marks or blanks hold no boundary for certain, and the other
