@@ -85,7 +85,7 @@ def layout(files: DataFrame, source: str = "__s") -> DataFrame:
             "filled": F.size("__filled"),
             "kinds": F.size(F.array_distinct("__filled")),
             "longest": F.when((F.col("max_line") >= LONG) | (F.col("digits") >= 0.03 * F.col("chars")), longest),
-            "encoded": F.when(F.col("max_line") >= LONG, F.regexp_extract(t, f"[A-Za-z0-9+/=]{{{LONG},}}", 0)),
+            "encoded": F.when(F.col("max_line") >= LONG, F.array_max(F.transform(F.regexp_extract_all(t, F.lit(f"[A-Za-z0-9+/=]{{{LONG},}}"), F.lit(0)), F.length))),
         }
     )
     return step.drop("__t", "__lines", "__masked", "__head", "__filled")
@@ -121,7 +121,7 @@ def classify(modules: DataFrame, id_col: str = "module_id", source_col: str = "s
     )
     says = lambda what, unless: F.exists("head", lambda x: x.rlike(what) & ~x.rlike(unless))
     code_line = (F.col("max_line") >= at("long_line")) & ~F.col("longest").rlike(r"^\s*(?://|#|%|/?\*)")
-    data = F.length("encoded") >= F.greatest(F.lit(LONG), 0.25 * F.col("chars"))
+    data = F.col("encoded") >= F.greatest(F.lit(LONG), 0.25 * F.col("chars"))
     table_like = (F.col("digit_share") >= at("digits")) & (F.col("filled") >= FEW_LINES) | (F.greatest("digit_share", "all_digits") >= 0.22) & (F.col("chars") >= 200)
     repeated = (F.col("alike") <= at("alike")) & (F.col("filled") >= FEW_LINES)
     minified = (F.col("blank_share") <= at("blank")) & (F.col("mean_line") >= 40) & (F.col("chars") >= 120) | code_line | (F.col("mean_line") >= at("mean_line")) & (F.col("blank_share") < 0.14)

@@ -44,6 +44,12 @@ def test_kinds(spark):
     assert not {"null", "empty", "blank"} & got.keys()
 
 
+def test_the_longest_run_tells_data(spark):
+    short, blob = 'a = "' + "QUJD" * 50 + '";\n', 'export default "' + "QUJDREVG" * 400 + '";'
+    rows = [(k, t, "javascript", "src/a.js", None, None) for k, t in (("last", short + blob), ("first", blob + "\n" + short), ("only", blob))]
+    assert kinds(spark, rows) == dict.fromkeys(("last", "first", "only"), "data")
+
+
 def test_long_text_repeats_and_empty_table(spark):
     words = [a + b + c for a in ("trim", "load", "sort", "pack", "read") for b in ("row", "key", "map", "bin", "log", "set") for c in "abcdefghijklmnopqrstuvwxyz"]
     long = "".join(f"def {w}(path):\n    return {w[::-1]}(path, {v})\n\n" for w, v in zip(words, reversed(words))) * 1
