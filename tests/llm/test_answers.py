@@ -1,6 +1,6 @@
 """Problem 3."""
 
-from scriptoria.llm.answers import defects, open_ended, plain_defect
+from scriptoria.llm.answers import cut_words, defects, plain_defect, tail, tokens
 from scriptoria.llm.language import LANGUAGES, SEEDS, Model, cleaned, train
 
 DOC = "Trim the spare rows until the quota is used up.\n\nArgs:\n    row: Upper bound for one pass."
@@ -54,7 +54,47 @@ def test_answers_by_rule():
 
 def test_plain_rules():
     assert plain_defect("Read it.", "Reads it.", None) is None
-    assert open_ended("a `b") is True and open_ended("done.") is False and open_ended("the last word") is None
+    assert tail("a `b") == ("<open>", "<open>", True) and tail("done.") is None and tail("the last word") == ("last", "word", False)
+    assert tail("rows of the") == ("of", "the", True) and tail("读取行数") == ("行", "数", False) and tokens("see 12 a_b `x y` (z).") == ["see", "<num>", "<name>", "<code>", "(", "z", ")", "."]
+
+
+COMPLETE = {
+    "zh": "该函数读取所有行并返回行数", "ja": "この関数はすべての行を読み、行数を返す", "th": "ฟังก์ชันนี้อ่านทุกบรรทัดและคืนจำนวนแถว", "ru": "Читает все строки файла и возвращает число прочитанных записей", "de": "Liest alle Zeilen der Datei und liefert die Anzahl der Einträge", "en": "Reads all lines and returns the row count",
+}
+
+
+def test_complete_answers_without_full_stop_in_any_script(spark):
+    for copies in (1, 30):
+        rows = [(100 * i + n, PROMPTS[k], COMPLETE[k], "f", None, None) for i, k in enumerate(COMPLETE) for n in range(copies)]
+        assert run(spark, rows) == {}
+
+
+PROMPTS = {
+    "zh": "读取文件的所有行。如果文件不存在，则报告错误。", "ja": "ファイルのすべての行を読みます。ないときはエラーを報告します。", "th": "อ่านทุกบรรทัดของไฟล์ และรายงานข้อผิดพลาดเมื่อไม่มีไฟล์", "ru": "Чтение всех строк файла с проверкой значений и сообщением об ошибке.",
+    "de": "Alle Zeilen der Datei werden gelesen, und ein Fehler wird gemeldet, falls sie fehlt.", "en": "Count the lines of a file and report an error when it is missing.",
+}
+
+
+def test_cut_answers_in_any_script(spark):
+    ends = {"zh": ("该函数读取数据表并返回行数。", "该函数读取数据表并返"), "ru": ("Читает таблицу и возвращает число записей.", "Читает таблицу и возвращает чис")}
+    for k, (whole, part) in ends.items():
+        rows = [(i, PROMPTS[k], whole, "f", None, None) for i in range(40)] + [(99, PROMPTS[k], part, "f", None, None)]
+        assert run(spark, rows) == {99: "truncated"}
+
+
+def test_long_stand_ins_and_further_kinds():
+    for answer in ("-" * 500, "No summary available. " * 30, "N/A\n" * 200, "There is no description of this function available yet; it will be added later. " * 8, "कोई विवरण नहीं", "ไม่มีคำอธิบาย", "该函数没有摘要", "Summary of the function:", "Résumé indisponible."):
+        assert plain_defect(DOC, answer, "trim_rows") == "empty", answer
+    for answer in ("Which function do you mean?", "It looks like you did not include any code.", "Unable to comply.", "That is something I can't do.", "Könnten Sie den Code senden?", "Pouvez-vous fournir le code ?", "Necesito más contexto.", "Мне нужен исходный код.", "无法总结这段代码。", "コードを提供してください。"):
+        assert plain_defect(DOC, answer, "trim_rows") == "refusal", answer
+    for answer in ("Could be null.", "No rows are kept.", "Is empty when done.", "I/O helper.", "Request denied errors are retried.", "Counts the rows."):
+        assert plain_defect(DOC, answer, "rows") is None, answer
+
+
+def test_cut_words(spark):
+    words = spark.createDataFrame([("configuration", 40), ("rows", 10), ("строка", 5)], "w2 string, n long")
+    unknown = spark.createDataFrame([("configurati",), ("Quokka",), ("строк",), ("12",)], "w2 string")
+    assert {r["w2"] for r in cut_words(words, unknown).collect()} == {"configurati", "строк"}
 
 
 def test_languages_on_held_out_sentences(spark):
