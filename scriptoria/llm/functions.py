@@ -11,17 +11,20 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-from scriptoria.runtime import salted_join, table, widen
+from scriptoria.runtime import cut_lineage, salted_join, table, widen
 
 LANGUAGES = ("python", "java", "cpp", "javascript", "typescript", "matlab")
+#: Languages whose functions may be declared apart from their definition.
+DECLARING = ("cpp", "typescript")
 #: Language by file suffix, for rows without one.
 SUFFIXES = {"py": "python", "java": "java", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "h": "cpp", "hpp": "cpp", "c": "cpp", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "m": "matlab"}
 
@@ -73,7 +76,7 @@ _STAND_IN = re.compile(
     r"n/?a|none|null|nothing|empty|undocumented|missing|(?:no|missing|without) (?:description|documentation|docs?|comment|docstring|summary|details?)(?: (?:yet|available|given|provided|here))?|(?:auto-?)?generated (?:method |function |constructor )?stub|"
     r"(?:add|insert|write|put|enter|fill in) (?:the |a |your |some )?(?:docs?|documentation|description|comment|docstring|text)(?: here| later| this)?|(?:documentation|description|docs?|comment)(?: (?:goes|to go|comes) here| here| follows| pending| to follow| missing)?|"
     r"(?:self-?explanatory|obvious|stub|placeholder|dummy|ditto|same|inherited|internal|deprecated|done|\{?@?inheritdoc\}?|to be (?:documented|described|written|done|completed)|document(?:ed)? (?:me|later|elsewhere|this))|"
-    r"(?:please )?(?:see|refer to|cf|same as|documented in|described in|docs? (?:are |is )?(?:in|at)|documentation (?:is )?(?:in|at)|for (?:details|more|documentation),? see|as (?:above|below|in the (?:base|parent|super)\w*))\b[^.!?]{0,60})[\s.!]*$"
+    r"(?:please )?(?:see|refer to|cf|same as|documented in|described in|docs? (?:are |is )?(?:in|at)|documentation (?:is )?(?:in|at)|for (?:details|more|documentation),? see|as (?:above|below|in the (?:base|parent|super)\w*))\b(?:(?!\b(?:but|except|which|that|returns?|only|without|if|whether|how|when|unless)\b)[^.!?]|\.(?=\w))*)[\s.!]*$"
 )
 _TAG = re.compile(r"[@\\](?:param|arg|argument|tparam)\b[ \t]*(?:\{[^}\n]*\}[ \t]*)?(?:\[[^\]\n]*\]|[\w.$*]+)?|^[ \t]*[\w*]+[ \t]*(?:\([^)\n]*\))?[ \t]*:[ \t]*$|[@\\](?:param|arg|argument|tparam|returns?|throws?|exception|brief|details?|since|author|version|see|link|code|type|name|function|method|memberof|public|private|protected|static|async|override|deprecated|inheritdoc)\b|:(?:param|type|returns?|rtype|raises?|arg|key|keyword)\b[^:\n]*:|^\s*(?:args|arguments|parameters|params|returns?|raises|yields|inputs?|outputs?|examples?|notes?|syntax|throws)\s*:", re.I | re.M)
 _EMPTY_WORDS = frozenset(
@@ -153,6 +156,17 @@ def normalised(parameters: str, language: str) -> str:
 Symbol = tuple[int, str, str, str, str, str | None, str | None, str]  # lineno, name, qualname, signature, parameters, doc, source, kind
 
 
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+
+
+def _segment(lines: list[str], node: ast.stmt) -> str:
+    """The text of a statement, given the lines of its file."""
+    part = lines[node.lineno - 1 : node.end_lineno]
+    part[-1] = part[-1].encode()[: node.end_col_offset].decode(errors="ignore")
+    part[0] = part[0].encode()[node.col_offset :].decode(errors="ignore")
+    return "".join(part)
+
+
 def python_functions(source: str, bodies: bool, undocumented: bool) -> Iterator[Symbol]:
     """Functions of a Python file; a file that does not parse has none."""
     if "def " not in source:
@@ -161,6 +175,7 @@ def python_functions(source: str, bodies: bool, undocumented: bool) -> Iterator[
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return
+    lines = _LINE.findall(source) if bodies else []
     stack = [(tree, "")]
     while stack:
         node, prefix = stack.pop()
@@ -180,7 +195,7 @@ def python_functions(source: str, bodies: bool, undocumented: bool) -> Iterator[
         names = [x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x]
         head = ("async def " if isinstance(node, ast.AsyncFunctionDef) else "def ") + node.name
         signature = head + "(" + ast.unparse(a) + ")" + (f" -> {ast.unparse(node.returns)}" if node.returns else "") if bodies else head
-        yield node.lineno, node.name, prefix[:-1], signature, ", ".join(names), doc, ast.get_source_segment(source, node) if bodies else None, "definition"
+        yield node.lineno, node.name, prefix[:-1], signature, ", ".join(names), doc, _segment(lines, node) if bodies else None, "definition"
 
 
 def _blocks(source: str, lexer: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -208,28 +223,53 @@ def _masked(source: str, lexer: re.Pattern) -> str:
     return lexer.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
-def _closing(masked: str, at: int) -> int:
-    """Offset after the brace that closes the one at ``at``."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(masked, at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(masked)
+_SCOPE = re.compile(r"\b(?:namespace|class|struct|interface|enum)\s+(?:\[\[.*?\]\]\s*)?(?P<n>[\w:]+)[^;{}()=]*\{|[{}]")
+#: A line that may open a definition: not a statement, and with a parenthesis or an arrow.
+_CANDIDATE = re.compile(r"^[ \t]*+(?!(?:if|else|for|while|do|switch|case|catch|return|throw|new|delete|goto|using|await|yield)\b|#(?!\w+\s*\())(?=[\w~@\[#$*\"'])(?=[^\n;{}]*(?:\(|=>))", re.M)
+
 
+class Scopes:
+    """The braces of a file whose comments and strings are blanked: what closes each, and the named scopes around any place."""
 
-_SCOPE = re.compile(r"\b(?:namespace|class|struct|interface|enum)\s+(?:\[\[.*?\]\]\s*)?([\w:]+)[^;{}()=]*\{")
+    def __init__(self, masked: str) -> None:
+        self.closes: dict[int, int] = {}
+        self.starts: list[int] = [0]
+        self.names: list[tuple[str, ...]] = [()]
+        open_at: list[tuple[int, tuple[str, ...]]] = []
+        for m in _SCOPE.finditer(masked):
+            at, now = m.end() - 1, self.names[-1]
+            if m[0] != "}":
+                open_at.append((at, now))
+                if m["n"]:
+                    self._enter(m.end(), (*now, m["n"]))
+            elif open_at:
+                opened, before = open_at.pop()
+                self.closes[opened] = m.end()
+                if before != now:
+                    self._enter(at, before)
+        self.end = len(masked)
+
+    def _enter(self, at: int, names: tuple[str, ...]) -> None:
+        self.starts.append(at)
+        self.names.append(names)
+
+    def around(self, at: int) -> tuple[str, ...]:
+        """Names of the scopes around ``at``, outermost first."""
+        return self.names[bisect_right(self.starts, at) - 1]
+
+    def closing(self, at: int) -> int:
+        """Offset after the brace that closes the one at ``at``."""
+        return self.closes.get(at, self.end)
 
 
 def brace_functions(source: str, language: str, bodies: bool, undocumented: bool) -> Iterator[Symbol]:
-    """Functions of a C++, Java, JavaScript or TypeScript file whose comment stands directly above."""
+    """Functions of a C++, Java, JavaScript or TypeScript file, with the comment that stands directly above; in linear time."""
     lexer, heads = _LEXERS[language], _HEADS[language]
     if "*/" not in source and "//" not in source and not undocumented:
         return
-    masked = _masked(source, lexer) if bodies or undocumented else source
-    scopes = []
-    if bodies or undocumented:
-        scopes = [(m.end(), _closing(masked, m.end() - 1), m[1]) for m in _SCOPE.finditer(masked)]
+    masked = _masked(source, lexer)
+    scopes = Scopes(masked)
+    line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
     gap = re.compile(r"[ \t\r]*(?:\n[ \t]*)?(?=\S)")
     starts: dict[int, tuple[int, int]] = {}
     for a, b in _blocks(source, lexer):
@@ -237,10 +277,10 @@ def brace_functions(source: str, language: str, bodies: bool, undocumented: bool
             starts[m.end()] = (a, b)
     places = [(at, starts[at]) for at in starts]
     if undocumented:
-        places += [(m.end(), None) for m in re.finditer(r"(?:^|\n)[ \t]*(?=[\w~@\[#$*])", masked) if m.end() not in starts]
+        places += [(m.end(), None) for m in _CANDIDATE.finditer(masked) if m.end() not in starts]
     for at, span in places:
         for head in heads:
-            m = head.match(masked if undocumented and span is None else source, at)
+            m = head.match(masked if span is None else source, at)
             if not m:
                 continue
             name = m["n"]
@@ -250,22 +290,23 @@ def brace_functions(source: str, language: str, bodies: bool, undocumented: bool
             if last in _KEYWORDS or (before and before[-1] in _NOT_TYPES):
                 break
             ends = groups.get("e")
-            if ends == ";" and not before:
-                break
-            if language == "java" and ends == ";" and not undocumented and span is None:
+            if ends == ";" and (not before or span is None):
                 break
             parameters = next((groups[g] for g in ("p", "q", "one") if groups.get(g) is not None), "")
             kind = "declaration" if ends == ";" and language != "java" else "definition"
             doc = source[span[0] : span[1]] if span else None
             place = m.start("n")
-            inside = [n for x, y, n in scopes if x <= place < y]
+            inside = scopes.around(place)
             qualified = "::".join([*inside, name]) if language == "cpp" else ".".join([*inside, last])
             body = None
             if bodies:
                 brace = m.end() - 1 if ends else masked.find("{", m.end())
-                stop = _closing(masked, brace) if ends != ";" and brace >= 0 and (ends or not masked[m.end() : brace].strip()) else min((i for i in (source.find("\n", m.end()),) if i >= 0), default=len(source))
-                body = source[at:stop]
-            yield source.count("\n", 0, place) + 1, last, qualified, source[at : m.end()].rstrip("{; \n\t") if bodies else last, parameters, doc, body, kind
+                if ends != ";" and brace >= 0 and (ends or not masked[m.end() : brace].strip()):
+                    stop = scopes.closing(brace)
+                else:
+                    stop = source.find("\n", m.end())
+                body = source[at : stop if stop >= 0 else len(source)]
+            yield bisect_right(line_starts, place), last, qualified, source[at : m.end()].rstrip("{; \n\t") if bodies else last, parameters, doc, body, kind
             break
 
 
@@ -325,17 +366,19 @@ _SCHEMA = StructType(
         StructField("scope", StringType()),
         StructField("language", StringType()),
         StructField("lineno", IntegerType()),
-        *(StructField(n, StringType()) for n in ("name", "qualname", "signature", "key", "docstring", "source", "kind")),
+        *(StructField(n, StringType()) for n in ("name", "qualname", "signature", "key", "kind")),
+        StructField("documented", BooleanType()),
+        *(StructField(n, StringType()) for n in ("docstring", "source")),
     ]
 )
 
 
-def symbols(modules: DataFrame, bodies: bool = True, undocumented: bool = True, skip_trivial: bool = False) -> DataFrame:
-    """All functions of ``modules`` (module_id, project, language, relpath, source) with their symbol keys.
+def symbols(modules: DataFrame, bodies: bool = True) -> DataFrame:
+    """The functions of ``modules`` (module_id, project, language, relpath, source) as one symbol table.
 
-    ``bodies``: also signatures and source texts; ``undocumented``: also functions without a comment of their own;
-    ``skip_trivial``: drop trivial documentation at once. Null and empty sources, unknown languages and files that do
-    not parse have no functions.
+    A key is the qualified name with the normalised signature. Functions without documentation are listed in the languages
+    where it may stand at a separate declaration, and declarations only with theirs. ``bodies``: also signatures, documentation and
+    source texts, which are null otherwise. Null and empty sources, unknown languages and files that do not parse have no functions.
     """
     files = modules.select("module_id", F.col("project").alias("scope"), language_of(F.col("language"), F.col("relpath")).alias("language"), "source").where("source <> '' and language is not null")
 
@@ -344,35 +387,35 @@ def symbols(modules: DataFrame, bodies: bool = True, undocumented: bool = True,
         for pdf in batches:
             rows = []
             for module, scope, language, source in zip(pdf["module_id"], pdf["scope"], pdf["language"], pdf["source"]):
-                for lineno, name, qualname, signature, parameters, doc, body, kind in functions_of(source, language, bodies, undocumented):
+                bare = language in DECLARING
+                for lineno, name, qualname, signature, parameters, doc, body, kind in functions_of(source, language, bodies, bare):
                     empty = trivial(doc, name, parameters)
-                    if empty and (skip_trivial or not undocumented):
+                    if empty and not (bare and kind == "definition"):
                         continue
-                    key = f"{qualname.replace('::', '.')}({normalised(parameters, language)})" if undocumented else None
-                    rows.append((module, scope, language, lineno, name, qualname, signature, key, None if empty else plain(doc), body, kind))
+                    key = f"{qualname.replace('::', '.')}({normalised(parameters, language)})"
+                    rows.append((module, scope, language, lineno, name, qualname, signature if bodies else None, key, kind, not empty, plain(doc) if bodies and not empty else None, body))
             yield pd.DataFrame(rows, columns=_SCHEMA.names)
 
     return files.mapInPandas(run, _SCHEMA)
 
 
-def pairs(modules: DataFrame, bodies: bool = True, join_declarations: bool = True) -> DataFrame:
+def pairs(modules: DataFrame, bodies: bool = True) -> DataFrame:
     """``(module_id, lineno, name, qualname, signature, docstring, source, documented_at)`` of the documented functions.
 
     ``documented_at`` is definition, or declaration if the documentation stands at a separate declaration of the
-    same project, qualified name and normalised signature. Functions whose documentation is missing or trivial at
-    both places are left out. Repeated files give one result per function.
+    same project, qualified name and normalised signature; only rows of languages that have such meet in the join. Functions whose documentation is missing or trivial at
+    both places are left out. Repeated files give one result per function. Without ``bodies`` the three texts are null.
     """
-    found = symbols(modules, bodies=bodies, undocumented=join_declarations)
-    columns = ["module_id", "lineno", "name", "qualname", "signature", "docstring", "source"]
-    own = found.where("kind = 'definition' and docstring is not null").select(*columns, F.lit("definition").alias("documented_at"))
-    out = own
-    if join_declarations:
-        at = ["scope", "language", "key"]
-        declared = found.where("kind = 'declaration' and docstring is not null and scope is not null").groupBy(*at).agg(F.min("docstring").alias("__doc"))
-        bare = found.where("kind = 'definition' and docstring is null").drop("docstring")
-        joined = salted_join(bare, declared, at).withColumnRenamed("__doc", "docstring")
-        out = own.unionByName(joined.select(*columns, F.lit("declaration").alias("documented_at")))
-    return out.dropDuplicates(["module_id", "lineno", "name"])
+    found = cut_lineage(symbols(modules, bodies=bodies))
+    at = ["scope", "language", "key"]
+    apart = F.col("language").isin(*DECLARING)
+    declared = found.where(apart & F.expr("kind = 'declaration' and scope is not null")).groupBy(*at).agg(F.min(F.coalesce("docstring", F.lit(""))).alias("__doc"))
+    defined = found.where("kind = 'definition'")
+    joined = salted_join(defined.where(apart), declared, at, "left")
+    out = joined.unionByName(defined.where(~apart).withColumn("__doc", F.lit(None).cast("string")))
+    place = F.when(F.col("documented"), "definition").when(F.col("__doc").isNotNull(), "declaration")
+    out = out.select("module_id", "lineno", "name", "qualname", "signature", F.when(F.col("documented"), F.col("docstring")).otherwise(F.col("__doc")).alias("docstring"), "source", place.alias("documented_at"))
+    return out.where("documented_at is not null").dropDuplicates(["module_id", "lineno", "name"])
 
 
 def _modules(spark, sf_dir: str) -> DataFrame:
@@ -380,8 +423,8 @@ def _modules(spark, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    """Functions and methods with documentation of their own that is not trivial."""
-    return pairs(_modules(spark, sf_dir), bodies=False, join_declarations=False).select("module_id", "lineno", "name")
+    """Functions and methods with documentation of their own that is not trivial; of those documented at a declaration elsewhere, none."""
+    return pairs(_modules(spark, sf_dir), bodies=False).where("documented_at = 'definition'").select("module_id", "lineno", "name")
 
 
 def p4_pairs(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Problem 4."""
 
+import time
+
+import pytest
+
 from scriptoria.llm.functions import functions_of, normalised, pairs, trivial
 
 PY = '"""Module."""\nimport os\n\n@cached\ndef read_rows(path, limit=3):\n    """Read up to a limit of rows.\n\n    :param path: where\n    """\n    def inner(x):\n        "Doubles it."\n        return x\n    return inner\n\nclass A:\n    async def read_it(self):\n        """Read it."""\n    def write(self):\n        """TODO: document this."""\n\ntext = """\ndef fake():\n    \'\'\'Looks real.\'\'\'\n"""\n'
@@ -35,9 +39,9 @@ def test_broken_and_odd_sources():
 
 
 def test_trivial():
-    for doc in ("", None, "/** */", "// ---", "/** TODO */", '"""N/A"""', "See above.", "The read rows function.", "Docstring for read_rows.", "Read rows.", "@param path\n@return", "Args:\n    path:\nReturns:\n", "@param value\n@return", "Args:\n    value:\nReturns:\n", ":param value:\n:return:", "@param {int} [value]", "TODO(ann): write docs", "/** @see Other#open */", "{@inheritDoc}", "// CHECKSTYLE:OFF"):
+    for doc in ("", None, "/** */", "// ---", "/** TODO */", '"""N/A"""', "See above.", "The read rows function.", "Docstring for read_rows.", "Read rows.", "@param path\n@return", "Args:\n    path:\nReturns:\n", "@param value\n@return", "Args:\n    value:\nReturns:\n", ":param value:\n:return:", "@param {int} [value]", "TODO(ann): write docs", "/** @see Other#open */", "{@inheritDoc}", "// CHECKSTYLE:OFF", "See the wiki page on the design of the table reader and of the storage layer below it, and its two appendices.", "Same as in io/reader.py."):
         assert trivial(doc, "read_rows", "path, limit"), doc
-    for doc in ("Reads rows lazily.", "Never blocks, never throws.", "Compare the rows in order.", "Like a queue of rows.", "Читает строки.", "@param path where the rows lie"):
+    for doc in ("Reads rows lazily.", "Never blocks, never throws.", "Compare the rows in order.", "Same as read_all, but only rows with a key are kept and all others are counted and reported.", "See whether a row is kept.", "Like a queue of rows.", "Читает строки.", "@param path where the rows lie"):
         assert not trivial(doc, "read_rows", "path, limit"), doc
 
 
@@ -59,3 +63,29 @@ def test_declarations_and_defined_cases(spark):
     assert not any(k[0] in ("other", "null", "none", "empty", "h") for k in got)
     assert sum(k[0] == "py" for k in got) == 2 and sum(k[0] is None for k in got) == 2
     assert pairs(df.limit(0)).count() == 0
+    slim = {(r["module_id"], r["lineno"], r["name"], r["documented_at"]) for r in pairs(df, bodies=False).collect()}
+    assert slim == {(r["module_id"], r["lineno"], r["name"], r["documented_at"]) for r in pairs(df).collect()}
+
+
+def test_overloads_of_separate_files(spark):
+    header = "namespace n {\nclass T {\npublic:\n    /** Opens the table for reading. */\n    int open(const std::string& path);\n    /** Finds a table by its number. */\n    int open(int id);\n    int close();\n};\n}\n"
+    body = "int n::T::open(int number) {\n    return 1;\n}\n\nint n::T::open(const std::string& p) {\n    return 2;\n}\n// Closes what was opened before.\nint n::T::close() {\n    return 3;\n}\nint n::T::size() {\n    return 4;\n}\n"
+    df = spark.createDataFrame([("h", "p", "cpp", "t.h", header), ("c", "p", "cpp", "t.cpp", body)], "module_id string, project string, language string, relpath string, source string")
+    got = {(r["module_id"], r["lineno"]): (r["docstring"], r["documented_at"]) for r in pairs(df).collect()}
+    assert got == {("c", 1): ("Finds a table by its number.", "declaration"), ("c", 5): ("Opens the table for reading.", "declaration"), ("c", 9): ("Closes what was opened before.", "definition")}
+
+
+UNITS = {
+    "cpp": "namespace n {\nclass T {\npublic:\n    /** Opens the table for reading. */\n    int open(const std::string& path) {\n        return call(path);\n    }\n};\n}\n",
+    "typescript": "class A {\n  /** Opens the file once. */\n  open(path) {\n    return () => { call(path); };\n  }\n}\n",
+    "python": 'class A:\n    def open(self, x):\n        """Reads lazily."""\n        return x\n\n',
+    "matlab": "function out = open(a)\n% Sums the rows of a.\nx = 1;\nend\n\n",
+}
+
+
+@pytest.mark.parametrize("language", UNITS)
+def test_a_file_of_five_megabytes(language):
+    copies = 5_000_000 // len(UNITS[language])
+    began = time.time()
+    assert sum(r[1] == "open" and r[5] is not None for r in functions_of(UNITS[language] * copies, language, True, True)) == copies
+    assert time.time() - began < 20
