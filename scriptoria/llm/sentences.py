@@ -1,13 +1,17 @@
 """Problem 8: sentence units of texts in any script.
 
 A text is first cut into units that layout alone decides: fenced code, headings, list items,
-paragraphs. Inside a unit a hidden-event n-gram model places boundary tokens between words: a fixed
-table holds how likely a boundary follows a class of words and marks, and counts how likely a word follows a boundary or not. Forward and
-backward probabilities over the gaps of a unit give each gap's posterior, which decides it. Thai has no end
-marks; there the blanks between Thai characters are the events. The model is trained here on all documents: units
-start with a sentence for certain, gaps without marks or blanks hold no boundary for certain, and the other
-gaps are counted by their posteriors. Gaps influence each other only where they lie close together, so one pass over the
-texts counts words and runs of close gaps, and the rounds of training go over these counts.
+paragraphs. Inside a unit a hidden-event n-gram model places boundary tokens between words. It holds how likely a boundary follows
+the word and mark on the left, backed off to the class of that word, and how likely a word follows a boundary
+or none. A point may belong to a boundary or to its word: each word type is an abbreviation with a probability that rests on
+how often it stands without a point, on what follows it, and, before any count, on its shape. Forward and
+backward probabilities over the gaps of a unit give each gap's posterior, which decides it. Gaps without an end mark hold a
+boundary in Thai and Lao, at blanks, and in units of Chinese characters or kana without any mark, where the counts of the
+characters before and after marks elsewhere decide.
+
+The model is trained here on all documents without labels: units start with a sentence for certain, words away
+from marks follow none, and the gaps are counted by their posteriors, in rounds. Gaps influence each other only where they
+lie close together, so one pass over the texts counts words and runs of close gaps, and the rounds go over these counts.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import blake2b
 from math import exp, log
 
@@ -27,14 +32,20 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from scriptoria.runtime import cut_lineage, table, widen
 
-#: Rounds of training, and most words the model remembers: those seen at gaps first, then the most frequent.
-ROUNDS, WORDS = 2, 60_000
+#: Rounds of training, and most words on either side that the model remembers: those seen at gaps first, then the most frequent.
+ROUNDS, WORDS = 3, 60_000
+#: Weights, in counts, of the rate of a class before its own counts, and of a class in the rate of its words.
+CLASS_WEIGHT, WORD_WEIGHT = 50.0, 4.0
+#: Before any count: the rate of boundaries after words, and of words that are abbreviations without their point.
+RATE, POINTLESS = 0.07, 0.02
+#: Log odds against further boundaries in a unit without any mark, and the weight of the general rate for the characters before one.
+UNMARKED, CHARACTER_WEIGHT = -2.0, 20.0
 #: Gaps at most so many characters apart influence each other; parts of one that posteriors are counted in, so that sums do
 #: not depend on their order; keys a task counts before it hands them on; longest word that stands for itself.
 NEAR, GRAIN, HELD, LONG_WORD = 3, 1 << 20, 200_000, 64
 
-_MARKS = ".!?…。！？｡।॥؟۔"
-_WIDE = "。！？｡…"
+_MARKS = ".!?…。！？｡।॥؟۔។៕။፧።։"
+_WIDE = "。！？｡…។៕။፧።։"
 _CLOSERS = "\"'”’»›)]}」』）】》〉*_`"
 _OPENERS = "\"'“„‚‘«‹([{「『（【《〈*_`¿¡"
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》"}
@@ -48,12 +59,15 @@ _RULE = re.compile(r"[ \t]*(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$")
 _GAP = re.compile(
     rf"(?P<wide>[{_WIDE}][{_MARKS}]*+[{re.escape(_CLOSERS)}]*+)(?P<ws1>\s*+)(?=\S)|"
     rf"(?P<mark>[{_MARKS}]++(?:[ \u00a0\u202f]?[»›]|[{re.escape(_CLOSERS)}])*+)(?P<ws2>\s++)(?=\S)|"
-    r"(?<=[฀-๿])(?P<thai>[ \t]*\r?\n?[ \t]*(?<=\s))(?=[฀-๿])"
+    r"(?<=[฀-\u0eff])(?P<thai>[ \t]*\r?\n?[ \t]*(?<=\s))(?=[฀-\u0eff])"
 )
+_IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿][぀-ヿ㐀-鿿]")
+_ASCII_RUN = re.compile(r"[!-~]*")
+#: What ends the word before a mark, looking back.
+_STOPS = frozenset("“”„«»()[]\"「」『』（）。！？｡।॥؟۔")
 _RIGHT = re.compile(rf"[{re.escape(_OPENERS)}]*([^\W_]+(?:['’][^\W_]+)?|.)?", re.S)
-_LEFT = re.compile(r"[^\s“”„«»()\[\]\"「」『』（）]*$")
 
-# Abbreviations that never end a sentence, and those that may.
+# Abbreviations that seldom end a sentence, and those that may; they set the odds before any count.
 NEVER = frozenset(
     "e.g i.e cf vs v approx fig figs eq no nos vol ch sect pp ed eds dr prof mr mrs ms mx st mt gen col sgt capt rev hon ext tel incl excl resp viz dept univ est ca c.f op cit art al.z "
     "z.b d.h u.a o.ä bzw nr abb tab bd hrsg hr fr str vgl ggf evtl inkl exkl zzgl bspw sog geb s.o s.u i.d.r u.u z.t z b "
@@ -70,10 +84,50 @@ SOMETIMES = frozenset(
 )
 # Words before a number that a point makes an ordinal.
 ORDINALS = [[w] for w in "am im der die das dem den des vom zum zur beim bis ab seit jeder jede jedes jeden ein eine einer einem einen dieser diese dieses ihr sein und oder".split()]
-#: Prior probability of a boundary by kind of left context.
-PRIORS = {"word": 0.9, "never": 0.002, "sometimes": 0.45, "initial": 0.01, "letter": 0.02, "number": 0.55, "ordinal": 0.004, "dots": 0.65, "strong": 0.95, "wide": 0.995, "closed": 0.6, "wide_closed": 0.08, "thai": 0.98}
-#: How much likelier a kind of word follows a boundary than it follows none.
-FOLLOWS = {"upper": 8.0, "lower": 0.004, "digit": 0.25, "code": 6.0, "caseless": 1.0, "other": 1.0}
+#: Rate of boundaries by kind of left context before any count; words with a point: if they are none or an abbreviation.
+PRIORS = {"word": 0.9, "abbreviation": 0.1, "never": 0.01, "sometimes": 0.45, "initial": 0.01, "letter": 0.02, "number": 0.55, "ordinal": 0.004, "dots": 0.65, "strong": 0.95, "wide": 0.995, "closed": 0.6, "wide_closed": 0.02, "thai": 0.98}
+#: Shares of the kinds of words after a boundary, and after a gap without one by its kind, before any count; other kinds tell nothing.
+STARTS = {"upper": 0.8, "lower": 0.003, "digit": 0.025, "code": 0.03, "name": 0.03}
+_USUAL = {"upper": 0.1, "lower": 0.75, "digit": 0.1, "code": 0.005, "name": 0.005}
+FOLLOWS = {
+    "mark": _USUAL,
+    "word": _USUAL,
+    "abbreviation": {"upper": 0.4, "lower": 0.4, "digit": 0.15, "code": 0.005, "name": 0.03},
+    "initial": {"upper": 0.9, "lower": 0.05, "digit": 0.01, "code": 0.005, "name": 0.01},
+    "letter": {"upper": 0.3, "lower": 0.5, "digit": 0.1, "code": 0.005, "name": 0.03},
+    "number": _USUAL | {"upper": 0.15},
+    "ordinal": {"upper": 0.6, "lower": 0.3, "digit": 0.01, "code": 0.005, "name": 0.005},
+}
+#: Largest log odds by a following word; weight of its kind against its counts.
+LEAST, KIND_WEIGHT = 6.0, 2.0
+
+
+_VOWELS = re.compile(r"[aeiouyäöüáéíóúàèùâêîôûëïœæаеёиоуыэюя]")
+_SPELT = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+
+
+@lru_cache(maxsize=100_000)
+def _shape(word: str) -> tuple[float, float]:
+    """Before any count: the log odds that ``word`` is an abbreviation, and the rate of boundaries after it if it is."""
+    low = word.lower()
+    if low in NEVER:
+        return 4.0, PRIORS["never"]
+    if low in SOMETIMES:
+        return 4.0, PRIORS["sometimes"]
+    if not low.isalpha():
+        return -9.0, PRIORS["abbreviation"]
+    odds = (-3.0, -3.0, -3.5, -4.0, -5.0, -6.5)[len(low) - 1] if len(low) < 7 else -8.0
+    odds += 4.5 * word[0].isupper() - 2.5 * bool(_VOWELS.match(low[-1])) + (len(low) > 3 and not _VOWELS.search(low[-3:]))
+    return odds + 3.0 * (not _VOWELS.search(low)), PRIORS["abbreviation"]
+
+
+def _weight(word: str) -> float:
+    """How much the counts of a word tell whether it is an abbreviation: long words seldom are, however seldom they go without a point."""
+    return 1.0 if len(word) < 5 or word.lower() in NEVER or word.lower() in SOMETIMES else (0.5, 0.25, 0.1)[min(len(word), 7) - 5]
+
+
+def _sigmoid(x: float) -> float:
+    return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, x))))
 
 
 @dataclass
@@ -142,47 +196,66 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _word_before(text: str, a: int, at: int) -> str:
+    """The word of text[a:at] that ends at ``at``."""
+    i = at
+    while i > a and not text[i - 1].isspace() and text[i - 1] not in _STOPS:
+        i -= 1
+    return text[i:at]
+
+
 def _left_kind(text: str, a: int, mark_at: int, mark: str) -> tuple[str, str]:
-    """The kind of context before a mark, and the word itself in lower case."""
-    word = _LEFT.search(text, a, mark_at)[0] if mark_at - a < 80 else _LEFT.search(text[mark_at - 80 : mark_at])[0]
-    low = word.lower().lstrip("¿¡*_`'")
+    """The kind of context before a mark, and what stands for its word in the counts."""
     plain = mark.rstrip(_CLOSERS + " \u00a0\u202f")
     closed = plain != mark and any(c in "\"”’»›」』“" for c in mark)
     if mark[0] in _WIDE and mark[0] != "…":
-        return ("wide_closed" if closed or len(plain) < len(mark) else "wide"), low
+        return "wide_closed" if closed or len(plain) < len(mark) else "wide", text[max(a, mark_at - 2) : mark_at]
     if mark[0] == "…" or plain.startswith(".."):
-        return "dots", low
+        return "dots", ""
     if closed:
-        return "closed", low
+        return "closed", ""
     if mark[0] != ".":
-        return "strong", low
-    if not word:
-        return "word", low
+        return "strong", ""
+    word = _word_before(text, a, mark_at)
+    low = word.lower().lstrip("¿¡*_`'")
+    if not low:
+        return "word", ""
     if len(low) == 1 and low.isalpha():
         # t. d., z. B.: the abbreviation may have been spaced
-        before = text[max(a, mark_at - 9) : mark_at - 1].rstrip()
+        i = mark_at - 1
+        while i > a and text[i - 1].isspace():
+            i -= 1
+        before = text[max(a, i - 3) : i]
         if before.endswith(".") and len(before) > 1 and not (word.isupper() and before[-2].isupper()) and before[-2].isalpha() and (len(before) < 3 or before[-3].isspace() or before[-3] in _OPENERS):
             spaced = f"{before[-2]}.{low}".lower()
-            if spaced in SOMETIMES:
-                return "sometimes", spaced
-            if spaced in NEVER:
-                return "never", spaced
+            if spaced in SOMETIMES or spaced in NEVER:
+                return "word", spaced
         if word.isupper():
-            return "initial", low
-        return ("never" if low in NEVER else "letter"), low
+            return "initial", ""
+        return ("word", low) if low in NEVER else ("letter", "")
     if "'" in low or "’" in low:  # l'art.
-        low = re.split("['’]", low)[-1]
-    if low in NEVER:
-        return "never", low
-    if low in SOMETIMES:
-        return "sometimes", low
-    if low.isdigit() and len(low) < 3 and text[max(a, mark_at - 24) : mark_at - len(word)].lower().split()[-1:] in ORDINALS:
-        return "ordinal", "0"
+        word = re.split("['’]", word)[-1]
+        low = word.lower()
+    if low in NEVER or low in SOMETIMES:
+        return "word", low
     if low.replace(",", "").replace(".", "").isdigit():
-        return "number", "0"
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", low):
-        return "initial" if word.isupper() else "letter", low
-    return "word", low
+        i = mark_at - len(word)
+        while i > a and text[i - 1].isspace():
+            i -= 1
+        before = _word_before(text, a, i).lower()
+        if low.isdigit() and len(low) < 3 and [before] in ORDINALS:
+            return "ordinal", before
+        return "number", before if before.isalpha() and len(before) <= LONG_WORD else ""
+    if _SPELT.fullmatch(low):
+        return "initial" if word.isupper() else "letter", ""
+    word = word.lstrip("¿¡*_`'")
+    if not word.isalpha() or len(word) > LONG_WORD:
+        return "word", ""
+    i = mark_at - len(word)
+    while i > a and text[i - 1].isspace():
+        i -= 1
+    # a capital at the start of a sentence is none of the word's own
+    return "word", low.lstrip("¿¡*_`'") if i <= a or text[i - 1] in _MARKS else word
 
 
 _IDENTIFIER = re.compile(r"[^\s_./()]*(?:_\w|\.[A-Za-z]\w|\(|/\w|[a-z][A-Z])")
@@ -190,8 +263,10 @@ _IDENTIFIER = re.compile(r"[^\s_./()]*(?:_\w|\.[A-Za-z]\w|\(|/\w|[a-z][A-Z])")
 
 def _follow_kind(word: str, opener: str, token: str) -> str:
     """The kind of a word, its opening marks and the whole token from the word on considered."""
-    if "`" in opener or (word[:1].islower() and _IDENTIFIER.match(token)):
+    if "`" in opener:
         return "code"
+    if word[:1].islower() and _IDENTIFIER.match(token):
+        return "name"
     if not word:
         return "other"
     c = word[0]
@@ -229,40 +304,81 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
             kind, left = _left_kind(text, first, at, mark)
         r = _RIGHT.match(text, m.end(), b)
         word = r[1] or ""
-        follows = _follow_kind(word, text[m.end() : r.start(1)], text[r.start(1) : min(b, r.start(1) + 60)].split(None, 1)[0]) if word else "other"
+        follows = _follow_kind(word, text[m.end() : r.start(1)], _ASCII_RUN.match(text, r.start(1), b)[0] if word[:1].islower() else "") if word else "other"
         out.append(Gap(end, m.end(), kind, left, _key(word), follows))
     return out
 
 
+@dataclass
 class EventModel:
-    """Counts of words after a boundary and after none, and their totals if there are more words than these."""
-
-    def __init__(self, after: dict[str, float] | None = None, inside: dict[str, float] | None = None, totals: tuple[float, float] | None = None) -> None:
-        self.after, self.inside = after or {}, inside or {}
-        self.totals = totals or (sum(self.after.values()), sum(self.inside.values()))
+    """What the rounds have counted; empty tables leave what holds before any count."""
+
+    #: Counts of words after a boundary and after none, and their totals if there are more words than these.
+    after: dict[str, float] = field(default_factory=dict)
+    inside: dict[str, float] = field(default_factory=dict)
+    totals: tuple[float, float] | None = None
+    #: Rates of boundaries by kind of left context and by its word, and shares of the kinds of words that follow where none is.
+    kinds: dict[str, float] = field(default_factory=dict)
+    lefts: dict[tuple[str, str], float] = field(default_factory=dict)
+    follows: dict[tuple[str, str], float] = field(default_factory=dict)
+    starts: dict[str, float] = field(default_factory=dict)
+    #: Abbreviations: how likely a word is one, the rate of boundaries if it is, and the shares of what follows its point.
+    points: dict[str, tuple[float, float, dict[str, float]]] = field(default_factory=dict)
+    #: Rates of ends after two characters of a script without blanks, marks aside.
+    ends: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.totals = self.totals or (sum(self.after.values()), sum(self.inside.values()))
         self.total_after, self.total_inside = self.totals[0] + 1.0, self.totals[1] + 1.0
+        self.rate = (self.total_after + 100 * RATE) / (self.total_after + self.total_inside + 100)
+        self.kinds = PRIORS | self.kinds
+        self.starts = STARTS | self.starts
+        self.follows = {(group, k): x for group, shares in FOLLOWS.items() for k, x in shares.items()} | self.follows
 
-    def evidence(self, word: str, follows: str) -> float:
-        """Log odds that ``word`` follows a boundary."""
-        odds = log(FOLLOWS[follows])
+    def evidence(self, word: str, follows: str, group: str, shares: dict[str, float] | None = None) -> float:
+        """Log odds that ``word`` follows a boundary and not a gap of ``group`` without one, or one with these ``shares``."""
         a, i = self.after.get(word, 0.0), self.inside.get(word, 0.0)
-        if (len(word) > 1 or follows == "caseless") and a + i > 0 and follows not in ("lower", "code"):
-            # shrunk towards even odds, the more the rarer the word
-            seen = log((a + 0.5) / self.total_after) - log((i + 0.5) / self.total_inside)
-            odds += max(-6.0, min(6.0, seen * (a + i) / (a + i + 2.0)))
-        elif follows == "caseless":
-            odds -= 0.5
-        return odds
+        if follows == "caseless" and not a + i:
+            return -0.5
+        odds = 0.0
+        if follows in STARTS:
+            odds = max(-LEAST, min(LEAST, log(self.starts[follows]) - log(shares[follows] if shares else self.follows[group, follows])))
+        if follows in ("lower", "code", "name") or not a + i or len(word) == 1 and follows != "caseless":
+            return odds
+        # the counts of a word speak for themselves, the more there are; else its kind does
+        seen = max(-LEAST, min(LEAST, log((a + 0.5) / self.total_after) - log((i + 0.5) / self.total_inside)))
+        return (seen * (a + i) + odds * KIND_WEIGHT) / (a + i + KIND_WEIGHT)
+
+    def belongs(self, word: str, right: str, follows: str) -> float:
+        """Log likelihood ratio, for one point after ``word``, that the word is an abbreviation and not an ordinary one that ends a sentence."""
+        a, o = _shape(word)[1], self.kinds["word"]
+        common = 0.0
+        if follows in STARTS:
+            n = 0.0 if follows in ("lower", "code", "name") or len(right) == 1 else self.after.get(right, 0.0) + self.inside.get(right, 0.0)
+            common = (log(self.follows["abbreviation", follows]) - log(self.follows["word", follows])) * KIND_WEIGHT / (n + KIND_WEIGHT)
+        x, y = exp(self.evidence(right, follows, "abbreviation")), exp(self.evidence(right, follows, "word"))
+        return common + log((a * x + 1.0 - a) / (self.rate * (o * y + 1.0 - o)))
+
+    def weigh(self, gap: Gap) -> tuple[float, float]:
+        """Likelihoods of no boundary and of a boundary at ``gap``, up to a common factor."""
+        kind, word = gap.kind, gap.left
+        if kind == "word":
+            z, a, shares = self.points.get(word) or ((_sigmoid(_shape(word)[0] - log(self.rate)), _shape(word)[1], None) if word else (0.0, 0.0, None))
+            o = self.kinds["word"]
+            x, y = exp(self.evidence(gap.right, gap.follows, "abbreviation", shares)) if word else 1.0, exp(self.evidence(gap.right, gap.follows, "word"))
+            return z * (1.0 - a) + (1.0 - z) * (1.0 - o), z * a * x + (1.0 - z) * o * y
+        if kind == "bare":
+            p = self.ends[word] * exp(UNMARKED)
+        else:
+            p = self.lefts.get((kind, word)) or self.kinds["wide_closed" if kind == "closed" and gap.follows == "caseless" else kind]
+        return 1.0 - p, p * exp(self.evidence(gap.right, gap.follows, kind if kind in FOLLOWS else "mark"))
 
     def posteriors(self, found: list[Gap]) -> list[float]:
         """Posterior probability of a boundary at each gap, by forward and backward passes."""
         n = len(found)
         if not n:
             return []
-        local = []
-        for g in found:
-            p = PRIORS["wide_closed" if g.kind == "closed" and g.follows == "caseless" else g.kind]
-            local.append((1.0 - p, p * exp(self.evidence(g.right, g.follows))))
+        local = [self.weigh(g) for g in found]
         # a boundary right after a boundary would leave a sentence of a word or less
         near = [i > 0 and found[i].end - found[i - 1].start <= NEAR for i in range(n)]
         forward = [[0.0, 0.0] for _ in range(n)]
@@ -286,7 +402,8 @@ class EventModel:
         return out
 
 
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+#: Words without a point.
+_WORD = re.compile(r"[^\W_]++(?:['’][^\W_]++)?+(?!\.(?:\s|$))")
 
 
 class Tally:
@@ -309,16 +426,16 @@ class Tally:
             if r and r[1]:
                 self.after[_key(r[1])] += 1
             self.heard.update(_WORD.findall(text, first, b))
-            opens = {r.start(1): r[1]} if r and r[1] else {}
+            opens = {r.start(1): r[1]} if r and r[1] and _WORD.match(text, r.start(1), b) else {}
             for g in found:
                 x = _RIGHT.match(text, g.start, b)
-                if x and x[1]:
+                if x and x[1] and _WORD.match(text, x.start(1), b):
                     opens[x.start(1)] = x[1]
             self.opening.update(opens.values())
             at = 0
             for i in range(1, len(found) + 1):
                 if i == len(found) or found[i].end - found[i - 1].start > NEAR:
-                    self.runs[tuple((g.kind, g.follows, g.right) for g in found[at:i])] += 1
+                    self.runs[tuple((g.kind, g.left, g.follows, g.right) for g in found[at:i])] += 1
                     at = i
 
     def inside(self) -> Counter:
@@ -336,16 +453,62 @@ class Tally:
         return out
 
 
-def _expected(run: tuple, n: int, model: EventModel) -> Iterator[tuple[str, int, int]]:
-    """The words of the gaps of a run that was seen ``n`` times, with their counts after a boundary and after none in parts of ``GRAIN``."""
-    found = [Gap(0, 0, kind, "", right, follows) for kind, follows, right in run]
-    for g, p in zip(found, model.posteriors(found)):
-        y = round(p * GRAIN)
-        yield g.right, n * y, n * (GRAIN - y)
+#: Kinds of gaps whose posteriors count for the words that follow.
+SURE = ("strong", "wide", "thai", "closed", "wide_closed", "dots")
+#: What a round sums up by key. Words on the right (right): counts after a boundary and after none. Kinds (kind), words on the left (left),
+#: kinds of followers by kind (follow): boundaries, gaps. Words before a point (point): boundaries, gaps, log likelihood ratios that
+#: they are abbreviations. What follows their points (next): gaps.
+SUMS = "what string, key string, x long, y long, z long"
 
 
-def _model(words: list[tuple[str, int, int]], totals: tuple[int, int]) -> EventModel:
-    return EventModel({w: a / GRAIN for w, a, _ in words if a}, {w: i / GRAIN for w, _, i in words if i}, (totals[0] / GRAIN, totals[1] / GRAIN))
+def _expected(run: tuple, n: int, model: EventModel) -> Iterator[tuple[str, str, int, int, int]]:
+    """The rows of ``SUMS`` of a run of gaps that was seen ``n`` times, in parts of ``GRAIN``."""
+    found = [Gap(0, 0, kind, left, right, follows) for kind, left, follows, right in run]
+    for g, p in zip(found, model.posteriors(found)):
+        y = round(p * GRAIN)
+        # a word met only after one abbreviation would confirm whatever is believed of that: points teach nothing of what follows
+        sure = g.kind in SURE
+        yield "right", g.right, n * y * sure, n * (GRAIN - y) * sure, 0
+        yield "kind", g.kind, n * y, n * GRAIN, 0
+        if g.kind == "word" and g.left:
+            # repeats of one context say little more than the first
+            yield "point", g.left, n * y, n * GRAIN, round((1.0 + log(n)) * model.belongs(g.left, g.right, g.follows) * GRAIN)
+            if g.follows in STARTS:
+                yield "next", f"{g.left} {g.follows}", n * GRAIN, 0, 0
+        elif g.left:
+            yield "left", f"{g.kind} {g.left}", n * y, n * GRAIN, 0
+        if g.follows in STARTS and g.kind != "word":
+            yield "follow", f"{g.kind if g.kind in FOLLOWS else 'mark'} {g.follows}", n * y, n * GRAIN, 0
+
+
+def _next_model(rights: list[tuple[str, int, int]], totals: tuple[int, int], small: list[tuple[str, str, int, int]], lefts: list[tuple[str, int, int]], points: list[tuple], ends: list[tuple[str, int, int]]) -> EventModel:
+    """The model after a round.
+
+    ``rights``: word, after, inside. ``small``: what, key, boundaries, gaps of kinds and followers. ``lefts``: key, boundaries, gaps.
+    ``points``: word, boundaries, gaps, ratios, how often heard away from openings, gaps by kind of follower. ``ends``: characters,
+    boundaries, how often heard.
+    """
+    kinds = {key: (x / GRAIN + CLASS_WEIGHT * PRIORS[key]) / (n / GRAIN + CLASS_WEIGHT) for what, key, x, n in small if what == "kind" and key != "word"}
+    counts = {tuple(key.split(" ")): (x / GRAIN, n / GRAIN) for what, key, x, n in small if what == "follow"}
+    follows = {}
+    for group in sorted({g for g, _ in counts}):
+        i = sum(n - x for (g, _), (x, n) in counts.items() if g == group)
+        for k, q in FOLLOWS[group].items():
+            x, n = counts.get((group, k), (0.0, 0.0))
+            follows[group, k] = (n - x + CLASS_WEIGHT * q) / (i + CLASS_WEIGHT)
+    new = EventModel({w: a / GRAIN for w, a, _ in rights if a}, {w: i / GRAIN for w, _, i in rights if i}, (totals[0] / GRAIN, totals[1] / GRAIN), kinds, {}, follows)
+    for key, x, n in lefts:
+        kind, word = key.split(" ", 1)
+        new.lefts[kind, word] = (x / GRAIN + WORD_WEIGHT * new.kinds[kind]) / (n / GRAIN + WORD_WEIGHT)
+    for word, x, n, ratio, heard, nexts in points:
+        odds, rate = _shape(word)
+        x, n = x / GRAIN, n / GRAIN
+        odds += _weight(word) * (ratio / GRAIN + heard / GRAIN * log(POINTLESS / (1.0 - new.rate)))
+        shares = {k: (nexts.get(k, 0) / GRAIN + WORD_WEIGHT * q) / (n + WORD_WEIGHT) for k, q in FOLLOWS["abbreviation"].items()}
+        new.points[word] = (_sigmoid(odds), (x + 5 * WORD_WEIGHT * rate) / (n + 5 * WORD_WEIGHT), shares)
+    for word, x, heard in ends:
+        new.ends[word] = (x / GRAIN + CHARACTER_WEIGHT * new.rate / 3) / (max(heard, x) / GRAIN + CHARACTER_WEIGHT)
+    return new
 
 
 def fit(texts: list[str]) -> EventModel:
@@ -353,20 +516,48 @@ def fit(texts: list[str]) -> EventModel:
     tally, model = Tally(), EventModel()
     for text in texts:
         tally.add(text)
-    sure_after, sure_inside = tally.after, tally.inside()
+    sure = tally.inside()
     for _ in range(ROUNDS):
-        after, inside = Counter({w: n * GRAIN for w, n in sure_after.items()}), Counter({w: n * GRAIN for w, n in sure_inside.items()})
-        seen = set()
+        after, inside = Counter({w: n * GRAIN for w, n in tally.after.items()}), Counter({w: n * GRAIN for w, n in sure.items()})
+        sums: dict[tuple[str, str], list[int]] = {}
         for run, n in tally.runs.items():
-            for word, a, i in _expected(run, n, model):
-                after[word] += a
-                inside[word] += i
-                seen.add(word)
-        first = sorted(after.keys() | inside.keys(), key=lambda w: (w not in seen, -after[w] - inside[w], w))[:WORDS]
-        model = _model([(w, after[w], inside[w]) for w in first], (after.total(), inside.total()))
+            for what, key, *values in _expected(run, n, model):
+                total = sums.setdefault((what, key), [0, 0, 0])
+                for k, v in enumerate(values):
+                    total[k] += v
+        for (what, key), (x, y, _) in sums.items():
+            if what == "right":
+                after[key] += x
+                inside[key] += y
+        first = sorted(after.keys() | inside.keys(), key=lambda w: (("right", w) not in sums, -after[w] - inside[w], w))[:WORDS]
+        nexts: dict[str, dict[str, int]] = {}
+        for (what, key), (x, _, _) in sums.items():
+            if what == "next":
+                nexts.setdefault(key.split(" ")[0], {})[key.split(" ")[1]] = x
+        kept = lambda kind: sorted(((key, *v) for (what, key), v in sums.items() if what == kind), key=lambda r: (-r[2], r[0]))[:WORDS]
+        model = _next_model(
+            [(w, after[w], inside[w]) for w in first],
+            (after.total(), inside.total()),
+            [(what, key, x, y) for (what, key), (x, y, _) in sorted(sums.items()) if what in ("kind", "follow")],
+            [r[:3] for r in kept("left") if not r[0].startswith("wide")],
+            [(*r, sure[r[0]] * GRAIN, nexts.get(r[0], {})) for r in kept("point")],
+            [(w, x, sure[w] * GRAIN) for key, x, _, _ in kept("left") if key.startswith("wide ") and _IDEOGRAPH.fullmatch(w := key[5:])],
+        )
     return model
 
 
+def bare_gaps(text: str, a: int, b: int, model: EventModel) -> list[Gap]:
+    """The gaps between Chinese characters or kana of text[a:b], which holds no mark, at which a boundary is not out of the question."""
+    if not model.ends:
+        return []
+    out = []
+    for i in range(a + 2, b - 1):
+        left = text[i - 2 : i]
+        if left in model.ends and _IDEOGRAPH.match(text, i):
+            out.append(Gap(i, i, "bare", left, text[i : i + 2], "caseless"))
+    return out
+
+
 def _quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Spans of paired quotation marks and brackets in text[a:b]."""
     spans, stack, straight = [], [], -1
@@ -397,7 +588,7 @@ def sentences(text: str | None, model: EventModel) -> list[tuple[int, int]]:
         if whole:
             out.append((a, b))
             continue
-        found = gaps(text, a, b)
+        found = gaps(text, a, b) or bare_gaps(text, a, b, model)
         if not found:
             out.append((a, b))
             continue
@@ -421,6 +612,13 @@ def sentences(text: str | None, model: EventModel) -> list[tuple[int, int]]:
     return out
 
 
+def restored(tables: dict) -> EventModel:
+    """The model with these tables."""
+    model = EventModel.__new__(EventModel)
+    vars(model).update(tables)
+    return model
+
+
 def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partial counts of the texts of a task; a tally is handed on before it grows large."""
 
@@ -447,24 +645,37 @@ def train(docs: DataFrame, text_col: str = "text") -> EventModel:
     texts = docs.select(F.col(text_col).alias("t")).where("t <> ''")
     counts = cut_lineage(texts.mapInPandas(_tallied, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n")))
     part = lambda what: F.when(F.col("what") == what, F.col("n") * GRAIN).otherwise(F.lit(0).cast("long"))
-    sure = counts.where("what <> 'run'").select(F.col("key").alias("word"), part("after").alias("after"), part("inside").alias("inside"), F.lit(0).alias("at_gap"))
+    sure = counts.where("what <> 'run'").select(F.lit("sure").alias("what"), "key", part("after").alias("x"), part("inside").alias("y"), F.lit(0).cast("long").alias("z"))
+    bare = counts.where("what = 'inside'").select(F.col("key").alias("word"), (F.col("n") * GRAIN).alias("bare"))
     runs = counts.where("what = 'run'").select("key", "n")
     model = EventModel()
     for _ in range(ROUNDS):
-        after, inside, totals = model.after, model.inside, model.totals
+        known = vars(model)
 
-        def expect(batches: Iterator[pd.DataFrame], after=after, inside=inside, totals=totals) -> Iterator[pd.DataFrame]:
-            known = EventModel(after, inside, totals)
+        def expect(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
+            now = restored(known)
             for pdf in batches:
-                rows = [(*x, 1) for key, n in zip(pdf["key"], pdf["n"]) for x in _expected(json.loads(key), int(n), known)]
-                yield pd.DataFrame(rows, columns=["word", "after", "inside", "at_gap"])
-
-        words = sure.unionByName(runs.mapInPandas(expect, "word string, after long, inside long, at_gap int"))
-        words = words.groupBy("word").agg(F.sum("after").alias("after"), F.sum("inside").alias("inside"), F.max("at_gap").alias("at_gap"))
-        total = words.agg(F.sum("after").alias("after"), F.sum("inside").alias("inside")).first()
-        first = words.orderBy(F.desc("at_gap"), F.desc(F.col("after") + F.col("inside")), "word").limit(WORDS)
-        kept = first.agg(F.collect_list(F.struct("word", "after", "inside")).alias("words")).first()["words"]
-        model = _model([(r["word"], r["after"], r["inside"]) for r in kept], (total["after"] or 0, total["inside"] or 0))
+                rows = [x for key, n in zip(pdf["key"], pdf["n"]) for x in _expected(json.loads(key), int(n), now)]
+                yield pd.DataFrame(rows, columns=["what", "key", "x", "y", "z"])
+
+        sums = cut_lineage(runs.mapInPandas(expect, SUMS).groupBy("what", "key").agg(*[F.sum(c).alias(c) for c in "xyz"]))
+        words = sure.unionByName(sums.where("what = 'right'")).groupBy("key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max(F.col("what") == "right").alias("at_gap"))
+        total = words.agg(F.sum("x").alias("x"), F.sum("y").alias("y")).first()
+        first = words.orderBy(F.desc("at_gap"), F.desc(F.col("x") + F.col("y")), "key").limit(WORDS).select("key", "x", "y")
+        kept = lambda what: sums.where(F.col("what") == what).orderBy(F.desc("y"), "key").limit(WORDS)
+        lefts, ends = kept("left").where("key not like 'wide%'"), kept("left").where("key like 'wide %'").withColumn("word", F.expr("substring(key, 6)"))
+        nexts = sums.where("what = 'next'").groupBy(F.substring_index("key", " ", 1).alias("word")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.substring_index("key", " ", -1).alias("k"), "x")))).alias("nexts"))
+        points = kept("point").withColumnRenamed("key", "word").join(bare, "word", "left").join(nexts, "word", "left")
+        small = sums.where("what in ('kind', 'follow')").orderBy("what", "key")
+        zero = F.lit(0).cast("long")
+        model = _next_model(
+            [tuple(r) for r in first.collect()],
+            (total["x"] or 0, total["y"] or 0),
+            [(r["what"], r["key"], r["x"], r["y"]) for r in small.collect()],
+            [(r["key"], r["x"], r["y"]) for r in lefts.collect()],
+            [(*r[:5], r["nexts"] or {}) for r in points.select("word", "x", "y", "z", F.coalesce("bare", zero), "nexts").collect()],
+            [tuple(r) for r in ends.join(bare, "word", "left").select("word", "x", F.coalesce("bare", zero)).collect() if _IDEOGRAPH.fullmatch(r["word"])],
+        )
     return model
 
 
@@ -475,10 +686,10 @@ def split_sentences(docs: DataFrame, model: EventModel, id_col: str = "doc_id",
     repeated sentences. A text is processed whole, in time proportional to its length.
     """
     schema = StructType([docs.schema[id_col], StructField("start_char", IntegerType(), False), StructField("end_char", IntegerType(), False)])
-    after, inside, totals = model.after, model.inside, model.totals
+    tables = vars(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = EventModel(after, inside, totals)
+        known = restored(tables)
         for pdf in batches:
             rows = [(i, a, b) for i, t in zip(pdf[id_col], pdf[text_col]) for a, b in sentences(t, known)]
             yield pd.DataFrame(rows, columns=[id_col, "start_char", "end_char"])

@@ -46,6 +46,33 @@ def test_cases(model, text):
     assert [text[a:b] for a, b in sentences(text, model)] == CASES[text]
 
 
+HELD_OUT = {
+    "He met Sen. Smith today. It stops.": ["He met Sen. Smith today.", "It stops."],
+    "See Thm. 4 below. It waits for the key.": ["See Thm. 4 below.", "It waits for the key."],
+    "We met Insp. Clouseau there. This step stops.": ["We met Insp. Clouseau there.", "This step stops."],
+    "We like Java. It waits.": ["We like Java.", "It waits."],
+    "Store the map. It is big.": ["Store the map.", "It is big."],
+    "ប្រព័ន្ធអានឯកសារ។ បន្ទាប់មកវាបញ្ឈប់។": ["ប្រព័ន្ធអានឯកសារ។", "បន្ទាប់មកវាបញ្ឈប់។"],
+    "ስርዓቱ ፋይሉን ያነባል። ከዚያ ይቆማል።": ["ስርዓቱ ፋይሉን ያነባል።", "ከዚያ ይቆማል።"],
+    "ລະບົບອ່ານໄຟລ໌ ແລ້ວມັນຢຸດ": ["ລະບົບອ່ານໄຟລ໌", "ແລ້ວມັນຢຸດ"],
+    "缓存读取目录如果队列为空系统会等待": ["缓存读取目录", "如果队列为空系统会等待"],
+    "安装说明": ["安装说明"],
+}
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_abbreviations_scripts_and_units_without_marks_that_no_list_holds(text):
+    known = fit([*CORPUS, *["缓存读取目录。如果队列为空，系统会等待。模块读取目录。如果键值为空，缓存会等待。"] * 30])
+    assert [text[a:b] for a, b in sentences(text, known)] == HELD_OUT[text]
+
+
+def test_abbreviations_are_learnt_without_lists():
+    texts = [f"Row {i} was read by {x} {n} first. It waits for the key, and then it stops." for i, (x, n) in enumerate((x, n) for x in ("Kpt.", "Obf.") for n in ("Wexler", "Brandt", "Ostrow", "Quill", "Tarn", "Hobart", "Lund", "Mirov"))]
+    known = fit(texts)
+    text = "It was read by Kpt. Zephyr. It stops."
+    assert [text[a:b] for a, b in sentences(text, known)] == ["It was read by Kpt. Zephyr.", "It stops."] and known.points["Kpt"][0] > 0.9 > 0.5 > known.points.get("first", (0.0,))[0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aA .!?\n\r。ก中\"“”()`#-1*﻿\t", max_size=120))
 def test_units_cover_the_text(text):
@@ -71,9 +98,9 @@ def test_operator_cases(spark, model):
 
 
 def test_model_counts_every_text(spark):
-    texts = CORPUS * 200 + ["It ends. Zephyr waits. " * 1000, "It goes on. " + "Quokka" * 30 + " is here. A. B. C. Then it stops.", ""]
+    texts = CORPUS * 200 + ["It ends! Zephyr waits! " * 1000, "It goes on. " + "Quokka" * 30 + " is here. A. B. C. Then it stops.", ""]
     df = spark.createDataFrame([(t, 5) for t in [*texts, None]], "text string, n int")
     one, many, local = train(df.coalesce(1)), train(df.repartition(7)), fit(texts)
     assert one.after["Zephyr"] > 900 and max(map(len, one.after)) <= 64
     for m in (many, local):
-        assert (m.after, m.inside, m.totals) == (one.after, one.inside, one.totals)
+        assert vars(m) == vars(one)
