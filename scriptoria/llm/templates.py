@@ -2,84 +2,105 @@
 
 A line's leaf is its token count plus its first ``depth`` tokens, numbers masked. In a leaf a line
 joins the first template whose constant tokens make up ``similarity`` of its own; where they differ the template
-gets a wildcard. A tree holds templates, never lines, so its memory follows the number of
-templates. Trees are grown in two rounds: one per task over distinct lines, then one over the
-templates of the first round; both read their lines in sorted order and are thus deterministic.
+gets a wildcard. Leaves of more than ``LEAF`` lines are split by a hash of the line into parts that grow their
+templates apart, so that no task holds more than one part, however many lines begin alike.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.runtime import parallelism
+from scriptoria.runtime import parallelism, salted_join
 
 WILDCARD = "<*>"
+#: Lines of a leaf that grow their templates together, on average.
+LEAF = 20_000
 
 
-def leaf_path(tokens: list[str], depth: int) -> str:
+def leaf_path(line: Column, depth: int) -> Column:
     """The tree path of a line: its length and its first tokens."""
-    return f"{len(tokens)} " + " ".join(tokens[:depth])
+    tokens = F.split(line, " ")
+    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth))
 
 
-class PrefixTree:
-    """Templates by leaf."""
+class Leaf:
+    """The templates of lines of one length.
 
-    def __init__(self, depth: int, similarity: float) -> None:
-        self.depth, self.similarity = depth, similarity
-        self.leaves: dict[str, list[list[str]]] = {}
+    A line of n tokens that agrees with a template but for m tokens agrees with it throughout one of m + 1 blocks. Templates are
+    indexed by their blocks without a wildcard, so that a line meets few of them; the first that is similar enough is taken.
+    """
 
-    def add(self, tokens: list[str]) -> list[str]:
-        """The template that ``tokens`` joins; it may be widened in place."""
-        leaf = self.leaves.setdefault(leaf_path(tokens, self.depth), [])
-        for template in leaf:
-            same = sum(a == b for a, b in zip(template, tokens))
-            if same >= self.similarity * len(tokens):
-                for i, (a, b) in enumerate(zip(template, tokens)):
-                    if a != b:
-                        template[i] = WILDCARD
-                return template
-        leaf.append(list(tokens))
-        return leaf[-1]
+    def __init__(self, size: int, similarity: float) -> None:
+        self.templates: list[list[str]] = []
+        self.size, self.least = size, similarity * size
+        blocks = min(size, int(size - self.least) + 1)
+        self.cuts = [(size * k // blocks, size * (k + 1) // blocks) for k in range(blocks)]
+        self.index: dict[tuple, list[int]] = {}
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the template that ``tokens`` joins; it may be widened by it."""
+        met = sorted({i for k, (a, b) in enumerate(self.cuts) for i in self.index.get((k, *tokens[a:b]), ())})
+        for i in met:
+            template = self.templates[i]
+            if sum(map(str.__eq__, template, tokens)) >= self.least:
+                for k, (x, y) in enumerate(zip(template, tokens)):
+                    if x != y:
+                        template[k] = WILDCARD
+                return i
+        self.templates.append(list(tokens))
+        i = len(self.templates) - 1
+        for k, (a, b) in enumerate(self.cuts):
+            self.index.setdefault((k, *tokens[a:b]), []).append(i)
+        return i
+
+
+Judge = Callable[[str, int], str | None]
+
+
+def _grow(judge_of: Callable[[], tuple[Callable[[str], str | None], Judge]], similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge_line, judge_template = judge_of()
+        now, leaf, found, uses = None, None, [], []
 
+        def verdicts() -> list[tuple]:
+            """The lines of a finished part whose own text or whose template is judged."""
+            kinds = [judge_template(" ".join(t), n) for t, n in zip(leaf.templates, uses)]
+            return [(k1, k2, line or kinds[i]) for k1, k2, i, line in found if line or kinds[i]]
 
-def _grow(column: str, out: str, depth: int, similarity: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, lines, found = PrefixTree(depth, similarity), [], []
         for pdf in batches:
-            for line in pdf[column]:
-                lines.append(line)
-                found.append(tree.add(line.split(" ")))
-        # templates widen while lines arrive, hence they are named at the end
-        names = {id(t): " ".join(t) for leaf in tree.leaves.values() for t in leaf}
-        for at in range(0, len(lines), 10_000):
-            yield pd.DataFrame({column: lines[at : at + 10_000], out: [names[id(t)] for t in found[at : at + 10_000]]})
+            rows = []
+            for part, k1, k2, line, n in zip(pdf["part"], pdf["k1"], pdf["k2"], pdf["line"], pdf["n"]):
+                if part != now:
+                    if leaf is not None:
+                        rows += verdicts()
+                    tokens = line.split(" ")
+                    now, leaf, found, uses = part, Leaf(len(tokens), similarity), [], []
+                i = leaf.add(line.split(" "))
+                if i == len(uses):
+                    uses.append(0)
+                uses[i] += n
+                found.append((k1, k2, i, judge_line(line)))
+            yield pd.DataFrame(rows, columns=["k1", "k2", "kind"])
+        if leaf is not None:
+            yield pd.DataFrame(verdicts(), columns=["k1", "k2", "kind"])
 
     return run
 
 
-def mine_templates(lines: DataFrame, column: str, depth: int = 2, similarity: float = 0.75, salts: int = 16) -> tuple[DataFrame, DataFrame]:
-    """``(line -> local template, local template -> template)`` of the distinct values of ``column``.
+def judged_lines(lines: DataFrame, judge_of: Callable[[], tuple[Callable[[str], str | None], Judge]], depth: int = 2, similarity: float = 0.75, leaf: int = LEAF) -> DataFrame:
+    """``(k1, k2, kind)``: the lines of ``lines`` (k1, k2, line, n; distinct, keyed by k1 and k2, ``n`` uses) that are judged.
 
-    Null lines have no template. Lines of a hot leaf are spread over ``salts`` tasks by a hash of
-    the line; their local templates meet again in the second round.
+    ``judge_of`` gives two functions, made once a task: the kind of a line, and the kind of a template with the number of its uses.
+    A verdict on a template holds for all its lines. Null lines have no template. Parts come sorted, hence in the same order at any partitioning.
     """
-    n = parallelism(lines.sparkSession)
-
-    def path(c: str):
-        tokens = F.split(F.col(c), " ")
-        return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth))
-
-    distinct = lines.select(column).where(F.col(column).isNotNull()).distinct()
-    local = (
-        distinct.repartition(n, path(column), F.pmod(F.xxhash64(column), F.lit(salts)))
-        .sortWithinPartitions(column)
-        .mapInPandas(_grow(column, "local", depth, similarity), f"{column} string, local string")
-    )
-    merged = (
-        local.select("local").distinct().repartition(n, path("local")).sortWithinPartitions("local").mapInPandas(_grow("local", "template", depth, similarity), "local string, template string")
-    )
-    return local, merged
+    paths = lines.where("line is not null").withColumn("path", leaf_path(F.col("line"), depth))
+    sizes = paths.groupBy("path").agg(F.ceil(F.count("*") / leaf).alias("parts"))
+    # a leaf of one part needs no lookup
+    large = sizes.where("parts > 1")
+    parted = salted_join(paths, large, ["path"], "left").withColumn("part", F.concat_ws(" ", F.pmod("k1", F.coalesce("parts", F.lit(1))).cast("string"), "path"))
+    spread = parted.select("part", "k1", "k2", "line", "n").repartition(parallelism(lines.sparkSession), "part").sortWithinPartitions("part", "line")
+    return spread.mapInPandas(_grow(judge_of, similarity), "k1 long, k2 long, kind string")

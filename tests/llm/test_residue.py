@@ -1,9 +1,14 @@
 """Problem 1."""
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from scriptoria.llm.residue import described_sections, judge, masked, prose, residue
-from scriptoria.llm.templates import WILDCARD, PrefixTree, mine_templates
+from scriptoria.llm.phrases import Classifier, Patterns, literals
+from scriptoria.llm.residue import KINDS, classify, described_sections, judge, masked, prose, residue, train
+from scriptoria.llm.templates import WILDCARD, Leaf, judged_lines
 
 RESIDUE = [
     "To start {{ name }}, open a shell.", "Welcome to [YOUR TOOL]!", "[[NEEDS_OVERVIEW]]", "TODO: describe what your project does (max. 50 words)", "lorem ipsum dolor sit amet",
@@ -65,22 +70,70 @@ def test_titles(spark):
     assert described_sections(df).count() == 2
 
 
-def test_tree_widens_and_keeps_leaves_apart():
-    tree = PrefixTree(2, 0.75)
-    a = tree.add("we could not load page one".split())
-    assert tree.add("we could not load page two".split()) is a and a[-1] == WILDCARD
-    assert tree.add("they could not load page one".split()) is not a
+UNSEEN = [
+    "Write your overview in this spot", "Please write something useful in this box", "HTTP 418 I'm a teapot", "Bitte hier den Überblick ergänzen", "Página não encontrada", "Questo testo è un segnaposto", "Strona nie istnieje",
+    "Please add a description of your tool in this space.", "Diese Seite wurde nicht gefunden.", "Cette section est encore vide.",
+]
+UNSEEN_SOUND = [
+    "Put your key in this file.", "Please write the output to a file in this folder.", "HTTP 404 is sent when a row is missing.", "HTTP 503 responses are retried.", "The overview lists each tool.", "Bitte den Schlüssel in die Datei schreiben.",
+    "Internal tool; see the team wiki for background.", "Describe rows with a schema and write them here.", "Welcome to the docs.",
+]
+
+
+def test_residue_that_no_pattern_knows(spark):
+    assert set(found(spark, [(i, t, None, None) for i, t in enumerate(UNSEEN + UNSEEN_SOUND)])) == set(range(len(UNSEEN)))
+    model = train([])
+    assert sum(judge(t) is None and classify(model, t) is not None for t in UNSEEN) >= 6
+
+
+def test_leaf_widens_and_finds_what_a_scan_finds():
+    leaf = Leaf(6, 0.75)
+    assert leaf.add("we could not load page one".split()) == leaf.add("we could not load page two".split()) == 0
+    assert leaf.templates[0][-1] == WILDCARD and leaf.add("they did not see page one".split()) == 1
+    rng = random.Random(3)
+    lines = [[rng.choice("abc") for _ in range(6)] for _ in range(400)]
+    leaf, scanned = Leaf(6, 0.75), []
+
+    def scan(tokens):
+        for i, template in enumerate(scanned):
+            if sum(a == b for a, b in zip(template, tokens)) >= 0.75 * 6:
+                scanned[i] = [a if a == b else WILDCARD for a, b in zip(template, tokens)]
+                return i
+        scanned.append(list(tokens))
+        return len(scanned) - 1
+
+    assert [leaf.add(x) for x in lines] == [scan(x) for x in lines] and leaf.templates == scanned
+
+
+def test_a_large_leaf_is_not_scanned():
+    leaf, began = Leaf(9, 0.75), time.time()
+    for i in range(30_000):
+        leaf.add(["the", "tool", *(str(hash((i, k)) % 99_991) for k in range(7))])
+    assert time.time() - began < 20
+
+
+@pytest.mark.parametrize("leaf", [7, 20_000])
+def test_verdicts_on_templates_reach_every_line(spark, leaf):
+    texts = [f"the tool reads file {i}" for i in range(50)] + ["odd line", None]
+    lines = spark.createDataFrame([(t,) for t in texts], "line string").select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line", F.lit(2).cast("long").alias("n"))
+    judge_of = lambda: ((lambda line: "odd" if line == "odd line" else None), (lambda template, uses: "file" if template == "the tool reads file <*>" and uses > 2 else None))
+    got = lines.join(judged_lines(lines, judge_of, leaf=leaf), ["k1", "k2"]).collect()
+    assert {r["line"]: r["kind"] for r in got} == {**{t: "file" for t in texts[:50]}, "odd line": "odd"}
+
+
+def test_patterns_need_their_literals():
+    assert literals(r"^(?:not found|gone)\b") == {"not found", "gone"} and literals(r"a?\d*") is None
+    patterns = Patterns(KINDS)
+    for line in (x for x in RESIDUE + MORE_RESIDUE + SOUND + MORE_SOUND):
+        low = line.lower()
+        assert patterns.first(low) == next((k for k, p in patterns.patterns if p.search(low)), None)
 
 
-@pytest.mark.parametrize("salts", [1, 16])
-def test_every_line_has_a_template(spark, salts):
-    lines = spark.createDataFrame([(f"the tool reads file {i}",) for i in range(50)] + [("odd line",), (None,)], "line string")
-    local, merged = mine_templates(lines, "line", salts=salts)
-    rows = local.join(merged, "local").collect()
-    assert len(rows) == 51 and {r["template"] for r in rows} == {"the tool reads file <*>", "odd line"}
+def test_classifier_without_lines():
+    assert Classifier([]).best("any text") == (None, 0.0)
 
 
 def test_judge_and_masks(spark):
     assert judge(None) is None and judge("We trim the axle.") is None and judge("Access denied.") == "error"
-    row = spark.createDataFrame([("Please turn on JavaScript, error 404 id 12ab3c", "a `x {{y}}` b")], "a string, b string").select(masked(__import__("pyspark.sql.functions", fromlist=["col"]).col("a")), prose(__import__("pyspark.sql.functions", fromlist=["col"]).col("b"))).first()
+    row = spark.createDataFrame([("Please turn on JavaScript, error 404 id 12ab3c", "a `x {{y}}` b")], "a string, b string").select(masked(F.col("a")), prose(F.col("b"))).first()
     assert row[0] == "Please <enable> <script>, error <num> id <num>" and row[1] == "a <code> b"
