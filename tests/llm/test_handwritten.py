@@ -56,3 +56,12 @@ def test_long_text_repeats_and_empty_table(spark):
     rows = [("a", long, "python", "a.py", None, None)] * 2
     assert kinds(spark, rows) == {"a": "handwritten"}
     assert kinds(spark, []) == {}
+
+
+def test_small_files_are_judged_too(spark):
+    rows = [
+        ("blob", 'x = "' + "QUJDREVG" * 12 + '"\n', "python"), ("same", "".join(f"o.set_{i}({i})\n" for i in range(8)), "python"), ("one", "x = 1\n", "python"), ("numbers", ", ".join(str(i * 37) for i in range(30)), "matlab"),
+        ("brackets", "[" + "[{}, [], ''], " * 40 + "]", "javascript"), ("least", "}", None), ("two", "int a1;\nint a2;\n", "cpp"),
+    ]
+    got = kinds(spark, [(k, t, language, "src/a", None, None) for k, t, language in rows])
+    assert got == {"blob": "data", "same": "generated", "one": "handwritten", "numbers": "data", "brackets": "minified", "least": "handwritten", "two": "handwritten"}
