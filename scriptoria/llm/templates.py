@@ -30,20 +30,25 @@ def leaf_path(line: Column, depth: int) -> Column:
 class Leaf:
     """The templates of lines of one length.
 
-    A line of n tokens that agrees with a template but for m tokens agrees with it throughout one of m + 1 blocks. Templates are
-    indexed by their blocks without a wildcard, so that a line meets few of them; the first that is similar enough is taken.
+    A line that agrees with a template but for m tokens agrees with it in one of any m + 1 places. Templates are listed by the token
+    of each place beyond the ``depth`` first ones, which all lines share, and a line meets those of the m + 1 places with the shortest
+    lists; the first that is similar enough is taken.
     """
 
-    def __init__(self, size: int, similarity: float) -> None:
+    def __init__(self, size: int, similarity: float, depth: int = 0) -> None:
         self.templates: list[list[str]] = []
-        self.size, self.least = size, similarity * size
-        blocks = min(size, int(size - self.least) + 1)
-        self.cuts = [(size * k // blocks, size * (k + 1) // blocks) for k in range(blocks)]
-        self.index: dict[tuple, list[int]] = {}
+        self.least = similarity * size
+        self.spare = int(size - self.least) + 1
+        self.places = range(min(depth, size), size)
+        self.lists: dict[tuple[int, str], list[int]] = {}
 
     def add(self, tokens: list[str]) -> int:
         """The number of the template that ``tokens`` joins; it may be widened by it."""
-        met = sorted({i for k, (a, b) in enumerate(self.cuts) for i in self.index.get((k, *tokens[a:b]), ())})
+        if len(self.places) < self.spare:
+            met = range(len(self.templates))
+        else:
+            short = sorted((self.lists.get((k, tokens[k]), []) for k in self.places), key=len)[: self.spare]
+            met = sorted(set().union(*short))
         for i in met:
             template = self.templates[i]
             if sum(map(str.__eq__, template, tokens)) >= self.least:
@@ -53,15 +58,15 @@ class Leaf:
                 return i
         self.templates.append(list(tokens))
         i = len(self.templates) - 1
-        for k, (a, b) in enumerate(self.cuts):
-            self.index.setdefault((k, *tokens[a:b]), []).append(i)
+        for k in self.places:
+            self.lists.setdefault((k, tokens[k]), []).append(i)
         return i
 
 
 Judge = Callable[[str, int], str | None]
 
 
-def _grow(judge_of: Callable[[], tuple[Callable[[str], str | None], Judge]], similarity: float):
+def _grow(judge_of: Callable[[], tuple[Callable[[str], str | None], Judge]], similarity: float, depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge_line, judge_template = judge_of()
         now, leaf, found, uses = None, None, [], []
@@ -78,7 +83,7 @@ def _grow(judge_of: Callable[[], tuple[Callable[[str], str | None], Judge]], sim
                     if leaf is not None:
                         rows += verdicts()
                     tokens = line.split(" ")
-                    now, leaf, found, uses = part, Leaf(len(tokens), similarity), [], []
+                    now, leaf, found, uses = part, Leaf(len(tokens), similarity, depth), [], []
                 i = leaf.add(line.split(" "))
                 if i == len(uses):
                     uses.append(0)
@@ -103,4 +108,4 @@ def judged_lines(lines: DataFrame, judge_of: Callable[[], tuple[Callable[[str],
     large = sizes.where("parts > 1")
     parted = salted_join(paths, large, ["path"], "left").withColumn("part", F.concat_ws(" ", F.pmod("k1", F.coalesce("parts", F.lit(1))).cast("string"), "path"))
     spread = parted.select("part", "k1", "k2", "line", "n").repartition(parallelism(lines.sparkSession), "part").sortWithinPartitions("part", "line")
-    return spread.mapInPandas(_grow(judge_of, similarity), "k1 long, k2 long, kind string")
+    return spread.mapInPandas(_grow(judge_of, similarity, depth), "k1 long, k2 long, kind string")
