@@ -24,8 +24,8 @@ class Layout:
     literals: float = 0.3  # numeric literals of all words and literals, at least: tables
     alike: float = 0.4  # of the lines that differ once numbers are masked, at most: generated code
     blank: float = 0.105  # of white space, at most: minified code
-    sparse: float = 0.6  # of letters and digits among what is not blank, at most: data in brackets and quotes
-    dense: float = 0.95  # of letters and digits among what is not blank, at least: encoded data
+    sparse: float = 0.6  # of alphanumeric characters, those of words and numbers, among what is not blank, at most: data in brackets and quotes
+    dense: float = 0.95  # of the same, at least, with few blanks: encoded data
     long_line: int = 600  # code line of a minified file or of data, at least
     mean_line: float = 110.0  # characters a line, at least: minified code
 
@@ -78,24 +78,26 @@ def layout(files: DataFrame, source: str = "__s") -> DataFrame:
             "lines": F.size(lines),
             "max_line": F.array_max(F.transform(lines, F.length)),
             "digits": F.length(t) - F.length(masked),
-            "letters": F.length(t) - F.length(F.regexp_replace(t, "[0-9A-Za-z]+", "")),
-            "literals": F.regexp_count(t, F.lit("(^|[^0-9A-Za-z_.])[0-9]")),
-            "words": F.regexp_count(t, F.lit("(^|[^0-9A-Za-z_])[A-Za-z_]")),
+            "__bare": F.regexp_replace(t, "[A-Za-z_][0-9A-Za-z_.]*", "\u0001"),
             "blanks": F.length(t) - F.length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\t"), F.lit(""))) + F.size(lines) - 1,
             "__filled": F.filter(F.split(masked, "\n"), lambda x: x != ""),
             "head": F.split(F.lower(F.when(head > 0, F.substring(t, F.lit(1), head - 1)).otherwise(t)), "\n"),
         }
     )
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    # words leave a mark each, then numbers outside of words
+    step = step.withColumns({"words": count("__bare", "\u0001"), "__signs": F.regexp_replace("__bare", "[0-9][0-9.]*", "\u0002"), "__wide": F.array_join(F.filter(lines, lambda x: F.length(x) >= RUN), "\n")})
+    step = step.withColumns({"literals": count("__signs", "\u0002")}).withColumn("letters", F.length(t) - F.length("__signs") + F.col("words") + F.col("literals"))
     longest = F.element_at(F.filter(lines, lambda x: F.length(x) == F.col("max_line")), 1)
     step = step.withColumns(
         {
             "filled": F.size("__filled"),
             "kinds": F.size(F.array_distinct("__filled")),
             "longest": F.when((F.col("max_line") >= 180) | (F.col("digits") >= 0.03 * F.col("chars")), longest),
-            "encoded": F.when(F.col("max_line") >= RUN, F.aggregate(F.regexp_extract_all(t, F.lit(f"[A-Za-z0-9+/=]{{{RUN},}}"), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))).otherwise(0),
+            "encoded": F.when(F.col("max_line") >= RUN, F.aggregate(F.regexp_extract_all("__wide", F.lit(f"[A-Za-z0-9+/=]{{{RUN},}}"), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))).otherwise(0),
         }
     )
-    return step.drop("__t", "__lines", "__masked", "__head", "__filled")
+    return step.drop("__t", "__lines", "__masked", "__head", "__filled", "__bare", "__signs", "__wide")
 
 
 def _threshold(language: Column, name: str) -> Column:
@@ -131,7 +133,7 @@ def classify(modules: DataFrame, id_col: str = "module_id", source_col: str = "s
     )
     says = lambda what, unless: F.exists("head", lambda x: x.rlike(what) & ~x.rlike(unless))
     code_line = (F.col("max_line") >= at("long_line")) & ~F.col("longest").rlike(r"^\s*(?://|#|%|/?\*)")
-    data = (F.col("encoded") >= ENCODED * F.col("chars")) & (F.col("encoded") > 0) | (F.col("letter_share") >= at("dense"))
+    data = (F.col("encoded") >= ENCODED * F.col("chars")) & (F.col("encoded") > 0) | (F.col("letter_share") >= at("dense")) & (F.col("blank_share") < 0.14)
     table_like = (F.col("literal_share") >= at("literals")) | (F.col("digit_share") >= at("digits")) | (F.greatest("digit_share", "all_digits") >= 0.2) | (F.col("letter_share") <= at("sparse"))
     minified = (F.col("blank_share") <= at("blank")) & (F.col("mean_line") >= 40) | code_line | (F.col("mean_line") >= at("mean_line")) & (F.col("blank_share") < 0.14)
     kind = (
@@ -188,16 +190,17 @@ def sql(select: str) -> str:
 a AS (SELECT module_id, lower(language) AS l, relpath AS p, replace(source, chr(13), '') AS t FROM modules WHERE regexp_matches(source, '[^ \\r\\n\\t]')),
 b AS (SELECT *, string_split(t, chr(10)) AS lines, regexp_replace(t, '[0-9]+', '', 'g') AS masked FROM a),
 c AS (SELECT *, list_filter(string_split(masked, chr(10)), lambda x: x <> '') AS filled, list_max(list_transform(lines, lambda x: length(x))) AS max_line,
-  length(t) - length(replace(replace(t, ' ', ''), chr(9), '')) + len(lines) - 1 AS blanks, length(t) AS chars, length(t) - length(masked) AS digits, length(t) - length(regexp_replace(t, '[0-9A-Za-z]+', '', 'g')) AS letters,
-  len(regexp_extract_all(t, '(^|[^0-9A-Za-z_.])[0-9]')) AS literals, len(regexp_extract_all(t, '(^|[^0-9A-Za-z_])[A-Za-z_]')) AS words,
-  list_sum(list_transform(regexp_extract_all(t, '[A-Za-z0-9+/=]{{60,}}'), lambda x: length(x))) AS encoded, coalesce(list_position(list_transform(lines, lambda x: NOT {comment}), true), 0) AS code FROM b),
-d AS (SELECT *, list_transform(CASE WHEN code > 0 THEN lines[1:code-1] ELSE lines END, lambda x: lower(x)) AS head, CASE WHEN max_line >= 180 OR digits >= 0.03 * chars THEN list_filter(lines, lambda x: length(x) = max_line)[1] END AS longest FROM c),
+  length(t) - length(replace(replace(t, ' ', ''), chr(9), '')) + len(lines) - 1 AS blanks, length(t) AS chars, length(t) - length(masked) AS digits,
+  regexp_replace(t, '[A-Za-z_][0-9A-Za-z_.]*', chr(1), 'g') AS bare, list_sum(list_transform(regexp_extract_all(t, '[A-Za-z0-9+/=]{{60,}}'), lambda x: length(x))) AS encoded, coalesce(list_position(list_transform(lines, lambda x: NOT {comment}), true), 0) AS code FROM b),
+d AS (SELECT *, list_transform(CASE WHEN code > 0 THEN lines[1:code-1] ELSE lines END, lambda x: lower(x)) AS head, CASE WHEN max_line >= 180 OR digits >= 0.03 * chars THEN list_filter(lines, lambda x: length(x) = max_line)[1] END AS longest,
+  length(bare) - length(replace(bare, chr(1), '')) AS words, regexp_replace(bare, '[0-9][0-9.]*', chr(2), 'g') AS signs FROM c),
+n AS (SELECT *, length(signs) - length(replace(signs, chr(2), '')) AS literals, length(t) - length(signs) + words + length(signs) - length(replace(signs, chr(2), '')) AS letters FROM d),
 e AS (SELECT *, chars / len(lines) AS mean_line, (blanks + 25) / (chars + 100) AS blank_share, (letters + 80) / (chars - blanks + 100) AS letter_share, literals / (literals + words + 10) AS literal_share, (digits + 2) / (chars + 100) AS all_digits,
   (len(list_distinct(filled)) + 1) / (len(filled) + 1) AS alike,
-  (digits - coalesce(length(longest) - length(regexp_replace(longest, '[0-9]+', '', 'g')), 0) + 2) / (CASE WHEN longest IS NULL THEN chars ELSE chars - max_line END + 100) AS digit_share FROM d),
+  (digits - coalesce(length(longest) - length(regexp_replace(longest, '[0-9]+', '', 'g')), 0) + 2) / (CASE WHEN longest IS NULL THEN chars ELSE chars - max_line END + 100) AS digit_share FROM n),
 g AS (SELECT e.*, coalesce(digits_at, 0.055) AS digits_at, coalesce(literals_at, 0.3) AS literals_at, coalesce(blank_at, 0.105) AS blank_at, coalesce(sparse_at, 0.6) AS sparse_at, coalesce(dense_at, 0.95) AS dense_at, coalesce(long_at, 600) AS long_at FROM e LEFT JOIN h USING (l)),
 f AS (SELECT *, (blank_share <= blank_at AND mean_line >= 40) OR (max_line >= long_at AND NOT coalesce(regexp_matches(longest, '^\\s*(//|#|%|/?\\*)'), false)) OR (mean_line >= 110 AND blank_share < 0.14) AS minified FROM g),
-judged AS (SELECT module_id, CASE WHEN coalesce(encoded, 0) > 0 AND encoded >= 0.2 * chars OR letter_share >= dense_at THEN 'data' WHEN minified AND all_digits < 0.12 THEN 'minified' WHEN minified THEN 'data' WHEN alike <= 0.4 THEN 'generated'
+judged AS (SELECT module_id, CASE WHEN coalesce(encoded, 0) > 0 AND encoded >= 0.2 * chars OR (letter_share >= dense_at AND blank_share < 0.14) THEN 'data' WHEN minified AND all_digits < 0.12 THEN 'minified' WHEN minified THEN 'data' WHEN alike <= 0.4 THEN 'generated'
   WHEN literal_share >= literals_at OR digit_share >= digits_at OR greatest(digit_share, all_digits) >= 0.2 OR letter_share <= sparse_at THEN 'data'
   WHEN {says(VENDORED, OWN)} THEN 'vendored' WHEN {says(GENERATED, KEPT_BY_HAND)} THEN 'generated' WHEN coalesce(regexp_matches(p, {quoted(FOLDER)}), false) THEN 'vendored'
   WHEN coalesce(regexp_matches(p, {quoted(MINIFIED_NAME)}), false) AND blank_share < 0.15 THEN 'minified' ELSE 'handwritten' END AS kind FROM f)
