@@ -43,9 +43,9 @@ def strip_fim(c: Column) -> Column:
 
 
 def content_key(prefix: Column | str, content: Column) -> Column:
-    """``prefix:sha256``; a null content has a key of its own, distinct from that of an empty one."""
+    """``prefix:sha256``; a null content has the key ``prefix:null``, which no text has."""
     head = F.lit(prefix) if isinstance(prefix, str) else prefix
-    return F.concat_ws(":", head, F.sha2(F.coalesce(content, F.lit("<None>")), 256))
+    return F.concat_ws(":", head, F.coalesce(F.sha2(content, 256), F.lit("null")))
 
 
 def placeholders(c: Column) -> Column:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 CACHE = "key string, value string, stored_at timestamp"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``, in whatever file system."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def open_cache(spark: SparkSession, path: str | None) -> DataFrame:
-    """The cache at ``path``; an absent or unreadable one is empty."""
-    if path:
-        try:
-            return spark.read.schema(CACHE).parquet(path)
-        except Exception:  # noqa: BLE001  a missing folder has no narrower type here
-            pass
+    """The cache at ``path``; an absent one is empty, and corrupt files in it are skipped. Other failures to read are raised."""
+    if path and exists(spark, path):
+        return spark.read.schema(CACHE).option("ignoreCorruptFiles", "true").parquet(path)
     return spark.createDataFrame([], CACHE)
 
 

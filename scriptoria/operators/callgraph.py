@@ -17,7 +17,7 @@ def callables(symbols: DataFrame, scope: str = "module_id") -> DataFrame:
     s = symbols.where(F.col("kind").isin("function", "method") & F.col(scope).isNotNull() & (F.coalesce("name", F.lit("")) != ""))
     rows = s.select(scope, F.coalesce("qualname", "name").alias("qualname"), "name", "signature", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"), F.coalesce("ord", F.lit(0)).alias("ord"))
     value = F.struct("name", "signature", "calls")
-    return rows.groupBy(scope, "qualname").agg(F.max_by(value, F.struct("ord", F.sha2(F.to_json(value), 256))).alias("v"), F.min("ord").alias("ord")).select(scope, "qualname", "v.*", "ord")
+    return rows.groupBy(scope, "qualname").agg(F.max_by(value, F.struct("ord", F.xxhash64("name", "signature", "calls"))).alias("v"), F.min("ord").alias("ord")).select(scope, "qualname", "v.*", "ord")
 
 
 def resolve_calls(defs: DataFrame, scope: str = "module_id") -> DataFrame:

@@ -49,7 +49,9 @@ def map_evidence(docs: DataFrame, id_col: str, path_col: str, text_col: str, top
     parts = F.split(F.lower(F.coalesce(path_col, F.lit(""))), "/")
     inside = F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skip]))
     first = (F.lower(file_name(F.col(path_col))) == "readme.md") | F.array_contains(parts, "docs")
-    rows = widen(docs.select(id_col, path_col, text_col)).select(id_col, path_col, inside.alias("__in"), F.coalesce(first, F.lit(False)).alias("__first"), split_lines(F.col(text_col)).alias("__lines"))
+    # texts without any keyword go before they are cut into lines
+    told = docs.select(id_col, path_col, text_col).where(F.lower(text_col).rlike(any_keyword(sections)))
+    rows = widen(told).select(id_col, path_col, inside.alias("__in"), F.coalesce(first, F.lit(False)).alias("__first"), split_lines(F.col(text_col)).alias("__lines"))
     # hits are found by their index within the row, so that no row carries the lines of its text
     is_hit = lambda i: F.lower(F.element_at("__lines", i)).rlike(any_keyword(sections))
     rows = rows.select("*", F.filter(F.when(F.size("__lines") > 0, F.sequence(F.lit(1), F.size("__lines"))), is_hit).alias("__at"))

@@ -10,9 +10,10 @@ from scriptoria.functions.vocabulary import BAD_META, BAD_PARTS, BAD_STARTS, SEC
 from scriptoria.operators import chunking as C
 from scriptoria.operators import evidence as E
 from scriptoria.operators import lint as L
-from scriptoria.operators.cache import misses
+from scriptoria.operators.cache import misses, resume
 from scriptoria.operators.outline import first_of_each, listed
 from scriptoria.runtime import first_delivery, table
+from scriptoria.sinks.pages import replace_sidebar
 
 BLANK = T.BLANK
 LINES = r"(\x0d\x0a|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}])"
@@ -99,8 +100,7 @@ def sanitized_summaries(spark, sf):
 
 
 def section_evidence(spark, sf):
-    docs = table(spark, sf, "documents").where("path is not null")
-    found = E.map_evidence(docs, "doc_id", "path", "text")
+    found = E.map_evidence(table(spark, sf, "documents"), "doc_id", "path", "text")
     return found.select("section", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("line_no").cast("long").alias("line_no"), "snippet")
 
 
@@ -162,9 +162,21 @@ def fallback_manuals(spark, sf):
 PHRASES, TERMS = ["you should", "there is one", "the option"], ["kettle", "beacon", "ledger"]
 
 
+#: Pages of six forms, told by the remainder of their id: with and without the marks of generated pages, with true, false and late claims.
+PAGES = [
+    "<h2>Class: {title}</h2>\n<p>{body}</p>\n<p>No <b>classes</b> here</p>",
+    "<h3>Method: {title}</h3>\n<p>No <b>methods</b> here</p>\n<p>{body}</p>",
+    "<!-- Generated by scriptoria -->\n<h3>{title}</h3>\n<h3>more</h3>\n<p>No functions</p>\n<p>{body}</p>",
+    "<h2>{title}</h2>\n<p>{body}</p>\n<p>No classes, no methods and no functions here</p>",
+    "<h1>Project Documentation</h1>\n<h2>Class: {title}</h2>\n<p>{body}</p>\n<p>x</p>\n<p>No classes here</p>",
+    "<p>{body}</p>",
+]
+
+
 def _pages(spark, sf):
     s = first_delivery(table(spark, sf, "manual_sections"), "section_id")
-    html = F.concat(F.lit("<h2>Class: "), F.coalesce("title", F.lit("")), F.lit("</h2>\n<p>"), F.coalesce("body", F.lit("")), F.lit("</p>\n<p>No <b>classes</b> here</p>"))
+    form = F.element_at(F.array(*[F.lit(p) for p in PAGES]), (F.pmod("section_id", F.lit(len(PAGES))) + 1).cast("int"))
+    html = F.replace(F.replace(form, F.lit("{title}"), F.coalesce("title", F.lit(""))), F.lit("{body}"), F.coalesce("body", F.lit("")))
     return s.select("section_id", html.alias("html"))
 
 
@@ -189,8 +201,51 @@ def rewritten_pages(spark, sf):
     return _pages(spark, sf).select("section_id", L.rewritten(F.col("html")).alias("html"))
 
 
-_PAGES = "SELECT section_id, '<h2>Class: ' || coalesce(title, '') || '</h2>' || chr(10) || '<p>' || coalesce(body, '') || '</p>' || chr(10) || '<p>No <b>classes</b> here</p>' AS html FROM (SELECT DISTINCT section_id, title, body FROM manual_sections)"
-_EDGE = r"[\p{L}\p{M}\p{N}_]"
+_PAGES = """SELECT section_id, replace(replace(CASE section_id % 6 WHEN 0 THEN '<h2>Class: {title}</h2>~<p>{body}</p>~<p>No <b>classes</b> here</p>' WHEN 1 THEN '<h3>Method: {title}</h3>~<p>No <b>methods</b> here</p>~<p>{body}</p>'
+  WHEN 2 THEN '<!-- Generated by scriptoria -->~<h3>{title}</h3>~<h3>more</h3>~<p>No functions</p>~<p>{body}</p>' WHEN 3 THEN '<h2>{title}</h2>~<p>{body}</p>~<p>No classes, no methods and no functions here</p>'
+  WHEN 4 THEN '<h1>Project Documentation</h1>~<h2>Class: {title}</h2>~<p>{body}</p>~<p>x</p>~<p>No classes here</p>' ELSE '<p>{body}</p>' END, '{title}', coalesce(title, '')), '{body}', coalesce(body, '')) AS html FROM (SELECT DISTINCT section_id, title, body FROM manual_sections)"""
+_PAGES = _PAGES.replace("~", "' || chr(10) || '")
+_CLAIMS = f"""p AS (SELECT section_id, html, lower(array_to_string(list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: regexp_replace(x, '<[^>]+>', '', 'g'))[1:2], ' ')) AS lead,
+  list_transform(regexp_extract_all(html, '(?is)<h3[^>]*>(.*?)</h3>', 1), lambda x: starts_with({_strip('x')}, 'Method:')) AS h3, list_transform(regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1), lambda x: starts_with({_strip('x')}, 'Class:')) AS h2 FROM h),
+k AS (SELECT section_id, 'methods' AS what, contains(lead, 'no methods') AS said, len(list_filter(h3, lambda x: x)) AS found FROM p UNION ALL SELECT section_id, 'functions', contains(lead, 'no functions'), len(list_filter(h3, lambda x: NOT x)) FROM p
+  UNION ALL SELECT section_id, 'classes', contains(lead, 'no classes'), len(list_filter(h2, lambda x: x)) FROM p),
+c AS (SELECT section_id, what, CAST(found AS BIGINT) AS found FROM k WHERE said AND found > 0)"""
+def generated_pages(spark, sf):
+    return _pages(spark, sf).select("section_id", L.is_generated(F.col("html")).alias("generated"))
+
+
+def replaced_sidebars(spark, sf):
+    """Pages whose sidebar holds blocks of its own get another one."""
+    s = first_delivery(table(spark, sf, "manual_sections"), "section_id")
+    html = F.concat(F.lit('<div class="sidebar" id="s"><div><div>old</div></div><p>old</p></div><main>'), F.coalesce("body", F.lit("")), F.lit("</main>"))
+    return s.select("section_id", replace_sidebar(html, F.replace("title", F.lit("$"), F.lit(""))).alias("html"))
+
+
+def cli_builders(spark, sf):
+    m = first_delivery(table(spark, sf, "modules").select("module_id", "source", "ingested_at"), "module_id")
+    return m.select("module_id", F.array_join(T.cli_lines(F.col("source")), "\n").alias("code"), F.size(T.cli_lines(F.col("source"))).alias("n")).where("n > 0").drop("n")
+
+
+def main_blocks(spark, sf):
+    m = first_delivery(table(spark, sf, "modules").select("module_id", "source", "ingested_at"), "module_id")
+    return m.select("module_id", T.main_block(F.col("source")).alias("block")).where("block <> ''")
+
+
+def project_progress(spark, sf):
+    m = first_delivery(table(spark, sf, "modules").select("module_id", "project", "source", "ingested_at"), "module_id")
+    return m.groupBy("project").agg(T.percent(F.count("source"), F.count("*")).alias("percent"))
+
+
+def open_files(spark, sf):
+    """Files that have not been read yet, as a resumed run finds them."""
+    m = table(spark, sf, "modules").where("relpath is not null")
+    return resume(m.select("relpath").distinct(), m.where("source is not null").select("relpath"), "relpath")[0]
+
+
+def folder_documents(spark, sf):
+    parents = F.array(*[F.lit(p) for p in ("docs", "src", "README.md")])
+    d = table(spark, sf, "documents").select("path", F.explode(parents).alias("parent"))
+    return d.where(T.is_under(F.col("path"), F.col("parent"))).groupBy("parent").agg(F.count("*").alias("documents"))
 
 
 def _section_case(line: str) -> str:
@@ -243,13 +298,20 @@ QUERIES = {
     "page_contradictions": page_contradictions,
     "page_review": page_review,
     "rewritten_pages": rewritten_pages,
+    "generated_pages": generated_pages,
+    "replaced_sidebars": replaced_sidebars,
+    "cli_builders": cli_builders,
+    "main_blocks": main_blocks,
+    "project_progress": project_progress,
+    "open_files": open_files,
+    "folder_documents": folder_documents,
 }
 
 SQL = {
     "document_tokens": f"SELECT doc_id, CAST(coalesce(len(list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda w: w <> '')), 0) AS BIGINT) AS tokens FROM documents",
-    "document_keys": "SELECT doc_id, 'doc:' || sha256(coalesce(text, '<None>')) AS key FROM documents",
+    "document_keys": "SELECT doc_id, 'doc:' || coalesce(sha256(text), 'null') AS key FROM documents",
     "repeated_texts": "SELECT sha256(text) AS key, min(doc_id) AS doc_id, arg_min(coalesce(source, '<null>'), doc_id) AS source, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1".replace("arg_min(coalesce(source, '<null>'), doc_id)", "nullif(arg_min(coalesce(source, '<null>'), doc_id), '<null>')"),
-    "cache_misses": "WITH k AS (SELECT source, 'doc:' || sha256(coalesce(text, '<None>')) AS key FROM documents) SELECT DISTINCT key FROM k WHERE source IS DISTINCT FROM 'readme' AND key NOT IN (SELECT key FROM k WHERE source = 'readme')",
+    "cache_misses": "WITH k AS (SELECT source, 'doc:' || coalesce(sha256(text), 'null') AS key FROM documents) SELECT DISTINCT key FROM k WHERE source IS DISTINCT FROM 'readme' AND key NOT IN (SELECT key FROM k WHERE source = 'readme')",
     "slugs": "WITH s AS (SELECT DISTINCT section_id, regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g') AS t FROM manual_sections) SELECT section_id, CASE WHEN trim(t) = '' THEN 'user_manual' ELSE replace(trim(t), ' ', '_') END AS slug, CASE WHEN trim(t) = '' THEN 'section' ELSE replace(trim(t), ' ', '-') END AS anchor FROM s",
     "section_paragraphs_html": f"WITH s AS (SELECT DISTINCT section_id, replace(replace(replace(replace(replace(coalesce(body, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS b FROM manual_sections) SELECT section_id, coalesce(array_to_string(list_transform(list_filter(list_transform(string_split(b, chr(10) || chr(10)), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: '<p>' || replace(p, chr(10), '<br/>') || '</p>'), chr(10)), '') AS html FROM s",
     "section_placeholders": f"""WITH s AS (SELECT DISTINCT section_id, coalesce(body, '') AS body FROM manual_sections),
@@ -279,10 +341,10 @@ y AS (SELECT symbol_id, shim, n, {_strip('line')} AS s FROM x),
 k AS (SELECT symbol_id, string_agg(s, chr(10) ORDER BY n) AS t FROM y WHERE {_DROP} GROUP BY symbol_id)
 SELECT s.symbol_id, CASE WHEN s.shim THEN 'It prints.' ELSE coalesce({_strip('k.t')}, '') END AS summary FROM s LEFT JOIN k USING (symbol_id)""",
     "section_evidence": _HITS
-    + f""", w AS (SELECT *, CASE WHEN inside THEN [] ELSE l[n+1:n+20] END AS after FROM found WHERE path IS NOT NULL),
+    + f""", w AS (SELECT *, CASE WHEN inside THEN [] ELSE l[n+1:n+20] END AS after FROM found),
 v AS (SELECT *, list_position(list_transform(after, lambda y: {_strip('y')} = '' OR regexp_matches(y, '^\\s*(#|<h[1-6])')), true) AS stop FROM w),
 u AS (SELECT *, list_transform(CASE WHEN stop > 0 THEN after[1:stop-1] ELSE after END, lambda y: {_strip('y')}) AS taken FROM v),
-s AS (SELECT section, doc_id, n AS line_no, {_strip('l[n]')} || CASE WHEN len(taken) > 0 THEN chr(10) || array_to_string(taken, ' ') ELSE '' END AS snippet, CASE WHEN section = 'Overview' AND (parts[-1] = 'readme.md' OR list_contains(parts, 'docs')) THEN 0 ELSE 1 END AS prio FROM u),
+s AS (SELECT section, doc_id, n AS line_no, {_strip('l[n]')} || CASE WHEN len(taken) > 0 THEN chr(10) || array_to_string(taken, ' ') ELSE '' END AS snippet, CASE WHEN section = 'Overview' AND coalesce(parts[-1] = 'readme.md' OR list_contains(parts, 'docs'), false) THEN 0 ELSE 1 END AS prio FROM u),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY prio, length(snippet) DESC, doc_id, line_no) AS rank FROM s)
 SELECT section, rank, doc_id, line_no, snippet FROM r WHERE rank <= 10""",
     "section_hits": _HITS + "SELECT section, count(*) AS snippets, count(DISTINCT doc_id) AS documents FROM found GROUP BY section",
@@ -310,21 +372,26 @@ SELECT section_id, pos, phrase, detail, CAST(CASE WHEN coalesce(n, 0) > 0 THEN n
     "page_terms": f"""WITH h AS ({_PAGES}), p AS (SELECT section_id, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1) AS t FROM h),
 x AS (SELECT section_id, lower(regexp_replace(unnest(t), '<[^>]+>', '', 'g')) AS t, unnest(range(0, len(t))) AS pos FROM p)
 SELECT section_id, pos, term FROM x, (VALUES {', '.join(f'({quoted(w)})' for w in TERMS)}) AS v(term) WHERE contains(t, term)""",
-    "page_contradictions": f"""WITH h AS ({_PAGES}), p AS (SELECT section_id, html, list_transform(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: lower(regexp_replace(x, '<[^>]+>', '', 'g')))[1:2] AS t FROM h),
-c AS (SELECT section_id, array_to_string(t, ' ') AS lead, CAST(len(list_filter(regexp_extract_all(html, '(?is)<h2[^>]*>(.*?)</h2>', 1), lambda x: starts_with(trim(x), 'Class:'))) AS BIGINT) AS found FROM p)
-SELECT section_id, 'classes' AS what, found FROM c WHERE contains(lead, 'no classes') AND found > 0""",
+    "page_contradictions": f"WITH h AS ({_PAGES}), {_CLAIMS} SELECT section_id, what, found FROM c",
     "inferred_sections": """WITH s AS (SELECT DISTINCT section_id, manual_id, regexp_replace(lower(trim(title)), '\\s*:$', '') AS t, body FROM manual_sections),
 n AS (SELECT manual_id, CASE t WHEN 'overview' THEN 'Overview' WHEN 'how to run' THEN 'How To Run' WHEN 'inputs' THEN 'Inputs' WHEN 'outputs' THEN 'Outputs' WHEN 'examples' THEN 'Examples' END AS title, max(body) AS body FROM s GROUP BY 1, 2 HAVING title IS NOT NULL),
 h AS (SELECT manual_id, title FROM n WHERE regexp_matches(body, '[^\\s\\x{a0}]')),
 w AS (SELECT manual_id, title FROM (SELECT DISTINCT manual_id FROM n), (VALUES ('Overview'), ('How To Run'), ('Inputs'), ('Outputs'), ('Examples')) AS v(title))
 SELECT title, false AS inferred, count(*) AS sections FROM h GROUP BY title UNION ALL SELECT title, true, count(*) FROM (SELECT * FROM w EXCEPT SELECT * FROM h) GROUP BY title""",
     "fallback_manuals": f"WITH d AS (SELECT {_strip("coalesce(text, '')")} = '' AS e FROM documents) SELECT title, count(*) FILTER (e) AS empty, count(*) AS sections FROM d, (VALUES {', '.join(f'({quoted(n)})' for n, _, _ in SECTIONS)}) AS v(title) GROUP BY title",
-    "page_review": f"""WITH h AS ({_PAGES}), p AS (SELECT section_id, html, regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1) AS t FROM h),
-x AS (SELECT section_id, lower(regexp_replace(unnest(t), '<[^>]+>', '', 'g')) AS t FROM p),
+    "page_review": f"""WITH a AS ({_PAGES}), h AS (SELECT * FROM a WHERE contains(html, 'Generated by scriptoria') OR contains(html, '<h1>Project Documentation</h1>') OR regexp_matches(html, '<h2[^>]*>Class:|<h3[^>]*>Method:')), {_CLAIMS},
+x AS (SELECT section_id, lower(regexp_replace(unnest(regexp_extract_all(html, '(?is)<p[^>]*>(.*?)</p>', 1)), '<[^>]+>', '', 'g')) AS t FROM h),
 f AS (SELECT 'ASSISTANT' AS kind, section_id FROM x WHERE {' OR '.join(f'contains(t, {quoted(w)})' for w in PHRASES)}
  UNION ALL SELECT 'HALLUCINATION', section_id FROM x, (VALUES {', '.join(f'({quoted(w)})' for w in TERMS)}) AS v(term) WHERE contains(t, term)
- UNION ALL SELECT 'CONTRADICTION', section_id FROM p WHERE contains(lower(regexp_replace(array_to_string(t[1:2], ' '), '<[^>]+>', '', 'g')), 'no classes'))
+ UNION ALL SELECT 'CONTRADICTION', section_id FROM c)
 SELECT kind, count(*) AS findings, count(DISTINCT section_id) AS pages FROM f GROUP BY kind""",
+    "generated_pages": f"WITH a AS ({_PAGES}) SELECT section_id, contains(html, 'Generated by scriptoria') OR contains(html, '<h1>Project Documentation</h1>') OR regexp_matches(html, '<h2[^>]*>Class:|<h3[^>]*>Method:') AS generated FROM a",
+    "replaced_sidebars": """SELECT DISTINCT section_id, '<div class="sidebar" id="s">' || replace(coalesce(title, ''), '$', '') || '</div><main>' || coalesce(body, '') || '</main>' AS html FROM manual_sections""",
+    "cli_builders": f"""WITH m AS (SELECT DISTINCT module_id, {_split("coalesce(source, '')")} AS l FROM modules), x AS (SELECT module_id, list_filter({_SQL_LINES}, lambda s: contains(s, 'ArgumentParser') OR contains(s, 'add_argument')) AS l FROM m) SELECT module_id, array_to_string(l, chr(10)) AS code FROM x WHERE len(l) > 0""",
+    "main_blocks": "SELECT DISTINCT module_id, regexp_extract(source, '(?s)if __name__ == [''\"]__main__[''\"]:.*') AS block FROM modules WHERE regexp_matches(source, 'if __name__ == [''\"]__main__[''\"]:')",
+    "project_progress": "WITH m AS (SELECT DISTINCT module_id, project, source IS NOT NULL AS done FROM modules) SELECT project, CASE WHEN count(*) = 0 THEN 100 ELSE CAST(floor(count(*) FILTER (done) * 100 / count(*)) AS INTEGER) END AS percent FROM m GROUP BY project",
+    "open_files": "SELECT DISTINCT relpath FROM modules WHERE relpath IS NOT NULL AND relpath NOT IN (SELECT relpath FROM modules WHERE source IS NOT NULL AND relpath IS NOT NULL)",
+    "folder_documents": "SELECT v.parent, count(*) AS documents FROM documents, (VALUES ('docs'), ('src'), ('README.md')) AS v(parent) WHERE path = v.parent OR starts_with(path, v.parent || '/') GROUP BY v.parent",
 }
 
 #: Packing is a fold: a recursive query walks the blocks of all documents side by side.

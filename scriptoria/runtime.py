@@ -2,11 +2,12 @@
 
 Nothing here holds data. The only state is the checkpoint folder, which is read
 from ``spark.checkpoint.dir``; a temporary folder is used solely when that setting
-is absent, as in tests.
+is absent and the session runs in one process, as in tests.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back.
 
-    Executors can be lost: unlike a local checkpoint the files survive that.
+    Executors can be lost: unlike a local checkpoint the files survive that. Without ``spark.checkpoint.dir`` a session
+    of more than one process is refused, since its executors share no temporary folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptoria-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptoria-"))
     return df.checkpoint(eager)
 
 

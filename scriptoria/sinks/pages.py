@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from html import escape
 
@@ -165,9 +166,31 @@ def clean_folder(folder: str, marker: str = MARKER) -> list[str]:
     return gone
 
 
+_SIDEBAR = re.compile(r'<div\b[^>]*class="[^"]*\bsidebar\b[^"]*"[^>]*>', re.I)
+_DIV = re.compile(r"<(/?)div\b[^>]*>", re.I)
+
+
+def with_sidebar(html: str, navigation: str) -> str:
+    """A page with what stands between its first sidebar and the tag that closes it replaced; a sidebar that is never closed stays."""
+    m = _SIDEBAR.search(html)
+    if not m:
+        return html
+    depth = 1
+    for tag in _DIV.finditer(html, m.end()):
+        depth += -1 if tag[1] else 1
+        if not depth:
+            return html[: m.end()] + navigation + html[tag.start() :]
+    return html
+
+
 def replace_sidebar(html: Column, navigation: Column) -> Column:
-    """A page with the content of its sidebar replaced; pages without one stay as they are."""
-    return F.regexp_replace(html, F.lit(r'(?s)(<div[^>]*class="[^"]*\bsidebar\b[^"]*"[^>]*>).*?(</div>)'), F.concat(F.lit("$1"), F.regexp_replace(navigation, r"([\\$])", r"\\$1"), F.lit("$2")))
+    """``with_sidebar`` as a column; a null page stays null, a null navigation is empty."""
+
+    @F.pandas_udf(StringType())
+    def run(pages: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else with_sidebar(h, n or "") for h, n in zip(pages, links)], dtype=object)
+
+    return run(html, navigation)
 
 
 def insert_link(html: Column, href: str, label: str, first: bool = False) -> Column:
