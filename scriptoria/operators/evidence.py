@@ -13,6 +13,8 @@ from scriptoria.functions.vocabulary import EVIDENCE_SKIP, RANKING_SKIP, RANKING
 from scriptoria.runtime import salted_join, widen
 
 Sections = list[tuple[str, str, list[str]]]
+#: Parts that the paths of one key are spread over.
+SALTS = 16
 _EDGE = r"[\p{L}\p{M}\p{N}_]"
 
 
@@ -171,10 +173,9 @@ def annotate_missing(texts: DataFrame, id_col: str, text_col: str, missing: Data
 def rank_files(files: DataFrame, path_col: str, patterns: DataFrame | None = None, pattern_col: str = "pattern", top: int | None = 12, suffixes: list[str] = RANKING_SUFFIXES, words: list[str] = RANKING_WORDS, skip: list[str] = RANKING_SKIP) -> DataFrame:
     """``(path, score)``: code files by score, then path: 2 for a telling name, 1 for each distinct reference.
 
-    References are matched by containment in the path. They are compared through an index of the path's own suffix
-    parts: a reference with slashes or a file name lies in a path at a part boundary or within its last part, so
-    both sides are keyed by the last part of the reference; what is left is checked on the joined rows. References
-    of one part are looked up in every part that contains them. ``top`` None keeps all files.
+    References are matched by containment in the path. Each reference is keyed by that of its trigrams which the fewest paths hold, a
+    shorter one by itself, and each path by all its runs of up to three characters: no pair is lost, and what meets is checked. Keys that
+    many paths share are salted. ``top`` None keeps all files.
     """
     path = F.col(path_col)
     low, parts = F.lower(path), F.split(F.lower(path), "/")
@@ -189,11 +190,15 @@ def rank_files(files: DataFrame, path_col: str, patterns: DataFrame | None = Non
         scored = base.select(path_col, own.alias("score"))
     else:
         refs = patterns.select(F.lower(pattern_col).alias("ref")).where("ref <> ''").distinct()
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
-        # each reference is keyed by one of its trigrams, each path by all of its own: no pair is lost
-        keyed = refs.select("ref", F.when(F.length("ref") < 3, F.lit("")).otherwise(F.substring("ref", F.greatest(F.length("ref") - 6, F.lit(1)), F.lit(3))).alias("g"))
-        wide = base.select(path_col, low.alias("__low"), F.explode(F.concat(grams(low), F.array(F.lit("")))).alias("g"))
-        hits = wide.join(keyed, "g").where(F.contains(F.col("__low"), F.col("ref"))).groupBy(path_col).agg(F.count_distinct("ref").alias("refs"))
+        grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        wide = base.select(path_col, low.alias("__low"), F.explode(F.array_distinct(F.concat(grams(low, 1), grams(low, 2), grams(low, 3)))).alias("g"))
+        counted = wide.groupBy("g").agg(F.count("*").alias("n"))
+        own_grams = refs.select("ref", F.explode(F.array_distinct(F.when(F.length("ref") < 3, F.array("ref")).otherwise(grams(F.col("ref"), 3)))).alias("g"))
+        # a reference with a trigram that no path holds lies in none
+        keyed = salted_join(own_grams, counted, ["g"], "left").groupBy("ref").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.bool_and(F.col("n").isNotNull()).alias("met")).where("met").select("ref", "g")
+        spread = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = wide.withColumn("__salt", F.pmod(F.xxhash64(path_col), F.lit(SALTS)).cast("int")).join(spread, ["g", "__salt"])
+        hits = pairs.where(F.contains(F.col("__low"), F.col("ref"))).groupBy(path_col).agg(F.count("*").alias("refs"))
         scored = base.join(hits, path_col, "left").select(path_col, (own + F.coalesce("refs", F.lit(0))).cast("int").alias("score"))
     return scored if top is None else scored.orderBy(F.desc("score"), path_col).limit(top)
 
