@@ -3,15 +3,18 @@
 Records are distinct texts. A record may lie in several sources; records are aggregated by that
 membership pattern, of which there are at most 2^k - 1 for k sources. Tokens are routed from the
 patterns to the sources' quotas by a min-cost flow whose costs are convex in the number of
-repetitions. The flow says how many tokens of a pattern serve a source at each repetition; seeded
+repetitions. All costs lie on the arcs that leave the origin, one for each repetition, and cheapest paths leave it once; so
+the cheapest flow is a maximal flow of the first uses, grown by paths to one of the first and second uses, and so on. Paths lead over
+sources only, of which there are few, and carry what all patterns allow together. The flow says how many tokens of a pattern serve a source at each repetition; seeded
 records fill these amounts by their running total.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,54 +27,6 @@ MAX_SOURCES = 16
 BUCKET_RECORDS = 4096
 
 
-class Flow:
-    """Min-cost max-flow by successive cheapest paths with potentials; integer capacities."""
-
-    def __init__(self, nodes: int) -> None:
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
-
-    def arc(self, a: int, b: int, capacity: int, cost: int) -> int:
-        for tail, head, room, price in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            self.out[tail].append(len(self.to))
-            self.to.append(head)
-            self.room.append(room)
-            self.cost.append(price)
-        return len(self.to) - 2
-
-    def run(self, source: int, sink: int) -> int:
-        n, total = len(self.out), 0
-        potential = [0] * n
-        while True:
-            far, via = [float("inf")] * n, [-1] * n
-            far[source] = 0
-            heap = [(0, source)]
-            while heap:
-                d, a = heapq.heappop(heap)
-                if d > far[a]:
-                    continue
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] and (x := d + self.cost[e] + potential[a] - potential[b]) < far[b]:
-                        far[b], via[b] = x, e
-                        heapq.heappush(heap, (x, b))
-            if via[sink] < 0:
-                return total
-            potential = [p + (f if f < float("inf") else 0) for p, f in zip(potential, far)]
-            push, at = None, sink
-            while at != source:
-                push = self.room[via[at]] if push is None else min(push, self.room[via[at]])
-                at = self.to[via[at] ^ 1]
-            at = sink
-            while at != source:
-                self.room[via[at]] -= push
-                self.room[via[at] ^ 1] += push
-                at = self.to[via[at] ^ 1]
-            total += push
-
-
 @dataclass(frozen=True)
 class Target:
     """A source's share of the mix and how often a record may serve in it."""
@@ -81,6 +36,58 @@ class Target:
     repeats: int
 
 
+def _arrays(tokens: dict[int, int], targets: list[Target]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns with tokens in order, their sizes and the uses that the strictest of their sources allows."""
+    patterns = np.array(sorted(p for p, c in tokens.items() if c > 0), np.int64)
+    sizes = np.array([tokens[int(p)] for p in patterns], np.int64)
+    uses = np.full(len(patterns), np.iinfo(np.int64).max, np.int64)
+    for i, t in enumerate(targets):
+        uses = np.where(patterns >> i & 1, np.minimum(uses, t.repeats), uses)
+    return patterns, sizes, uses
+
+
+def _taken(room: np.ndarray, amount: int) -> np.ndarray:
+    """``amount`` taken out of ``room``, in order."""
+    before = np.cumsum(room) - room
+    return np.clip(amount - before, 0, room)
+
+
+def _grow(served: np.ndarray, free: np.ndarray, within: np.ndarray, quotas: np.ndarray) -> None:
+    """Grow a flow to a maximal one. ``served``: tokens by pattern and source, ``free``: unused ones by pattern; both are changed."""
+    k = len(quotas)
+    while True:
+        short = quotas - served.sum(0)
+        start = [i for i in range(k) if free[within[:, i]].sum() > 0]
+        # the shortest path from a source that can use free tokens to one that is short; each hands tokens of shared patterns on
+        moves = [[served[within[:, j], i].sum() for j in range(k)] for i in range(k)]
+        via: dict[int, int] = dict.fromkeys(start, -1)
+        queue = deque(start)
+        end = next((i for i in start if short[i] > 0), None)
+        while queue and end is None:
+            i = queue.popleft()
+            for j in range(k):
+                if j not in via and moves[i][j] > 0:
+                    via[j] = i
+                    queue.append(j)
+                    if short[j] > 0:
+                        end = j
+                        break
+        if end is None:
+            return
+        path = [end]
+        while via[path[-1]] >= 0:
+            path.append(via[path[-1]])
+        path.reverse()
+        amount = min([int(free[within[:, path[0]]].sum()), int(short[end]), *(int(moves[i][j]) for i, j in zip(path, path[1:]))])
+        for i, j in list(zip(path, path[1:]))[::-1]:
+            moved = _taken(np.where(within[:, j], served[:, i], 0), amount)
+            served[:, i] -= moved
+            served[:, j] += moved
+        given = _taken(np.where(within[:, path[0]], free, 0), amount)
+        free -= given
+        served[:, path[0]] += given
+
+
 def route(tokens: dict[int, int], targets: list[Target], total: int) -> tuple[int, dict[tuple[int, int, int], int]]:
     """Tokens routed for a mix of ``total``: ``{(pattern, source index, repetition): tokens}``.
 
@@ -88,31 +95,56 @@ def route(tokens: dict[int, int], targets: list[Target], total: int) -> tuple[in
     holds c tokens whichever sources they go to, at cost r - 1; a pattern is used as often as the
     strictest of its sources allows.
     """
-    patterns = sorted(p for p, c in tokens.items() if c > 0)
-    uses = {p: min(t.repeats for i, t in enumerate(targets) if p >> i & 1) for p in patterns}
-    levels = [(p, r) for p in patterns for r in range(1, uses[p] + 1)]
-    net = Flow(2 + len(levels) + len(targets))
-    sink, arcs = 1, {}
-    for n, (p, r) in enumerate(levels, 2):
-        net.arc(0, n, tokens[p], r - 1)
-        for i in range(len(targets)):
-            if p >> i & 1:
-                arcs[p, i, r] = net.arc(n, 2 + len(levels) + i, tokens[p], 0)
-    for i, t in enumerate(targets):
-        net.arc(2 + len(levels) + i, sink, round(total * t.share), 0)
-    routed = net.run(0, sink)
-    return routed, {key: net.room[arc ^ 1] for key, arc in arcs.items() if net.room[arc ^ 1]}
+    patterns, sizes, uses = _arrays(tokens, targets)
+    within = np.stack([(patterns >> i & 1).astype(bool) for i in range(len(targets))], 1) if len(patterns) else np.zeros((0, len(targets)), bool)
+    quotas = np.array([round(total * t.share) for t in targets], np.int64)
+    served = np.zeros(within.shape, np.int64)
+    for level in range(1, int(uses.max(initial=0)) + 1):
+        _grow(served, sizes * np.minimum(level, uses) - served.sum(1), within, quotas)
+        if (served.sum(0) >= quotas).all():
+            break
+    out: dict[tuple[int, int, int], int] = {}
+    ends = np.cumsum(served, 1)
+    for n in np.flatnonzero(ends[:, -1]) if len(patterns) else ():
+        p, size = int(patterns[n]), int(sizes[n])
+        for i in np.flatnonzero(served[n]):
+            # the sources take consecutive stretches of the pattern's uses
+            at, stop = int(ends[n, i] - served[n, i]), int(ends[n, i])
+            while at < stop:
+                r = at // size + 1
+                step = min(stop, r * size) - at
+                out[p, int(i), r] = step
+                at += step
+    return int(served.sum()), out
 
 
 def largest_total(tokens: dict[int, int], targets: list[Target]) -> int:
-    """The largest total whose quotas can all be met, found by bisection on the flow."""
-    low, high = 0, sum(c * max(t.repeats for t in targets) for c in tokens.values())
+    """The largest total whose quotas can all be met.
+
+    They can if those of every set of sources fit into what the patterns that meet the set may hold, which is the cut condition
+    of the flow; the sets are checked all at once.
+    """
+    patterns, sizes, uses = _arrays(tokens, targets)
+    k = len(targets)
+    inside = np.zeros(1 << k, np.int64)
+    np.add.at(inside, patterns, sizes * uses)
+    capacity = int(inside.sum())
+    sets = np.arange(1 << k)
+    for i in range(k):  # what lies within each set of sources
+        with_i = sets[(sets >> i & 1).astype(bool)]
+        inside[with_i] += inside[with_i ^ (1 << i)]
+    room = capacity - inside[(1 << k) - 1 - sets]
+
+    def fits(total: int) -> bool:
+        need = np.zeros(1 << k, np.int64)
+        for i, t in enumerate(targets):
+            need += (sets >> i & 1) * round(total * t.share)
+        return bool((need <= room).all())
+
+    low, high = 0, capacity
     while low < high:
         middle = (low + high + 1) // 2
-        if route(tokens, targets, middle)[0] >= sum(round(middle * t.share) for t in targets):
-            low = middle
-        else:
-            high = middle - 1
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
     return low
 
 
