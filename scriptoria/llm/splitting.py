@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from scriptoria.runtime import table
+from scriptoria.runtime import table, widen
 
 #: Pieces tried beyond the least number before cuts are placed one after the other.
 EXTRA = 3
@@ -195,7 +195,7 @@ def pieces(items: DataFrame, limits: dict[str, tuple[int, int]], code_kinds: tup
     """Ordered pieces of the oversized rows of ``items`` (item_kind, item_id, text).
 
     ``limits``: ``{item_kind: (max_chars, overlap_chars)}``. Rows within their limit, null and empty texts and kinds
-    without a limit give no rows. A repeated item is split once. ``texts=False`` leaves the texts null.
+    without a limit give no rows. A repeated item gives its pieces once. ``texts=False`` leaves the texts null.
     """
 
     def of(i: int) -> Column:
@@ -204,7 +204,7 @@ def pieces(items: DataFrame, limits: dict[str, tuple[int, int]], code_kinds: tup
             out = F.when(F.col("item_kind") == kind, pair[i]).otherwise(out)
         return out
 
-    large = items.select("item_kind", F.col("item_id").cast("string").alias("item_id"), "text").where(F.length("text") > of(0)).dropDuplicates(["item_kind", "item_id"])
+    large = widen(items.select("item_kind", F.col("item_id").cast("string").alias("item_id"), "text").where(F.length("text") > of(0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,7 +214,8 @@ def pieces(items: DataFrame, limits: dict[str, tuple[int, int]], code_kinds: tup
                 rows += [(kind, item, i, len(parts), start, cut, end, text[start:end] if texts else None) for i, (start, cut, end) in enumerate(parts)]
             yield pd.DataFrame(rows, columns=_SCHEMA.names)
 
-    return large.mapInPandas(run, _SCHEMA)
+    # items are cut where they lie: of repeated ones the short rows meet, and pieces only where they are asked for
+    return large.mapInPandas(run, _SCHEMA).dropDuplicates(["item_kind", "item_id", "piece"])
 
 
 def limits_of(size_limits: DataFrame) -> dict[str, tuple[int, int]]:
