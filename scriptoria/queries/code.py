@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptoria import parsers
+from scriptoria.functions import text as T
 from scriptoria.operators import diagrams as D
 from scriptoria.operators import callgraph as G
 from scriptoria.operators import graphs as R
@@ -179,6 +180,57 @@ resolved AS (SELECT b.module_id, b.source, b.raw, coalesce(x.qualname, CASE WHEN
 edges AS (SELECT DISTINCT module_id, source, CASE WHEN target IS NOT NULL AND target <> source THEN target ELSE raw END AS target, NOT (target IS NOT NULL AND target <> source) AS external FROM resolved)
 """
 
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{T.BLANK}+', ''), '{T.BLANK}+$', '')"
+
+
+def _escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(coalesce({x}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+def _paragraphs(x: str) -> str:
+    return f"coalesce(array_to_string(list_transform(list_filter(list_transform(string_split({_escaped(x)}, chr(10) || chr(10)), lambda p: {_strip('p')}), lambda p: p <> ''), lambda p: '<p>' || replace(p, chr(10), '<br/>') || '</p>'), chr(10)), '')"
+
+
+def _page(title: str, body: str) -> str:
+    """A page as an SQL expression: what the template gives for these parts."""
+    head = "'<!-- Generated by scriptoria -->~<!DOCTYPE html>~<html lang=\"en\">~<head>~<meta charset=\"utf-8\">~<title>' || {t} || '</title>~<link rel=\"stylesheet\" href=\"static/style.css\">~</head>~<body>~<div class=\"sidebar\"></div>~<main>~<h1>' || {t} || '</h1>~' || {b} || '~</main>~</body>~</html>~'"
+    return head.replace("~", "' || chr(10) || '").replace("{t}", title).replace("{b}", body)
+
+
+#: Longest paths in the part of each graph that no cycle reaches; ``behind``: nodes on or behind a cycle.
+_PATHS = """, n AS (SELECT DISTINCT module_id, source AS q FROM edges UNION SELECT module_id, target FROM edges), e AS (SELECT DISTINCT module_id, source AS a, target AS b FROM edges WHERE source <> target),
+reach AS (SELECT module_id, a, b FROM e UNION SELECT r.module_id, r.a, e.b FROM reach r JOIN e ON e.module_id = r.module_id AND e.a = r.b),
+behind AS (SELECT DISTINCT r.module_id, r.b AS q FROM reach r JOIN reach c ON c.module_id = r.module_id AND c.a = c.b AND c.a = r.a),
+depth AS (SELECT n.module_id, n.q, 0 AS d FROM n ANTI JOIN e ON e.module_id = n.module_id AND e.b = n.q UNION SELECT d.module_id, e.b, d.d + 1 FROM depth d JOIN e ON e.module_id = d.module_id AND e.a = d.q ANTI JOIN behind x ON x.module_id = e.module_id AND x.q = e.b),
+lv AS (SELECT module_id, q, max(d) AS level FROM depth GROUP BY 1, 2)
+"""
+#: Places of the nodes where no graph has a cycle.
+_PLACES = """, i AS (SELECT DISTINCT module_id, source AS q FROM edges UNION SELECT module_id, target FROM edges WHERE NOT external), o AS (SELECT DISTINCT module_id, target AS q FROM edges WHERE external),
+e AS (SELECT DISTINCT x.module_id, source AS a, target AS b FROM edges x SEMI JOIN i ON i.module_id = x.module_id AND i.q = x.target WHERE source <> target),
+depth AS (SELECT i.module_id, i.q, 0 AS d FROM i ANTI JOIN e ON e.module_id = i.module_id AND e.b = i.q UNION SELECT d.module_id, e.b, d.d + 1 FROM depth d JOIN e ON e.module_id = d.module_id AND e.a = d.q),
+near AS (SELECT module_id, a, b FROM e UNION SELECT module_id, b, a FROM e), joined AS (SELECT module_id, q AS a, q AS b FROM i UNION SELECT j.module_id, j.a, near.b FROM joined j JOIN near ON near.module_id = j.module_id AND near.a = j.b),
+part AS (SELECT module_id, a AS q, min(b) AS first FROM joined GROUP BY 1, 2), laid AS (SELECT module_id, q, max(d) AS layer FROM depth GROUP BY 1, 2),
+numbered AS (SELECT module_id, q, layer, dense_rank() OVER (PARTITION BY module_id ORDER BY first) - 1 AS component, row_number() OVER (PARTITION BY module_id, first, layer ORDER BY q) - 1 AS r FROM part JOIN laid USING (module_id, q)),
+high AS (SELECT module_id, component, (max(r) + 1) * 84.0 + 42.0 AS h FROM numbered GROUP BY 1, 2), tops AS (SELECT module_id, component, 40.0 + coalesce(sum(h) OVER (PARTITION BY module_id ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS top FROM high),
+last AS (SELECT module_id, max(layer) AS last FROM numbered GROUP BY 1),
+places AS (SELECT module_id AS scope, q AS qualname, false AS external, CAST(component AS INTEGER) AS component, CAST(layer AS INTEGER) AS layer, CAST(40.0 + layer * 260.0 AS DOUBLE) AS x, CAST(top + r * 84.0 AS DOUBLE) AS y FROM numbered JOIN tops USING (module_id, component)
+  UNION ALL SELECT o.module_id, q, true, -1, CAST(coalesce(last, -1) + 1 AS INTEGER), CAST(40.0 + (coalesce(last, -1) + 1) * 260.0 AS DOUBLE), CAST(40.0 + (row_number() OVER (PARTITION BY o.module_id ORDER BY q) - 1) * 84.0 AS DOUBLE) FROM o LEFT JOIN last USING (module_id))
+"""
+
+
+def matlab_functions(spark, sf):
+    """The functions of the parsed MATLAB files."""
+    m = table(spark, sf, "modules").select("module_id", "language").where("lower(language) = 'matlab'").distinct()
+    return parsed_symbols(spark, sf).join(m, "module_id", "left_semi").select("module_id", "name", "signature", "kind", F.col("lineno").cast("long").alias("lineno"))
+
+
+def cpp_namespaces(spark, sf):
+    """The namespaces of the parsed C++ files."""
+    m = table(spark, sf, "modules").select("module_id", "language").where("lower(language) = 'cpp'").distinct()
+    return parsed_modules(spark, sf).join(m, "module_id", "left_semi").where("namespace is not null").select("module_id", "namespace")
+
+
 QUERIES = {
     "resolved_calls": resolved_calls,
     "call_edges": call_edges,
@@ -209,6 +261,8 @@ QUERIES = {
     "manual_pages": manual_pages,
     "document_summaries": document_summaries,
     "table_deliveries": table_deliveries,
+    "matlab_functions": matlab_functions,
+    "cpp_namespaces": cpp_namespaces,
 }
 
 SQL = {
@@ -239,4 +293,26 @@ SELECT folder, depth, string_agg(name || CASE WHEN dir THEN '/' ELSE '' END, ' '
     "stem_collisions": r"WITH p AS (SELECT DISTINCT relpath, CASE WHEN regexp_matches(relpath, '[^/]\.[^./]+$') THEN regexp_replace(string_split(relpath, '/')[-1], '\.[^.]+$', '') ELSE string_split(relpath, '/')[-1] END AS stem FROM modules WHERE relpath IS NOT NULL) SELECT stem, count(*) AS n FROM p GROUP BY stem HAVING count(*) > 1",
     "folder_sizes": "WITH p AS (SELECT DISTINCT string_split(relpath, '/') AS p FROM modules WHERE relpath IS NOT NULL) SELECT coalesce(array_to_string(p[1:len(p)-1], '/'), '') AS folder, count(*) AS files FROM p GROUP BY 1",
     "table_deliveries": " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n, count(DISTINCT {k}) AS keys FROM {t}" for t, k in (("modules", "module_id"), ("symbols", "symbol_id"), ("manual_sections", "section_id"), ("evidence", "evidence_id"))),
+    "call_levels": _DEFS.replace("WITH s AS", "WITH RECURSIVE s AS") + _PATHS + "SELECT module_id, q AS qualname, CAST(level AS INTEGER) AS level FROM lv UNION ALL SELECT b.module_id, b.q, CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY b.module_id ORDER BY b.q) AS INTEGER) FROM behind b LEFT JOIN (SELECT module_id, max(level) AS top FROM lv GROUP BY 1) m USING (module_id)",
+    "call_layers": _DEFS.replace("WITH s AS", "WITH RECURSIVE s AS") + _PATHS + "SELECT module_id, q AS qualname, CAST(level AS INTEGER) AS layer FROM lv",
+    "call_positions": _DEFS.replace("WITH s AS", "WITH RECURSIVE s AS") + _PLACES + "SELECT scope, qualname, external, component, layer, x, y FROM places",
+    "call_extents": _DEFS.replace("WITH s AS", "WITH RECURSIVE s AS") + _PLACES + "SELECT scope, string_split(qualname, '.')[1] AS cluster, min(x) AS left, min(y) AS top, max(x) + 200.0 AS right, max(y) + 48.0 AS bottom FROM places WHERE NOT external GROUP BY 1, 2 HAVING count(*) >= 2",
+    "manual_pages": f"""WITH s AS (SELECT DISTINCT section_id, manual_id, ord, title, body FROM manual_sections), a AS (SELECT *, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS k FROM s),
+b AS (SELECT *, CASE WHEN k = '' THEN 'section' ELSE replace(k, ' ', '-') END AS anchor FROM a),
+c AS (SELECT manual_id, ord, '<li><a href="#' || anchor || '">' || {_escaped('title')} || '</a></li>' AS toc, '<h2 id="' || anchor || '">' || {_escaped('title')} || '</h2>' || chr(10) || {_paragraphs('body')} AS part FROM b),
+d AS (SELECT manual_id, '<ul>' || string_agg(toc, '' ORDER BY ord NULLS FIRST, toc, part) || '</ul>' || chr(10) || string_agg(part, chr(10) ORDER BY ord NULLS FIRST, toc, part) AS body FROM c GROUP BY manual_id)
+SELECT manual_id, {_page("'User Manual'", "body")} AS html FROM d""",
+    "module_pages": rf"""WITH m AS (SELECT DISTINCT module_id, name, relpath, module_docstring, header FROM modules), s AS (SELECT DISTINCT symbol_id, module_id, parent_id, kind, name, qualname, signature, docstring, summary, coalesce(ord, 0) AS ord FROM symbols WHERE module_id IS NOT NULL),
+l AS (SELECT module_id, symbol_id, ord, CASE kind WHEN 'variable' THEN 2 WHEN 'statement' THEN 3 WHEN 'function' THEN 1 ELSE 0 END AS r, coalesce(parent_id, symbol_id) AS g, parent_id IS NOT NULL AS inside, CASE WHEN kind = 'class' THEN 'h2' ELSE 'h3' END AS h,
+  CASE WHEN kind = 'class' THEN 'Class: ' || name WHEN kind = 'method' THEN 'Method: ' || coalesce(signature, name) ELSE coalesce(signature, name) END AS title, coalesce(qualname, name, '') AS id, coalesce(summary, docstring) AS t FROM s),
+p AS (SELECT module_id, string_agg('<' || h || ' id="' || {_escaped('id')} || '">' || {_escaped('title')} || '</' || h || '>' || {_paragraphs('t')}, chr(10) ORDER BY r, g, inside, ord, symbol_id) AS body FROM l GROUP BY module_id),
+q AS (SELECT m.module_id, relpath, {_escaped('name')} AS name, {_paragraphs('coalesce(module_docstring, header)')} || coalesce(chr(10) || body, '') AS body FROM m LEFT JOIN p USING (module_id))
+SELECT module_id, regexp_replace(coalesce(relpath, module_id), '\.[^./]+$', '') || '.html' AS path, {_page("name", "body")} AS html FROM q""",
+    "matlab_functions": r"""WITH m AS (SELECT DISTINCT module_id, regexp_split_to_array(source, '\x0d\x0a|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM modules WHERE lower(language) = 'matlab' AND source <> ''),
+x AS (SELECT module_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS lineno FROM m), y AS (SELECT *, trim(line, ' ' || chr(9)) AS s FROM x),
+f AS (SELECT module_id, min(lineno) AS start FROM y WHERE s <> '' AND NOT starts_with(s, '%') GROUP BY module_id)
+SELECT module_id, regexp_extract(line, '(?i)^\s*function\s+(?:(?:\[[^\]]*\]|\w+)\s*=\s*)?(\w+)', 1) AS name, s AS signature, 'function' AS kind, lineno FROM y JOIN f USING (module_id) WHERE lineno >= start AND regexp_matches(line, '(?i)^\s*function\s+(?:(?:\[[^\]]*\]|\w+)\s*=\s*)?\w+')""",
+    "cpp_namespaces": r"""WITH m AS (SELECT DISTINCT module_id, regexp_split_to_array(source, '\x0d\x0a|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS l FROM modules WHERE lower(language) = 'cpp' AND source IS NOT NULL),
+x AS (SELECT module_id, trim(unnest(l), ' ' || chr(9)) AS s, unnest(range(1, len(l) + 1)) AS n FROM m), y AS (SELECT module_id, n, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')[2] AS w FROM x WHERE starts_with(s, 'namespace '))
+SELECT module_id, regexp_replace(arg_min(w, n), '\{$', '') AS namespace FROM y WHERE w IS NOT NULL GROUP BY module_id""",
 }
