@@ -62,6 +62,7 @@ _GAP = re.compile(
     r"(?<=[฀-\u0eff])(?P<thai>[ \t]*\r?\n?[ \t]*(?<=\s))(?=[฀-\u0eff])"
 )
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿][぀-ヿ㐀-鿿]")
+_IDEOGRAPHS = re.compile(r"[぀-ヿ㐀-鿿]{4,}")
 _ASCII_RUN = re.compile(r"[!-~]*")
 #: What ends the word before a mark, looking back.
 _STOPS = frozenset("“”„«»()[]\"「」『』（）。！？｡।॥؟۔")
@@ -333,6 +334,7 @@ class EventModel:
         self.rate = (self.total_after + 100 * RATE) / (self.total_after + self.total_inside + 100)
         self.kinds = PRIORS | self.kinds
         self.starts = STARTS | self.starts
+        self.memory: dict[tuple, tuple[float, float]] = {}
         self.follows = {(group, k): x for group, shares in FOLLOWS.items() for k, x in shares.items()} | self.follows
 
     def evidence(self, word: str, follows: str, group: str, shares: dict[str, float] | None = None) -> float:
@@ -360,7 +362,15 @@ class EventModel:
         return common + log((a * x + 1.0 - a) / (self.rate * (o * y + 1.0 - o)))
 
     def weigh(self, gap: Gap) -> tuple[float, float]:
-        """Likelihoods of no boundary and of a boundary at ``gap``, up to a common factor."""
+        """Likelihoods of no boundary and of a boundary at ``gap``, up to a common factor; those met before are remembered."""
+        key = (gap.kind, gap.left, gap.right, gap.follows)
+        if (known := self.memory.get(key)) is None:
+            if len(self.memory) > HELD:
+                self.memory.clear()
+            known = self.memory[key] = self._weighed(gap)
+        return known
+
+    def _weighed(self, gap: Gap) -> tuple[float, float]:
         kind, word = gap.kind, gap.left
         if kind == "word":
             z, a, shares = self.points.get(word) or ((_sigmoid(_shape(word)[0] - log(self.rate)), _shape(word)[1], None) if word else (0.0, 0.0, None))
@@ -551,18 +561,22 @@ def bare_gaps(text: str, a: int, b: int, model: EventModel) -> list[Gap]:
     if not model.ends:
         return []
     out = []
-    for i in range(a + 2, b - 1):
-        left = text[i - 2 : i]
-        if left in model.ends and _IDEOGRAPH.match(text, i):
-            out.append(Gap(i, i, "bare", left, text[i : i + 2], "caseless"))
+    for run in _IDEOGRAPHS.finditer(text, a, b):
+        for i in range(run.start() + 2, run.end() - 1):
+            left = text[i - 2 : i]
+            if left in model.ends:
+                out.append(Gap(i, i, "bare", left, text[i : i + 2], "caseless"))
     return out
 
 
+_QUOTE = re.compile(f"[{re.escape(''.join({'\"', *_PAIRS, *''.join(_PAIRS.values())}))}]")
+
+
 def _quotations(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Spans of paired quotation marks and brackets in text[a:b]."""
     spans, stack, straight = [], [], -1
-    for i in range(a, b):
-        c = text[i]
+    for m in _QUOTE.finditer(text, a, b):
+        i, c = m.start(), m[0]
         if c == '"':
             if straight < 0:
                 straight = i
