@@ -9,8 +9,3 @@ from scriptoria import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, data, name):
     assert_equal(spark, data, queries.QUERIES[name], queries.SQL[name])
-
-
-@pytest.mark.parametrize("name", sorted(queries.QUERIES.keys() - queries.SQL.keys()))
-def test_rows(spark, data, name):
-    assert queries.QUERIES[name](spark, data).count() > 0
