@@ -7,22 +7,29 @@ between waves are answered by the cache.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.text import escape_html, file_name, stem, word_count
+from scriptoria.operators.chunking import count_words
 from scriptoria.operators.outline import function_prompt, member_bullets, module_outline
 from scriptoria.parsers import modules_of, parse_files, rejects_of, symbols_of
 from scriptoria.plans.models import Summariser
-from scriptoria.plans.summarise import CONTEXT, budget, summarise
+from scriptoria.plans.summarise import CONTEXT, LEVELS, budget, summarise
 from scriptoria.runtime import cut_lineage
 from scriptoria.sinks.pages import index_page, filled, module_pages, write_pages
 from scriptoria.sources.extract import document_text
 from scriptoria.sources.tree import markdown_files, scan, with_language
 
 
+#: Words of all outlines that are joined into one text; more are summarised first.
+WHOLE = 200_000
+
+
 @dataclass
 class Documented:
     """What a run produced."""
@@ -64,6 +71,41 @@ def rewrite_docstrings(symbols: DataFrame, classes: DataFrame, model: Summariser
     return summarise(rows.select(F.col("symbol_id").alias("id"), text.alias("text")), model, "docstring", cache, context)
 
 
+def joined(rows: DataFrame, order: str, text: str) -> DataFrame:
+    """One row with the texts of ``rows`` in order."""
+    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("text"))
+
+
+def condensed(rows: DataFrame, model: Summariser, kind: str, cache: str | None, context: int, most: int = WHOLE) -> DataFrame:
+    """``rows`` (ord, text) with at most about ``most`` words in all: beyond that, neighbours are packed and summarised, in waves."""
+    room = budget(kind, context)[1]
+
+    def pack_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, held, used = None, [], 0
+        for pdf in batches:
+            out = []
+            for at, text in zip(pdf["ord"], pdf["text"]):
+                n = count_words(text)
+                if held and used + n > room:
+                    out.append((first, "\n".join(held)))
+                    held, used = [], 0
+                first = first if held else at
+                held.append(text)
+                used += n
+            yield pd.DataFrame(out, columns=["ord", "text"])
+        if held:
+            yield pd.DataFrame([(first, "\n".join(held))], columns=["ord", "text"])
+
+    for _ in range(LEVELS):
+        size = rows.agg(F.sum(word_count(F.col("text"))).alias("n"), F.count("*").alias("rows")).first()
+        if (size["n"] or 0) <= most or size["rows"] < 2:
+            break
+        parts = max(1, size["n"] // (8 * room))
+        packed = cut_lineage(rows.repartitionByRange(parts, "ord").sortWithinPartitions("ord").mapInPandas(pack_rows, "ord string, text string"))
+        rows = cut_lineage(summarise(packed.select(F.col("ord").alias("id"), "text"), model, kind, cache, context).select(F.col("id").alias("ord"), F.col("summary").alias("text")))
+    return rows
+
+
 def document(spark: SparkSession, base: str, model: Summariser, out: str | None = None, ignore: list[str] | tuple[str, ...] = (), cache: str | None = None, context: int = CONTEXT) -> Documented:
     """Document the tree at ``base``; pages are written below ``out`` if given. Files that do not parse are rejects."""
     modules, symbols, rejects = parse_tree(spark, base, [*ignore, *([out] if out else [])])
@@ -79,9 +121,8 @@ def document(spark: SparkSession, base: str, model: Summariser, out: str | None
     by_class = summarise(classes.select(F.col("symbol_id").alias("id"), F.concat_ws("\n", F.concat(F.lit("Class: "), F.col("name")), "docstring", "bullets").alias("text")), model, "class", cache, context)
     outlines = module_outline(modules, symbols)
     readme = markdown_files(scan(spark, base, ignore, suffixes=[".md"])).select(F.lit("readme").alias("id"), "ord", document_text(F.col("content"), F.lit(".md")).alias("t"))
-    joined = lambda df, order, text: df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("text"))
     about = joined(readme, "ord", "t").select(F.lit("readme").alias("id"), "text").where("text <> ''")
-    parts = summarise(about, model, "readme", cache, context).unionByName(summarise(joined(outlines, "module_id", "outline").select(F.lit("outline").alias("id"), "text"), model, "project", cache, context))
+    parts = summarise(about, model, "readme", cache, context).unionByName(summarise(joined(condensed(outlines.select(F.col("module_id").alias("ord"), F.col("outline").alias("text")), model, "project", cache, context), "ord", "text").select(F.lit("outline").alias("id"), "text"), model, "project", cache, context))
     project = "\n".join(r["summary"] for r in sorted(parts.collect(), key=lambda r: r["id"] != "readme") if r["summary"])
     rewritten = rewrite_docstrings(symbols, by_class, model, cache, context)
     summaries = by_member.unionByName(by_class).select(F.col("id").alias("symbol_id"), "summary")

@@ -26,9 +26,9 @@ from scriptoria.runtime import cut_lineage, spread
 CONTEXT, SHARE, LEVELS = 4096, 0.75, 12
 
 
-def budget(kind: str, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words) -> tuple[int, int]:
-    """Tokens available to a prompt of a kind, and to a chunk; at least one each."""
-    context = min(context, CONTEXT)
+def budget(kind: str, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words, most: int = CONTEXT) -> tuple[int, int]:
+    """Tokens available to a prompt of a kind, and to a chunk, in a context of at most ``most``; at least one each."""
+    context = min(context, most)
     available = max(1, context - count(SYSTEM_PROMPT) - count(PROMPTS.get(kind, PROMPTS["module"]).replace("{text}", "")))
     return available, max(1, min(chunk if chunk else int(context * SHARE), available))
 
@@ -60,17 +60,17 @@ def _texts(function):
     return run
 
 
-def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cache_path: str | None = None, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words, after_chunk: Callable[[str], str] | None = None) -> DataFrame:
+def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cache_path: str | None = None, context: int = CONTEXT, chunk: int | None = None, count: Counter = count_words, after_chunk: Callable[[str], str] | None = None, levels: int = LEVELS, most: int = CONTEXT) -> DataFrame:
     """``(id, summary)`` of ``texts`` (id, text): one call where the text fits, else parts and merges.
 
     A column ``parts`` (array of strings), where not null, is what a text that does not fit is packed from; otherwise its blocks are.
     ``after_chunk`` is applied to each part's answer before it is merged.
 
-    Failed parts are skipped; without any part the summary is empty. If merging has not ended after ``LEVELS`` levels, as with
+    Failed parts are skipped; without any part the summary is empty. If merging has not ended after ``levels`` levels, as with
     a model that does not shorten, the parts are joined. Null texts count as empty. A second run over the same cache makes no calls.
     """
     spark = texts.sparkSession
-    available, size = budget(kind, context, chunk, count)
+    available, size = budget(kind, context, chunk, count, most)
     room = max(1, available - count(MERGE_INSTRUCTIONS))
     cache = open_cache(spark, cache_path)
     new: list[DataFrame] = []
@@ -89,7 +89,7 @@ def summarise(texts: DataFrame, model: Summariser, kind: str = "docstring", cach
     state = cut_lineage(done.where("value is not null").select("id", "pos", "value", "whole"))
     finished = [state.where("whole").select("id", F.col("value").alias("summary"))]
     open_parts = state.where("not whole").select("id", "pos", "value")
-    for level in range(LEVELS):
+    for level in range(levels):
         lists = open_parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("v"))
         single = lists.where("size(v) = 1").select("id", F.col("v")[0].alias("summary"))
         finished.append(single)

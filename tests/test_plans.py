@@ -193,3 +193,26 @@ def test_contract(spark, data):
     assert E.entry(spark).count() > 0
     queries, sql = E.queries(), E.oracle_sql()
     assert sql.keys() <= queries.keys() and len(queries) > 40
+
+
+def test_sidebars_close_by_depth():
+    page = '<div class="sidebar"><div>a<div>b</div></div>c</div><p>x</p>'
+    assert S.with_sidebar(page, "new") == '<div class="sidebar">new</div><p>x</p>'
+    assert S.with_sidebar('<div class="sidebar"><div>a</div>', "new") == '<div class="sidebar"><div>a</div>' and S.with_sidebar("<p>x</p>", "n") == "<p>x</p>"
+
+
+def test_outlines_are_condensed_in_waves(spark):
+    from scriptoria.plans.document import condensed, joined
+
+    rows = spark.createDataFrame([(f"m{i:03d}", f"module {i} " + "word " * 40) for i in range(60)] + [(None, "lost")], "ord string, text string").where("ord is not null")
+    assert condensed(rows, Extractive(), "project", None, 400).count() == 60
+    few = condensed(rows, Extractive(), "project", None, 400, most=200)
+    assert few.count() < 60 and joined(few, "ord", "text").first()["text"]
+    assert condensed(rows.limit(0), Extractive(), "project", None, 400, most=1).count() == 0
+
+
+def test_corrupt_files_of_a_cache_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    K.append(spark.createDataFrame([("a", "1")], "key string, value string"), path)
+    (tmp_path / "cache" / "part-broken.parquet").write_bytes(b"no parquet")
+    assert {r["key"]: r["value"] for r in K.open_cache(spark, path).collect()} == {"a": "1"}

@@ -29,3 +29,25 @@ def test_lineage_is_cut_into_the_shared_folder(spark):
     cut = R.cut_lineage(spark.range(5).withColumn("x", F.rand()))
     assert "Scan ExistingRDD" in cut._jdf.queryExecution().toString() and cut.collect() == cut.collect()
     assert R.widen(spark.range(10).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    class Frame:
+        sparkSession = Session()
+
+    import pytest
+
+    with pytest.raises(ValueError):
+        R.cut_lineage(Frame())

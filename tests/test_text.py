@@ -30,12 +30,12 @@ def test_words_lines_and_blanks(spark, texts):
 def test_nulls(spark):
     c = F.col("t")
     row = column(spark, [None], T.word_count(c), T.strip_fim(c), T.content_key("k", c), T.placeholders(c), T.slug(c), T.paragraphs_html(c), T.tag_bodies(c, "p"), T.path_tokens(c), T.split_lines(c))[0]
-    assert row == (0, "", "k:" + hashlib.sha256(b"<None>").hexdigest(), [], "user_manual", "", [], [], None)
+    assert row == (0, "", "k:null", [], "user_manual", "", [], [], None)
 
 
 def test_keys_differ_for_null_and_empty(spark):
-    a, b = column(spark, [None, ""], T.content_key("k", F.col("t")))
-    assert a != b and b[0] == "k:" + hashlib.sha256(b"").hexdigest()
+    a, b, c = column(spark, [None, "", "<None>"], T.content_key("k", F.col("t")))
+    assert len({a, b, c}) == 3 and b[0] == "k:" + hashlib.sha256(b"").hexdigest()
 
 
 def test_markup(spark):
