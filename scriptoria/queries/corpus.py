@@ -13,7 +13,8 @@ from scriptoria.operators import lint as L
 from scriptoria.operators.cache import misses, resume
 from scriptoria.operators.outline import first_of_each, listed
 from scriptoria.runtime import first_delivery, table
-from scriptoria.sinks.pages import replace_sidebar
+from scriptoria.sinks.pages import evidence_json, insert_link, replace_sidebar
+from scriptoria.sources.tree import DOCUMENT_GROUPS, FILE_GROUPS, collected, markdown_files, with_language
 
 BLANK = T.BLANK
 LINES = r"(\x0d\x0a|[\x0a-\x0d\x1c-\x1e\x{85}\x{2028}\x{2029}])"
@@ -248,6 +249,43 @@ def folder_documents(spark, sf):
     return d.where(T.is_under(F.col("path"), F.col("parent"))).groupBy("parent").agg(F.count("*").alias("documents"))
 
 
+def file_languages(spark, sf):
+    m = table(spark, sf, "modules").where("relpath is not null").select("relpath", T.suffix(F.col("relpath")).alias("suffix")).distinct()
+    return with_language(m).select("relpath", "language")
+
+
+def _paths(spark, sf):
+    return table(spark, sf, "documents").where("path is not null").select(F.col("path").alias("relpath")).distinct()
+
+
+def collected_documents(spark, sf):
+    return collected(_paths(spark, sf), DOCUMENT_GROUPS).select("relpath", F.col("group").cast("long").alias("place"))
+
+
+def collected_files(spark, sf):
+    return collected(_paths(spark, sf), FILE_GROUPS).select("relpath", F.col("group").cast("long").alias("place"))
+
+
+def markdown_paths(spark, sf):
+    return markdown_files(_paths(spark, sf)).select("relpath", F.col("ord.later").alias("later"))
+
+
+def unicode_slugs(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.try_element_at(T.split_lines(F.col("text")), F.lit(1)).alias("line")).where("line is not null")
+    return d.select("doc_id", T.unicode_slug(F.col("line")).alias("slug"))
+
+
+def linked_indexes(spark, sf):
+    s = first_delivery(table(spark, sf, "manual_sections"), "section_id")
+    html = F.concat(F.lit('<ul><li>'), T.escape_html(F.coalesce("title", F.lit(""))), F.lit('</li></ul>\n<p>end</p>'))
+    return s.select("section_id", insert_link(html, "user_manual.html", "User Manual").alias("last"), insert_link(html, "user_manual.html", "User Manual", first=True).alias("first"))
+
+
+def evidence_documents(spark, sf):
+    """The best evidence of each section as one JSON text."""
+    return evidence_json(spark, E.map_evidence(table(spark, sf, "documents"), "doc_id", "path", "text"))
+
+
 def _section_case(line: str) -> str:
     whens = " ".join(f"WHEN regexp_matches({line}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:{'|'.join(w)})($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') THEN {quoted(n)}" for n, _, w in SECTIONS)
     return f"CASE {whens} END"
@@ -305,6 +343,13 @@ QUERIES = {
     "project_progress": project_progress,
     "open_files": open_files,
     "folder_documents": folder_documents,
+    "file_languages": file_languages,
+    "collected_documents": collected_documents,
+    "collected_files": collected_files,
+    "markdown_paths": markdown_paths,
+    "unicode_slugs": unicode_slugs,
+    "linked_indexes": linked_indexes,
+    "evidence_documents": evidence_documents,
 }
 
 SQL = {
@@ -392,8 +437,21 @@ SELECT kind, count(*) AS findings, count(DISTINCT section_id) AS pages FROM f GR
     "project_progress": "WITH m AS (SELECT DISTINCT module_id, project, source IS NOT NULL AS done FROM modules) SELECT project, CASE WHEN count(*) = 0 THEN 100 ELSE CAST(floor(count(*) FILTER (done) * 100 / count(*)) AS INTEGER) END AS percent FROM m GROUP BY project",
     "open_files": "SELECT DISTINCT relpath FROM modules WHERE relpath IS NOT NULL AND relpath NOT IN (SELECT relpath FROM modules WHERE source IS NOT NULL AND relpath IS NOT NULL)",
     "folder_documents": "SELECT v.parent, count(*) AS documents FROM documents, (VALUES ('docs'), ('src'), ('README.md')) AS v(parent) WHERE path = v.parent OR starts_with(path, v.parent || '/') GROUP BY v.parent",
+    "file_languages": r"SELECT DISTINCT relpath, CASE regexp_extract(relpath, '[^/](\.[^./]+)$', 1) WHEN '.py' THEN 'python' WHEN '.m' THEN 'matlab' WHEN '.cpp' THEN 'cpp' WHEN '.h' THEN 'cpp' WHEN '.java' THEN 'java' WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.slx' THEN 'simulink' WHEN '.mdl' THEN 'simulink' END AS language FROM modules WHERE relpath IS NOT NULL",
+    "collected_documents": r"SELECT * FROM (SELECT DISTINCT path AS relpath, CASE WHEN path = 'README.md' THEN 0 WHEN NOT contains(path, '/') AND path LIKE '_%.md' THEN 1 WHEN NOT contains(path, '/') AND path LIKE '_%.txt' THEN 2 WHEN NOT contains(path, '/') AND path LIKE '_%.html' THEN 3 WHEN NOT contains(path, '/') AND path LIKE '_%.docx' THEN 4 WHEN starts_with(path, 'docs/') AND regexp_matches(path, '[^/]\.html$') THEN 5 WHEN starts_with(path, 'docs/') AND regexp_matches(path, '[^/]\.md$') THEN 6 END::BIGINT AS place FROM documents WHERE path IS NOT NULL) WHERE place IS NOT NULL",
+    "collected_files": r"SELECT * FROM (SELECT DISTINCT path AS relpath, CASE WHEN path = 'README.md' OR ends_with(path, '/README.md') THEN 0 WHEN regexp_matches(path, '[^/]\.txt$') THEN 1 WHEN regexp_matches(path, '[^/]\.html$') THEN 2 WHEN regexp_matches(path, '[^/]\.docx$') THEN 3 WHEN regexp_matches(path, '[^/]\.csv$') THEN 4 WHEN regexp_matches(path, '[^/]\.json$') THEN 5 END::BIGINT AS place FROM documents WHERE path IS NOT NULL) WHERE place IS NOT NULL",
+    "markdown_paths": "WITH p AS (SELECT DISTINCT path AS relpath, string_split(lower(path), '/') AS f FROM documents WHERE path IS NOT NULL) SELECT relpath, relpath <> 'README.md' AS later FROM p WHERE relpath = 'README.md' OR (list_contains(f[1:len(f)-1], 'docs') AND ends_with(relpath, '.md'))",
+    "unicode_slugs": f"WITH d AS (SELECT doc_id, {_split('text')}[1] AS l FROM documents WHERE text <> ''), s AS (SELECT doc_id, trim(regexp_replace(lower(l), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '-') AS s FROM d) SELECT doc_id, CASE WHEN s = '' THEN 'simulink-model' ELSE s END AS slug FROM s",
+    "linked_indexes": f"""WITH s AS (SELECT DISTINCT section_id, replace(replace(replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS t FROM manual_sections)
+SELECT section_id, '<ul><li>' || t || '</li><li><a href="user_manual.html">User Manual</a></li></ul>' || chr(10) || '<p>end</p>' AS last, '<ul><li><a href="user_manual.html">User Manual</a></li><li>' || t || '</li></ul>' || chr(10) || '<p>end</p>' AS first FROM s""",
 }
 
+#: The best snippets of each section as JSON; null paths are left out of it.
+SQL["evidence_documents"] = f"""WITH e AS ({SQL['section_evidence']}), d AS (SELECT DISTINCT doc_id, path FROM documents),
+j AS (SELECT section, rank, CASE WHEN path IS NULL THEN '{{"snippet":' || to_json(snippet) || '}}' ELSE '{{"file":' || to_json(path) || ',"snippet":' || to_json(snippet) || '}}' END AS j FROM e JOIN d USING (doc_id)),
+g AS (SELECT section, string_agg(j, ',' ORDER BY rank) AS j FROM j GROUP BY section), s AS (SELECT * FROM (VALUES {', '.join(f'({quoted(n)})' for n, _, _ in SECTIONS)}) AS v(section))
+SELECT section, '{{"inferred":' || CASE WHEN j IS NULL THEN 'true' ELSE 'false' END || ',"evidence":[' || coalesce(j, '') || ']}}' AS json FROM s LEFT JOIN g USING (section)"""
+
 #: Packing is a fold: a recursive query walks the blocks of all documents side by side.
 SQL["document_chunks"] = f"""WITH RECURSIVE blocks AS ({SQL['document_blocks']}),
 b AS (SELECT doc_id, pos, block, len(list_filter(regexp_split_to_array(block, '{BLANK}+'), lambda w: w <> '')) AS n FROM blocks),
