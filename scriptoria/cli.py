@@ -14,7 +14,8 @@ from scriptoria.plans.document import document
 from scriptoria.plans.manual import write_manual
 from scriptoria.plans.models import Extractive, HttpModel
 from scriptoria.runtime import ship_package
-from scriptoria.sinks.pages import clean_folder, evidence_json, manual_pages, replace_sidebar, write_pages
+from scriptoria.sinks.pages import clean_folder, evidence_json, manual_pages, replace_sidebar, write_assets, write_pages
+from scriptoria.sinks.pdf import write_pdfs
 from scriptoria.sources.tree import scan
 
 
@@ -36,6 +37,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--cache")
         p.add_argument("--context", type=int, default=4096)
         p.add_argument("--no-code", action="store_true")
+        p.add_argument("--pdf", action="store_true", help="also write the manual as a PDF")
     for name in ("review", "sanitize", "sidebar"):
         p = commands.add_parser(name)
         p.add_argument("folder")
@@ -59,7 +61,11 @@ def main(argv: list[str] | None = None) -> int:
         else:
             sections, evidence = write_manual(spark, args.source, model, not args.no_code, args.cache, args.context)
             page = manual_pages(sections.withColumn("id", F.lit("user_manual")), "id")
-            write_pages(page.select(F.lit("user_manual.html").alias("path"), "html"), args.output)
+            made = page.select(F.lit("user_manual.html").alias("path"), "html")
+            write_pages(made, args.output)
+            write_assets(args.output)
+            if args.pdf:
+                write_pdfs(made, args.output)
             write_pages(evidence_json(spark, evidence).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("section", "json")))).alias("html")).select(F.lit("user_manual_evidence.json").alias("path"), "html"), args.output)
         return 0
     pages = _html(spark, args.folder)

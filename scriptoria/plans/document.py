@@ -21,7 +21,7 @@ from scriptoria.parsers import modules_of, parse_files, rejects_of, symbols_of
 from scriptoria.plans.models import Summariser
 from scriptoria.plans.summarise import CONTEXT, LEVELS, budget, summarise
 from scriptoria.runtime import cut_lineage
-from scriptoria.sinks.pages import index_page, filled, module_pages, write_pages
+from scriptoria.sinks.pages import filled, index_page, module_pages, write_assets, write_pages
 from scriptoria.sources.extract import document_text
 from scriptoria.sources.tree import markdown_files, scan, with_language
 
@@ -134,4 +134,5 @@ def document(spark: SparkSession, base: str, model: Summariser, out: str | None
     pages = pages.unionByName(index)
     if out:
         write_pages(pages, out)
+        write_assets(out)
     return Documented(told, final, rejects, project, pages)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 from collections.abc import Iterator
 from html import escape
 
@@ -133,7 +134,7 @@ def evidence_json(spark, evidence: DataFrame) -> DataFrame:
 
 
 def write_pages(pages: DataFrame, folder: str, path_col: str = "path", html_col: str = "html") -> None:
-    """Write each page to its path below ``folder``, in the tasks; an existing page is replaced.
+    """Write each page (text or bytes) to its path below ``folder``, in the tasks; an existing page is replaced.
 
     ``folder`` must be shared by the executors. Paths that leave it are refused.
     """
@@ -145,13 +146,27 @@ def write_pages(pages: DataFrame, folder: str, path_col: str = "path", html_col:
             if not target.startswith(root + os.sep):
                 raise ValueError(f"{row[0]} leaves the folder")
             os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target + ".part", "w", encoding="utf-8") as f:
-                f.write(row[1])
+            with open(target + ".part", "wb") as f:
+                f.write(row[1].encode() if isinstance(row[1], str) else row[1])
             os.replace(target + ".part", target)
 
     pages.where(F.col(path_col).isNotNull() & F.col(html_col).isNotNull()).select(path_col, html_col).foreachPartition(write)
 
 
+#: The look of all pages, for ``static/style.css``.
+STYLE = "body { display: flex; margin: 0; font-family: sans-serif; line-height: 1.5 }\n.sidebar { width: 16rem; padding: 1rem; background: #f3f4f6 }\nmain { padding: 1rem 2rem; max-width: 60rem }\npre { overflow-x: auto }\n"
+
+
+def write_assets(folder: str, source: str | None = None) -> None:
+    """Write the style sheet below ``folder``, and copy the files of ``source``, if given, over it; existing files are replaced."""
+    static = os.path.join(folder, "static")
+    os.makedirs(static, exist_ok=True)
+    with open(os.path.join(static, "style.css"), "w", encoding="utf-8") as f:
+        f.write(STYLE)
+    if source:
+        shutil.copytree(source, static, dirs_exist_ok=True)
+
+
 def clean_folder(folder: str, marker: str = MARKER) -> list[str]:
     """Delete the top-level pages whose first line holds the marker; their names."""
     gone = []

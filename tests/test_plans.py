@@ -216,3 +216,23 @@ def test_corrupt_files_of_a_cache_are_skipped(spark, tmp_path):
     K.append(spark.createDataFrame([("a", "1")], "key string, value string"), path)
     (tmp_path / "cache" / "part-broken.parquet").write_bytes(b"no parquet")
     assert {r["key"]: r["value"] for r in K.open_cache(spark, path).collect()} == {"a": "1"}
+
+
+def test_pdfs_and_assets(spark, tmp_path):
+    from scriptoria.sinks import pdf as P
+
+    html = "<html><title>T</title><script>no()</script><p>One (1) &amp; two</p><ul>" + "<li>item and more words</li>" * 150 + "</ul></html>"
+    assert P.lines_of(html)[:2] == ["T", "One (1) & two"] and "no()" not in "".join(P.lines_of(html))
+    data = P.pdf_of(html)
+    assert data.startswith(b"%PDF-1.4") and data.rstrip().endswith(b"%%EOF") and b"/Count 3" in data and rb"One \(1\) & two" in data
+    start = int(data.rsplit(b"startxref", 1)[1].split()[0])
+    assert data[start : start + 4] == b"xref"
+    for n, line in enumerate(data[start:].split(b"\n")[3:8], 1):
+        assert data[int(line[:10]) :].startswith(f"{n} 0 obj".encode())
+    pages = spark.createDataFrame([("a/b.html", html), ("c.html", ""), ("d.html", None), (None, "x")], "path string, html string")
+    P.write_pdfs(pages, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.rglob("*.pdf")) == ["b.pdf", "c.pdf"]
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "logo.svg").write_text("<svg/>")
+    S.write_assets(str(tmp_path), str(tmp_path / "own"))
+    assert (tmp_path / "static" / "style.css").read_text() == S.STYLE and (tmp_path / "static" / "logo.svg").exists()
