@@ -50,13 +50,14 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def hashed_sample(df: DataFrame, rows: int) -> list:
+def hashed_sample(df: DataFrame, rows: int, total: int | None = None) -> list:
     """At most ``rows`` rows of ``df``, picked by a hash of the whole row: the same rows at every run and partitioning.
 
     A threshold on the hash, set by the number of rows, leaves little more than the sample before anything is ordered or sent,
-    so what reaches the driver does not grow with ``df``.
+    so what reaches the driver does not grow with ``df``. ``total``: the number of rows of ``df``, or of a table that it was filtered from,
+    where counting ``df`` would cost a pass of its own; the more the filter leaves out, the smaller the sample.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     if not total or rows <= 0:
         return []
     steps = 1 << 40
