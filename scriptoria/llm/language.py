@@ -115,7 +115,7 @@ def train(labelled: DataFrame | None = None, text_col: str = "text", label_col:
     texts, labels = [cleaned(SEEDS[k]) for k in LANGUAGES], list(range(len(LANGUAGES)))
     counts = Model.count(texts, labels) * 3
     if labelled is not None:
-        rows = hashed_sample(labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(label_col)).alias("l")).where(f"t <> '' and length(t) <= {LONGEST}"), sample)
+        rows = hashed_sample(labelled.select(F.col(text_col).alias("t"), F.lower(F.trim(label_col)).alias("l")).where(f"t <> '' and length(t) <= {LONGEST}"), sample, labelled.count())
         known = [(cleaned(r["t"]), LANGUAGES.index(_LABELS[r["l"]])) for r in rows if r["l"] in _LABELS]
         for _ in range(2):
             model = Model(counts)
