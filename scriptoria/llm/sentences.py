@@ -58,7 +58,7 @@ _NUMBER_ITEM = re.compile(r"[ \t]*(\d{1,9})[.)]")
 _RULE = re.compile(r"[ \t]*(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*$")
 _GAP = re.compile(
     rf"(?P<wide>[{_WIDE}][{_MARKS}]*+[{re.escape(_CLOSERS)}]*+)(?P<ws1>\s*+)(?=\S)|"
-    rf"(?P<mark>[{_MARKS}]++(?:[ \u00a0\u202f]?[»›]|[{re.escape(_CLOSERS)}])*+)(?P<ws2>\s++)(?=\S)|"
+    rf"(?<![{_MARKS}])(?P<mark>[{_MARKS}]++(?:[ \u00a0\u202f]?[»›]|[{re.escape(_CLOSERS)}])*+)(?P<ws2>\s++)(?=\S)|"
     r"(?<=[฀-\u0eff])(?P<thai>[ \t]*\r?\n?[ \t]*(?<=\s))(?=[฀-\u0eff])"
 )
 _IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿][぀-ヿ㐀-鿿]")
@@ -291,8 +291,11 @@ def gaps(text: str, a: int, b: int) -> list[Gap]:
     """The gaps of text[a:b] at which a boundary may lie."""
     m = _ITEM.match(text, a, b)
     first = m.end() if m else a
-    out = []
-    for m in _GAP.finditer(text, first, b):
+    out, last = [], b
+    # a run of marks at the end is followed by nothing, and no place in it need be tried
+    while last > first and (text[last - 1] in _MARKS or text[last - 1] in _CLOSERS or text[last - 1].isspace()):
+        last -= 1
+    for m in _GAP.finditer(text, first, last):
         if m["thai"] is not None:
             if not m["thai"]:
                 continue

@@ -89,6 +89,13 @@ def test_long_text_is_linear(model):
     assert len(list(units("a" * 2_000_000))) == 1
 
 
+@pytest.mark.parametrize("text", ["。" * 200_000, "?。" * 100_000 + "x", "." * 200_000 + " a", ". " * 100_000, '"' * 200_000, "ก " * 100_000, "!?…" * 60_000, "。" + " " * 200_000, "“a. " * 50_000])
+def test_odd_long_texts_are_linear(model, text):
+    began = time.time()
+    spans = sentences(text, model)
+    assert "".join("".join(text[a:b].split()) for a, b in spans) == "".join(text.split()) and time.time() - began < 20
+
+
 def test_operator_cases(spark, model):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "One. Two."), (4, "One. Two."), (None, "Three.")]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, start_char int, lang string")
