@@ -14,6 +14,7 @@ import warnings
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,7 @@ _EMPTY_WORDS = frozenset(
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+|[^\W\d_A-Za-z]+")
 
 
+@lru_cache(maxsize=50_000)
 def _stem(word: str) -> str:
     for end in ("ies", "ing", "es", "ed", "s", "e", "y"):
         if word.endswith(end) and len(word) - len(end) >= 2:
@@ -97,12 +99,18 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _CAMEL.findall(text)]
 
 
+_MARKUP = re.compile(r"^\s*(?:/\*+!?<?|//+[!<]?|\*+(?!/)|%+[{}]?|#+(?=\s|$))|\*+/\s*$")
+_CLOSE = re.compile(r"^\s*\*+/")
+_POINTERS = re.compile(r"(?mi)^\s*[@\\](?:see|link|copydoc|seealso)\b.*$|\{@(?:see|link|inheritdoc)[^}]*\}")
+
+
 def plain(comment: str) -> str:
     """A comment or docstring without its markup."""
     lines = []
     for line in comment.replace("\r", "").split("\n"):
-        line = re.sub(r"^\s*(?:/\*+!?<?|//+[!<]?|\*+(?!/)|%+[{}]?|#+(?=\s|$))|\*+/\s*$", "", line)
-        line = re.sub(r"^\s*\*+/", "", line).strip()
+        line = line.strip()
+        if line and not line[0].isalnum() or line.endswith("/"):
+            line = _CLOSE.sub("", _MARKUP.sub("", line)).strip()
         if not _DIRECTIVE.match(line.lower()):
             lines.append(line)
     return "\n".join(lines).strip()
@@ -110,24 +118,42 @@ def plain(comment: str) -> str:
 
 @lru_cache(maxsize=20_000)
 def _says_nothing(text: str) -> bool:
-    low = re.sub(r"\s+", " ", text.lower()).strip(" *_-=#~<>/`\"'")
+    low = " ".join(text.lower().split()).strip(" *_-=#~<>/`\"'")
     return not any(c.isalnum() for c in low) or bool(_STAND_IN.match(low)) or bool(re.fullmatch(r"<p>|</?\w+>", low))
 
 
+@lru_cache(maxsize=50_000)
+def _known(name: str, parameters: str) -> frozenset[str]:
+    """What the names of a function and its parameters say."""
+    return frozenset({_stem(w) for w in words(name)} | {_stem(w) for w in words(parameters)} | {name.lower()})
+
+
 def trivial(doc: str | None, name: str, parameters: str) -> bool:
     """Whether ``doc`` says nothing beyond the names of the function and its parameters."""
     if not doc:
         return True
-    text = re.sub(r"(?mi)^\s*[@\\](?:see|link|copydoc|seealso)\b.*$|\{@(?:see|link|inheritdoc)[^}]*\}", " ", plain(doc))
+    text = plain(doc)
+    if "@" in text or "\\" in text:
+        text = _POINTERS.sub(" ", text)
     untagged = _TAG.sub(" ", text)
     if _says_nothing(text) or _says_nothing(untagged):
         return True
-    known = {_stem(w) for w in words(name)} | {_stem(w) for w in words(parameters)} | {name.lower()}
+    known = _known(name, parameters)
     return all(w in _EMPTY_WORDS or w in known or _stem(w) in known for w in words(untagged))
 
 
+_BRACKETED = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
+
+
+@lru_cache(maxsize=50_000)
 def normalised(parameters: str, language: str) -> str:
     """Parameter types of a signature (their number where the language has no types), without names and defaults."""
+    if language not in ("cpp", "java", "typescript"):
+        # only their number counts, of those that are not in brackets
+        flat = parameters
+        while (less := _BRACKETED.sub("", flat)) != flat:
+            flat = less
+        return ",".join("_" for part in flat.split(",") if part.split("=")[0].strip())
     parts, depth, part = [], 0, ""
     for c in parameters + ",":
         depth += (c in "<([{") - (c in ">)]}")
@@ -228,6 +254,10 @@ _SCOPE = re.compile(r"\b(?:namespace|class|struct|interface|enum)\s+(?:\[\[.*?\]
 _CANDIDATE = re.compile(r"^[ \t]*+(?!(?:if|else|for|while|do|switch|case|catch|return|throw|new|delete|goto|using|await|yield)\b|#(?!\w+\s*\())(?=[\w~@\[#$*\"'])(?=[^\n;{}]*(?:\(|=>))", re.M)
 
 
+#: From the end of a comment to what stands directly below it.
+_BELOW = re.compile(r"[ \t\r]*(?:\n[ \t]*)?(?=\S)")
+
+
 class Scopes:
     """The braces of a file whose comments and strings are blanked: what closes each, and the named scopes around any place."""
 
@@ -269,11 +299,10 @@ def brace_functions(source: str, language: str, bodies: bool, undocumented: bool
         return
     masked = _masked(source, lexer)
     scopes = Scopes(masked)
-    line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
-    gap = re.compile(r"[ \t\r]*(?:\n[ \t]*)?(?=\S)")
+    line_starts = [0, *accumulate(len(line) + 1 for line in source.split("\n"))]
     starts: dict[int, tuple[int, int]] = {}
     for a, b in _blocks(source, lexer):
-        if m := gap.match(source, b):
+        if m := _BELOW.match(source, b):
             starts[m.end()] = (a, b)
     places = [(at, starts[at]) for at in starts]
     if undocumented:
