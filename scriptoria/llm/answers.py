@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from scriptoria.llm.language import Model, cleaned, train
+from scriptoria.llm.phrases import Patterns, alternatives
 from scriptoria.llm.tokenizer import TOKENIZERS, VOCABULARY
 from scriptoria.runtime import cut_lineage, salted_join, table, widen
 
@@ -115,7 +116,8 @@ _BRACKETS = str.maketrans({"（": "(", "）": ")", "【": "[", "】": "]"})
 _LABEL = re.compile(r"^[^:：\n]+[:：]\s*")
 _PARAGRAPH = re.compile(r"\r?\n[ \t]*\r?\n")
 _TAGS = re.compile(r"</?[a-z]+/?>|(?m:^\s*(?:```|~~~)\w*)|\bhere(?:'s| is)\b")
-_REFUSAL, _DECLINES = re.compile(REFUSALS), re.compile(DECLINES)
+_REFUSAL = re.compile(REFUSALS)
+_DECLINES = Patterns({"refusal": alternatives(DECLINES)})
 #: Sentences of an answer in which it may decline: an answer that only begins to and then describes is none.
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？।؟])|\n+")
 
@@ -125,21 +127,31 @@ def _squeezed(text: str) -> str:
     return _NOT_WORD.sub("", text.lower())
 
 
+_STAND_INS = ANSWER_WORDS | ABSENT_WORDS | LINKING_WORDS | VERBS
+_WORDS = re.compile(r"[^\W_]+")
+
+
 def _stands_in(low: str, name: str = "") -> bool:
     """Whether a text in lower case only says that there is no answer, or nothing at all; it may say of which function."""
-    words = set(_NOT_WORD.sub(" ", _TAGS.sub(" ", low)).split())
+    bare = _TAGS.sub(" ", low) if "<" in low or "`" in low or "~" in low or "here" in low else low
+    own = set(_WORDS.findall(name))
+    words = set()
+    for m in _WORDS.finditer(bare):
+        if (w := m[0]) not in _STAND_INS and w not in own and STAND_IN_PARTS.sub("", w):
+            return False
+        words.add(w)
     named, absent = words & ANSWER_WORDS, words & ABSENT_WORDS
     rest = words - named - absent - LINKING_WORDS
     if named:
         rest -= VERBS
         if absent:
-            rest -= set(_NOT_WORD.sub(" ", name).split())
+            rest -= own
     return not any(STAND_IN_PARTS.sub("", w) for w in rest)
 
 
 def _declines(low: str) -> bool:
     """Whether an answer in lower case declines or only asks for more, in either of its first two sentences."""
-    return bool(_REFUSAL.match(low)) or any(_DECLINES.search(s.strip()) for s in _SENTENCE.split(low, maxsplit=2)[:2])
+    return bool(_REFUSAL.match(low)) or any(_DECLINES.first(s.strip()) for s in _SENTENCE.split(low, maxsplit=2)[:2])
 
 
 def plain_defect(prompt: str, answer: str | None, name: str | None) -> str | None:
@@ -148,8 +160,8 @@ def plain_defect(prompt: str, answer: str | None, name: str | None) -> str | Non
     low = text.lower().replace("’", "'")
     got = _squeezed(text)
     label = _squeezed(name) if name else ""
-    bare = low.removeprefix(name.lower()) if name else low
-    if _stands_in(low, (name or "").lower()) or _stands_in(bare):
+    bare = low[len(name) :] if name and low.startswith(name.lower()) else low
+    if _stands_in(low, (name or "").lower()) or bare is not low and _stands_in(bare):
         return "empty"
     whole = _squeezed(prompt)
     if label and got == label and got != whole:

@@ -86,6 +86,28 @@ def literals(pattern: str) -> set[str] | None:
     return of(grammar.parse(pattern))
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The parts of ``pattern`` between its outermost bars."""
+    parts, depth, start, i, in_class = [], 0, 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            i += pattern[i + 1 : i + 2] in ("]", "^")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
 class Patterns:
     """Patterns by kind, of which only those are tried on a text whose literals it holds."""
 

@@ -1,7 +1,11 @@
 """Problem 3."""
 
+import re
+
+from scriptoria.llm import answers
 from scriptoria.llm.answers import cut_words, defects, plain_defect, tail, tokens
 from scriptoria.llm.language import LANGUAGES, SEEDS, Model, cleaned, train
+from scriptoria.llm.phrases import alternatives
 
 DOC = "Trim the spare rows until the quota is used up.\n\nArgs:\n    row: Upper bound for one pass."
 GOOD = "Shortens the spare rows, and returns the number of kept rows"
@@ -107,3 +111,10 @@ def test_languages_on_held_out_sentences(spark):
     assert [LANGUAGES[i] for i in best] == list(held)
     wrong = spark.createDataFrame([(SEEDS["en"], "german"), ("", "en"), (None, None)], "text string, lang string")
     assert isinstance(train(wrong), Model)
+
+
+def test_patterns_that_wait_for_their_literals_find_the_same():
+    assert "|".join(alternatives(answers.DECLINES)) == answers.DECLINES and alternatives(r"a(b|c)|[|]d\\||e") == ["a(b|c)", r"[|]d\\|", "e"]
+    whole = re.compile(answers.DECLINES)
+    for text in [a for group in ANSWERS.values() for a in group if a] + ["Which function do you mean?", "Unable to comply.", "Rows are read. Please send the code.", "необходим код", "我无法总结", "I need the file.", "It reads I/O rows."]:
+        assert bool(answers._DECLINES.first(text.lower())) == bool(whole.search(text.lower())), text
