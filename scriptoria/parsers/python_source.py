@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -109,6 +110,10 @@ def _title(node: ast.stmt) -> str:
     return f"{type(node).__name__} at line {node.lineno}"
 
 
+#: Lines with their ends, as the parser counts them.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
+
+
 def _literal(node: ast.stmt) -> bool:
     return isinstance(node, ast.Expr) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str)
 
@@ -123,8 +128,16 @@ def parse(module_id: str, source: str) -> Parsed:
         tree = ast.parse(source)
     out = Parsed(module_id, {"module_docstring": ast.get_docstring(tree)})
 
+    lines = _LINE.findall(source)
+
     def segment(node: ast.AST) -> str:
-        return ast.get_source_segment(source, node) or ast.unparse(node)
+        """The text of a statement; columns count bytes."""
+        part = lines[node.lineno - 1 : node.end_lineno]
+        if not part:
+            return ast.unparse(node)
+        part[-1] = part[-1].encode()[: node.end_col_offset].decode()
+        part[0] = part[0].encode()[node.col_offset :].decode()
+        return "".join(part) or ast.unparse(node)
 
     def nested_classes(body: list[ast.stmt], path: str) -> Iterator[tuple[ast.ClassDef, str]]:
         for item in body:
