@@ -24,23 +24,33 @@ def resolve_calls(defs: DataFrame, scope: str = "module_id") -> DataFrame:
     """``(scope, source, raw, target)``: each distinct call of each callable with the definition it means, or null.
 
     An exact qualified name wins; else definitions of the same last part are candidates: a single one is taken, of
-    several the first under the longest prefix of the caller's name, none if no prefix holds one.
+    several the first under the longest prefix of the caller's name, none if no prefix holds one. Calls meet the definitions of
+    their last part in one window, so rows already partitioned by scope are not shuffled again, and stay together by scope.
     """
-    calls = defs.select(scope, F.col("qualname").alias("source"), F.explode(F.array_distinct("calls")).alias("raw")).where("raw is not null")
-    exact = defs.select(scope, F.col("qualname").alias("raw"), F.col("qualname").alias("__exact"))
-    index = defs.select(scope, _LAST(F.col("qualname")).alias("__simple"), F.struct("ord", "qualname").alias("__d")).groupBy(scope, "__simple").agg(F.sort_array(F.collect_list("__d")).alias("__c"))
-    joined = calls.join(exact, [scope, "raw"], "left").withColumn("__simple", _LAST(F.col("raw"))).join(index, [scope, "__simple"], "left")
+    none = F.array().cast("array<string>")
+    call = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.filter(F.array_distinct("calls"), lambda c: c.isNotNull()), none)))
+    rows = defs.select(scope, F.col("qualname").alias("source"), "ord", call.alias("raw")).withColumn("__simple", _LAST(F.coalesce("raw", "source")))
+    met = Window.partitionBy(scope, "__simple").orderBy("ord", "source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = F.when(F.col("raw").isNull(), F.struct("ord", F.col("source").alias("qualname")))  # each definition stands once without a call
+    called = rows.withColumn("__n", F.count("raw").over(met)).where("__n > 0")
+    joined = called.withColumn("__c", F.collect_list(own).over(met)).where("raw is not null")
+    exact = F.when(F.exists("__c", lambda d: d["qualname"] == F.col("raw")), F.col("raw"))
     parts = F.split("source", "[.]")
     prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
     under = lambda p: F.filter("__c", lambda d: F.startswith(d["qualname"], F.concat(p, F.lit("."))))
     near = F.when(F.size("__c") == 1, F.col("__c")[0]["qualname"]).when(F.size("__c") > 1, F.try_element_at(F.filter(F.transform(prefixes, lambda p: F.try_element_at(under(p), F.lit(1))["qualname"]), lambda q: q.isNotNull()), F.lit(1)))
-    return joined.select(scope, "source", "raw", F.coalesce("__exact", near).alias("target"))
+    return joined.select(scope, "source", "raw", F.coalesce(exact, near).alias("target"))
+
+
+def links(resolved: DataFrame, scope: str = "module_id") -> DataFrame:
+    """``(scope, source, target, external)`` of each resolved call, repeated ones included; a call of the caller itself counts as external."""
+    inner = F.col("target").isNotNull() & (F.col("target") != F.col("source"))
+    return resolved.select(scope, "source", F.when(inner, F.col("target")).otherwise(F.col("raw")).alias("target"), (~inner).alias("external"))
 
 
 def edges(resolved: DataFrame, scope: str = "module_id") -> DataFrame:
     """``(scope, source, target, external)``: distinct edges; a call of the caller itself counts as external."""
-    inner = F.col("target").isNotNull() & (F.col("target") != F.col("source"))
-    return resolved.select(scope, "source", F.when(inner, F.col("target")).otherwise(F.col("raw")).alias("target"), (~inner).alias("external")).distinct()
+    return links(resolved, scope).distinct()
 
 
 def nodes(defs: DataFrame, graph_edges: DataFrame, scope: str = "module_id") -> DataFrame:

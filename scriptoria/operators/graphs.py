@@ -1,20 +1,24 @@
 """Components, layers and levels of graphs.
 
 Per module the graphs are small by nature and are solved group by group; the components of a
-graph of any size come from repeated joins, with the lineage cut each round.
+graph of any size are found task by task, and joined by repeated joins, with the lineage cut each round, where tasks share nodes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.runtime import cut_lineage, salted_join
 
+#: Bytes that the nodes a task contracts at once may take, roughly.
+HELD = 64 << 20
+
 
 def components_of(names: Iterable[str], links: Iterable[tuple[str, str]]) -> dict[str, int]:
     """Component of each node; components are numbered by their first node in name order."""
@@ -112,16 +116,61 @@ def solve_groups(nodes: DataFrame, edges: DataFrame, scope: str, what: str) -> D
     return rows.groupBy(scope).applyInPandas(run, f"{scope} string, qualname string, value int")
 
 
-def components(edges: DataFrame, source: str = "source", target: str = "target", rounds: int = 60) -> DataFrame:
+def contract(batches: Iterable[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """The smallest node linked with each node of ``batches`` of two binary columns.
+
+    Nodes are given out, and forgotten, once they take about ``most`` bytes, so a node may come several times.
+    """
+    near: dict[bytes, bytes] = {}
+    held = 0
+
+    def top(x: bytes) -> bytes:
+        while (up := near[x]) != x:
+            near[x] = x = near[up]
+        return x
+
+    def found() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(near), pa.binary()), pa.array([top(x) for x in near], pa.binary())], ["node", "component"])
+
+    for batch in batches:
+        for ends in zip(*(c.to_pylist() for c in batch.columns)):
+            for x in ends:
+                if x not in near:
+                    near[x] = x
+                    held += len(x) + 200
+            a, b = top(ends[0]), top(ends[1])
+            near[max(a, b)] = min(a, b)
+            if held >= most:
+                yield found()
+                near.clear()
+                held = 0
+    yield found()
+
+
+def components(edges: DataFrame, source: str = "source", target: str = "target", rounds: int = 60, held: int = HELD) -> DataFrame:
     """``(node, component)``: the smallest node of each node's component, over a graph of any size.
 
+    The links of each task are contracted first, where they lie, in about ``held`` bytes at once. Only if nodes are met several times, the
+    components found so are linked by them and joined over all tasks. Null ends are ignored, loops give single nodes.
+    """
+    ends = edges.select(F.col(source).cast("string").cast("binary").alias("u"), F.col(target).cast("string").cast("binary").alias("v")).where("u is not null and v is not null")
+    stars = ends.mapInArrow(lambda batches: contract(batches, held), "node binary, component binary")
+    stars = cut_lineage(stars.select(F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component")))
+    if stars.groupBy(F.xxhash64("node")).count().where("count > 1").isEmpty():
+        return stars
+    met = stars.groupBy("node").agg(F.collect_set("component").alias("c")).select(F.explode("c").alias("u"), F.array_min("c").alias("v")).where("u <> v").distinct()
+    joined = settle(met, rounds).select(F.col("u").alias("component"), F.col("component").alias("least"))
+    return salted_join(stars, joined, ["component"], "left").groupBy("node").agg(F.min(F.coalesce("least", "component")).alias("component"))
+
+
+def settle(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """``(u, component)``: the smallest node of the component of each ``u`` that is not the smallest itself, of distinct links ``(u, v)`` with u > v.
+
     Alternating star contractions: each round links every node's larger neighbours to its smallest one, then every
     node's neighbours to the smallest. The number of rounds grows with the logarithm of the number of nodes. Minima
-    are combined before they are shuffled, and the joins are salted, so a node may hold most links. Null ends are ignored, loops give single nodes.
+    are combined before they are shuffled, and the joins are salted, so a node may hold most links.
     """
-    ends = edges.select(F.col(source).cast("string").alias("u"), F.col(target).cast("string").alias("v")).where("u is not null and v is not null")
-    every = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = cut_lineage(ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = cut_lineage(links)
     before = None
     for _ in range(rounds):
         # large star: larger neighbours of each node are linked to the smallest of the node and its neighbours
@@ -138,4 +187,4 @@ def components(edges: DataFrame, source: str = "source", target: str = "target",
         before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return every.join(links.groupBy("u").agg(F.min("v").alias("component")), every["node"] == F.col("u"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    return links.groupBy("u").agg(F.min("v").alias("component"))

@@ -65,8 +65,12 @@ def call_levels(spark, sf):
 
 
 def call_components(spark, sf):
-    """Components of callables over all modules: names are joined with their module."""
-    e = _edges(spark, sf)
+    """Components of callables over all modules: names are joined with their module.
+
+    Symbols are spread by module once, so that calls are resolved and contracted where they lie.
+    """
+    s = spread(_symbols(spark, sf, "module_id", "kind", "name", "qualname", "signature", "calls", "ord"), "module_id")
+    e = G.links(G.resolve_calls(G.callables(s)))
     key = lambda c: F.concat("module_id", F.lit("/"), c)
     return R.components(e.select(key(F.col("source")).alias("source"), key(F.col("target")).alias("target")))
 

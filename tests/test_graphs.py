@@ -72,6 +72,50 @@ def test_components_against_brute_force(spark):
     assert R.components(spark.createDataFrame([], "source string, target string")).count() == 0
 
 
+def test_components_that_tasks_share(spark):
+    rng = random.Random(11)
+    names = [f"{c}{i}" for c in ("n", "é", "\uffff", "\U0001f600") for i in range(60)]
+    links = [(rng.choice(names), rng.choice(names)) for _ in range(170)] + [(names[0], x) for x in names[::9]] + [("only", "only")]
+    df = spark.createDataFrame(links, "source string, target string").repartition(5)
+    expect = {a.decode(): b.decode() for a, b in brute_components({x.encode() for e in links for x in e}, [(a.encode(), b.encode()) for a, b in links]).items()}
+    for held in (1, 2000, 64 << 20):  # one link at once, several, a task's
+        got = [(r["node"], r["component"]) for r in R.components(df, held=held).collect()]
+        assert len(got) == len(expect) and dict(got) == expect, held
+
+
+def call_components(spark, rows, folder):
+    from pyspark.sql import functions as F
+    from scriptoria.queries import code
+
+    symbols(spark, rows).withColumn("ingested_at", F.lit(0)).write.parquet(f"{folder}/symbols.parquet")
+    return [tuple(r) for r in code.call_components(spark, str(folder)).collect()]
+
+
+def test_components_of_modules_whose_names_meet(spark, tmp_path):
+    call = lambda i, module, name, calls: (i, module, None, "function", name, name, None, calls, 0)
+    rows = [call(1, "a", "b/c", ["x"]), call(2, "a/b", "c", ["y", "self.c"]), call(3, "z", "q", ["q"]), call(4, "z", "idle", []), *[call(9 + i, f"o{i}", "f", ["g"]) for i in range(40)]]
+    expect = {**dict.fromkeys(["a/b/c", "a/x", "a/b/y", "a/b/self.c"], "a/b/c"), "z/q": "z/q", **{f"o{i}/{n}": f"o{i}/f" for i in range(40) for n in "fg"}}
+    got = call_components(spark, rows, tmp_path)
+    assert len(got) == len(expect) and dict(got) == expect
+
+
+def test_components_leave_less_on_disk_than_the_budget(spark, data):
+    from pathlib import Path
+
+    from scriptoria.queries import code
+
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        each = sc.statusStore().executorList(False)
+        return sum(each.apply(i).totalShuffleWrite() for i in range(each.size()))
+
+    before = shuffled()
+    assert code.call_components(spark, data).count() > 0
+    assert 0 < shuffled() - before < 4 * Path(data, "symbols.parquet").stat().st_size
+
+
 def test_layers_levels_and_groups(spark):
     links = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c")]
     assert R.layers_of("abcd", links) == R.levels_of("abcd", links) == {"a": 0, "b": 1, "c": 2, "d": 0}
